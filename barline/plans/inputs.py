@@ -17,8 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, folder: str) -> DataFrame:
+    return as_trades(table(spark, folder, "events"))
+
+
+def as_trades(events: DataFrame) -> DataFrame:
     """Every event as a trade of the symbol named by its type."""
-    events = table(spark, folder, "events")
     return events.select(
         F.col("event_type").alias("symbol"),
         F.col("event_id").alias("trade_id"),
