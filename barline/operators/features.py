@@ -77,10 +77,10 @@ def bar_features(
     peak = F.col("_peak_hi")
     work = work.withColumns(
         {
-            "rv_4h": F.when(F.col("_long_n") >= LONG, std_of("_long")),
+            "rv_4h": F.when(F.col("_long_n") >= LONG, F.expr(std_of("_long"))),
             "vol_z_30m": F.when(
                 F.col("_vol_n") >= MEDIUM,
-                (F.col(vol) - mean_of("_vol")) / (std_of("_vol") + EPS),
+                (F.col(vol) - F.expr(mean_of("_vol"))) / (F.expr(std_of("_vol")) + EPS),
             ),
             "peak_close_4h": peak,
             "drawdown_4h": ratio(F.col("close"), peak) - 1.0,

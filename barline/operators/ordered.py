@@ -188,58 +188,59 @@ def without_halo(df: DataFrame) -> DataFrame:
 # known values, their mean, the sum of squared distances from it (m2), and the
 # least and greatest value.  Equal values then have exactly that mean and spread 0,
 # free of rounding, which matters where a score divides by a tiny spread.
+# They are written as SQL text: a table has dozens of them, and one text is far
+# cheaper to hand to Spark than a tree of column calls.
 MOMENTS = ("n", "mean", "m2", "lo", "hi")
 
 
-def _moments(value: str, frame: WindowSpec, prefix: str) -> dict[str, Column]:
-    return {
-        f"{prefix}_n": F.count(value).over(frame),
-        f"{prefix}_mean": F.avg(value).over(frame),
-        f"{prefix}_m2": F.var_pop(value).over(frame),
-        f"{prefix}_lo": F.min(value).over(frame),
-        f"{prefix}_hi": F.max(value).over(frame),
-    }
+def _over(keys: Sequence[str], order: Sequence[str], rows: str) -> str:
+    by = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    return f"OVER ({by}ORDER BY {', '.join(order)} ROWS BETWEEN {rows})"
 
 
-def _spread_to_m2(df: DataFrame, prefixes: Sequence[str]) -> DataFrame:
-    """The window gives the variance; m2 is that times the count."""
-    return df.withColumns({f"{p}_m2": F.col(f"{p}_m2") * F.col(f"{p}_n") for p in prefixes})
+def _moments(value: str, over: str, prefix: str) -> list[str]:
+    return [
+        f"count({value}) {over} AS {prefix}_n",
+        f"avg({value}) {over} AS {prefix}_mean",
+        f"var_pop({value}) {over} AS {prefix}_var",
+        f"min({value}) {over} AS {prefix}_lo",
+        f"max({value}) {over} AS {prefix}_hi",
+    ]
 
 
-def _merged(a: str, b: str, prefix: str) -> dict[str, Column]:
+def _m2(prefix: str) -> str:
+    return f"{prefix}_var * {prefix}_n AS {prefix}_m2"
+
+
+def _merged(a: str, b: str, prefix: str) -> list[str]:
     """Moments of two disjoint sets of rows (pairwise formula); either may be empty."""
-    na = F.coalesce(F.col(f"{a}_n"), F.lit(0))
-    nb = F.coalesce(F.col(f"{b}_n"), F.lit(0))
-    ma, mb = F.col(f"{a}_mean"), F.col(f"{b}_mean")
-    qa, qb = F.col(f"{a}_m2"), F.col(f"{b}_m2")
-    gap = mb - ma
-    return {
-        f"{prefix}_n": na + nb,
-        f"{prefix}_mean": F.when(na == 0, mb)
-        .when(nb == 0, ma)
-        .otherwise(ma + gap * nb / (na + nb)),
-        f"{prefix}_m2": F.when(na == 0, qb)
-        .when(nb == 0, qa)
-        .otherwise(qa + qb + gap * gap * na * nb / (na + nb)),
-        f"{prefix}_lo": F.least(f"{a}_lo", f"{b}_lo"),
-        f"{prefix}_hi": F.greatest(f"{a}_hi", f"{b}_hi"),
-    }
-
-
-def mean_of(prefix: str) -> Column:
-    lo, hi = F.col(f"{prefix}_lo"), F.col(f"{prefix}_hi")
-    return F.when(lo == hi, lo).otherwise(F.col(f"{prefix}_mean"))
-
-
-def std_of(prefix: str) -> Column:
+    na, nb = f"coalesce({a}_n, 0)", f"coalesce({b}_n, 0)"
+    gap = f"({b}_mean - {a}_mean)"
+    return [
+        f"{na} + {nb} AS {prefix}_n",
+        f"CASE WHEN {na} = 0 THEN {b}_mean WHEN {nb} = 0 THEN {a}_mean"
+        f" ELSE {a}_mean + {gap} * {nb} / ({na} + {nb}) END AS {prefix}_mean",
+        f"CASE WHEN {na} = 0 THEN {b}_m2 WHEN {nb} = 0 THEN {a}_m2"
+        f" ELSE {a}_m2 + {b}_m2 + {gap} * {gap} * {na} * {nb} / ({na} + {nb}) END AS {prefix}_m2",
+        f"least({a}_lo, {b}_lo) AS {prefix}_lo",
+        f"greatest({a}_hi, {b}_hi) AS {prefix}_hi",
+    ]
+
+
+def mean_of(prefix: str) -> str:
+    return f"CASE WHEN {prefix}_lo = {prefix}_hi THEN {prefix}_lo ELSE {prefix}_mean END"
+
+
+def std_of(prefix: str) -> str:
     """Population standard deviation."""
-    n, m2 = F.col(f"{prefix}_n"), F.col(f"{prefix}_m2")
-    lo, hi = F.col(f"{prefix}_lo"), F.col(f"{prefix}_hi")
-    return F.when(lo == hi, F.lit(0.0)).when(n > 0, F.sqrt(m2 / n))
+    return (
+        f"CASE WHEN {prefix}_lo = {prefix}_hi THEN 0.0D"
+        f" WHEN {prefix}_n > 0 THEN sqrt({prefix}_m2 / {prefix}_n) END"
+    )
 
 
-def moment_columns(prefixes: Sequence[str]) -> list[str]:
-    return [f"{p}_{m}" for p in prefixes for m in MOMENTS]
+def _names(prefixes: Sequence[str], parts: Sequence[str] = MOMENTS) -> list[str]:
+    return [f"{p}_{m}" for p in prefixes for m in parts]
 
 
 def rolling_moments(
@@ -254,41 +255,38 @@ def rolling_moments(
     in.  That makes the cost per row independent of the width.
     """
     keys = [*series, "_chunk"]
-    walk = Window.partitionBy(*keys).orderBy(index)
+    new = list(columns.values())
     if width <= DIRECT_WIDTH:
-        new = {}
-        for c, prefix in columns.items():
-            new |= _moments(c, walk.rowsBetween(-(width - 1), 0), prefix)
-        return _spread_to_m2(df.withColumns(new), list(columns.values()))
+        over = _over(keys, [index], f"{width - 1} PRECEDING AND CURRENT ROW")
+        found = [e for c, prefix in columns.items() for e in _moments(c, over, prefix)]
+        out = df.selectExpr("*", *found).selectExpr("*", *map(_m2, new))
+        return out.drop(*_names(new, ["var"]))
 
     # blocks are counted from the first row of the chunk: a frame that reaches
     # back beyond it lies in the first block, and its head alone is complete
-    blocks = Window.partitionBy(*keys, "_block")
-    grown = (Window.unboundedPreceding, 0)
-    tail = blocks.orderBy(F.col(index).desc()).rowsBetween(*grown)
-    head = blocks.orderBy(index).rowsBetween(*grown)
-    step = Window.partitionBy(*keys).orderBy("_block", index)
+    grown = "UNBOUNDED PRECEDING AND CURRENT ROW"
+    tail = _over([*keys, "_block"], [f"{index} DESC"], grown)
+    head = _over([*keys, "_block"], [index], grown)
+    step = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _block, {index})"
     tails = {c: f"_tail{k}" for k, c in enumerate(columns)}
     heads = {c: f"_head{k}" for k, c in enumerate(columns)}
-
-    out = df.withColumn("_place", F.row_number().over(walk) - 1)
-    out = out.withColumn("_block", div("_place", width))
-    for names, frame in ((tails, tail), (heads, head)):
-        new = {}
-        for c, prefix in names.items():
-            new |= _moments(c, frame, prefix)
-        out = out.withColumns(new)
-    moved = moment_columns(list(tails.values()))
-    out = out.withColumns({n: F.lag(n, width - 1).over(step) for n in moved})
+    parts = ("n", "mean", "var", "lo", "hi")
+    moved = _names(list(tails.values()), parts)
     # a frame that starts on a block edge is one whole block: its tail is left out
-    two_blocks = F.pmod(F.col("_place") + 1, F.lit(width)) != 0
-    out = out.withColumns({n: F.when(two_blocks, F.col(n)) for n in moved})
-    out = _spread_to_m2(out, [*tails.values(), *heads.values()])
-    new = {}
-    for c, prefix in columns.items():
-        new |= _merged(tails[c], heads[c], prefix)
-    scratch = moment_columns([*tails.values(), *heads.values()])
-    return out.withColumns(new).drop("_place", "_block", *scratch)
+    two_blocks = f"pmod(_place + 1, {width}) <> 0"
+
+    place = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {index}) - 1 AS _place"
+    out = df.selectExpr("*", place).selectExpr("*", f"_place div {width} AS _block")
+    out = out.selectExpr("*", *[e for c, t in tails.items() for e in _moments(c, tail, t)])
+    out = out.selectExpr("*", *[e for c, h in heads.items() for e in _moments(c, head, h)])
+    out = out.selectExpr("*", *[f"lag({n}, {width - 1}) {step} AS _far{n}" for n in moved])
+    out = out.selectExpr("*", *[f"CASE WHEN {two_blocks} THEN _far{n} END AS _cut{n}" for n in moved])
+    cut = [f"_cut{t}" for t in tails.values()]
+    out = out.selectExpr("*", *map(_m2, [*cut, *heads.values()]))
+    out = out.selectExpr(
+        "*", *[e for c, p in columns.items() for e in _merged(f"_cut{tails[c]}", heads[c], p)]
+    )
+    return out.select(*df.columns, *_names(new))
 
 
 def expanding_moments(
@@ -297,67 +295,57 @@ def expanding_moments(
     series: Sequence[str],
     order: Sequence[str],
     span: int = ROWS_PER_CHUNK,
-    seen: str | None = None,
+    seen: str = "_seen",
 ) -> DataFrame:
-    """Moments of all earlier rows of the series, and the number of them if named."""
+    """Moments of all earlier rows of the series, and the number of them, ``seen``."""
     keyed = _chunked(df, order, span)
-    earlier = _earlier(series)
-    everywhere = (
-        Window.partitionBy(*series)
-        .orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    totals = [F.count(F.lit(1)).alias("_rows")]
-    for k, c in enumerate(columns):
+    values = dict(enumerate(columns))
+    keys = [*series, "_chunk"]
+
+    totals = ["count(1) AS _rows"]
+    for k, c in values.items():
         totals += [
-            F.count(c).alias(f"_n{k}"),
-            F.avg(c).alias(f"_mean{k}"),
-            F.var_pop(c).alias(f"_var{k}"),
-            F.min(c).alias(f"_lo{k}"),
-            F.max(c).alias(f"_hi{k}"),
+            f"count({c}) AS _n{k}",
+            f"avg({c}) AS _mean{k}",
+            f"var_pop({c}) AS _var{k}",
+            f"min({c}) AS _lo{k}",
+            f"max({c}) AS _hi{k}",
         ]
-    chunks = keyed.groupBy(*series, "_chunk").agg(*totals)
+    chunks = keyed.groupBy(*keys).agg(*[F.expr(t) for t in totals])
     # squares are taken from the mean of the series' first chunk to keep them small
-    every = range(len(columns))
-    chunks = chunks.withColumns(
-        {f"_origin{k}": F.first(f"_mean{k}", True).over(everywhere) for k in every}
-    ).withColumns({f"_shift{k}": F.col(f"_mean{k}") - F.col(f"_origin{k}") for k in every})
-    so_far = {"_rows_before": F.sum("_rows").over(earlier)}
-    for k in every:
-        n, shift = F.col(f"_n{k}"), F.col(f"_shift{k}")
-        so_far |= {
-            f"_carry{k}_n": F.sum(n).over(earlier),
-            f"_carry{k}_lo": F.min(f"_lo{k}").over(earlier),
-            f"_carry{k}_hi": F.max(f"_hi{k}").over(earlier),
-            f"_total{k}": F.sum(n * shift).over(earlier),
-            f"_squares{k}": F.sum(n * (F.col(f"_var{k}") + shift * shift)).over(earlier),
-        }
-    carried = chunks.withColumns(so_far)
-    finished = {"_rows_before": F.coalesce("_rows_before", F.lit(0))}
-    for k in every:
-        n, total = F.col(f"_carry{k}_n"), F.col(f"_total{k}")
-        spread = F.col(f"_squares{k}") - total * total / n
-        finished |= {
-            f"_carry{k}_mean": F.when(n > 0, F.col(f"_origin{k}") + total / n),
-            f"_carry{k}_m2": F.when(n > 0, F.greatest(spread, F.lit(0.0))),
-        }
-    carries = moment_columns([f"_carry{k}" for k in every])
-    carried = carried.withColumns(finished).select(*series, "_chunk", "_rows_before", *carries)
-
-    inside = Window.partitionBy(*series, "_chunk").orderBy(*order)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = {}
-    for k, c in enumerate(columns):
-        local |= _moments(c, before, f"_here{k}")
-    if seen:
-        local["_nth"] = F.row_number().over(inside)
-    out = keyed.withColumns(local).join(carried, [*series, "_chunk"])
-    out = _spread_to_m2(out, [f"_here{k}" for k in every])
-    new = {seen: F.col("_rows_before") + F.col("_nth") - 1} if seen else {}
-    for k, prefix in enumerate(columns.values()):
-        new |= _merged(f"_carry{k}", f"_here{k}", prefix)
-    heres = moment_columns([f"_here{k}" for k in every])
-    return out.withColumns(new).drop("_chunk", "_rows_before", "_nth", *carries, *heres)
+    every = _over(series, ["_chunk"], "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+    earlier = _over(series, ["_chunk"], "UNBOUNDED PRECEDING AND 1 PRECEDING")
+    chunks = chunks.selectExpr("*", *[f"first(_mean{k}, true) {every} AS _origin{k}" for k in values])
+    chunks = chunks.selectExpr("*", *[f"_mean{k} - _origin{k} AS _shift{k}" for k in values])
+    so_far = [f"coalesce(sum(_rows) {earlier}, 0) AS _rows_before"]
+    finished = []
+    for k in values:
+        so_far += [
+            f"sum(_n{k}) {earlier} AS _carry{k}_n",
+            f"min(_lo{k}) {earlier} AS _carry{k}_lo",
+            f"max(_hi{k}) {earlier} AS _carry{k}_hi",
+            f"sum(_n{k} * _shift{k}) {earlier} AS _total{k}",
+            f"sum(_n{k} * (_var{k} + _shift{k} * _shift{k})) {earlier} AS _squares{k}",
+        ]
+        finished += [
+            f"CASE WHEN _carry{k}_n > 0 THEN _origin{k} + _total{k} / _carry{k}_n END AS _carry{k}_mean",
+            f"CASE WHEN _carry{k}_n > 0 THEN greatest(_squares{k} - _total{k} * _total{k} / _carry{k}_n, 0.0D)"
+            f" END AS _carry{k}_m2",
+        ]
+    carries = [f"_carry{k}" for k in values]
+    carried = chunks.selectExpr("*", *so_far).selectExpr("*", *finished)
+    carried = carried.select(*keys, "_rows_before", *_names(carries))
+
+    before = _over(keys, order, "UNBOUNDED PRECEDING AND 1 PRECEDING")
+    nth = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}) AS _nth"
+    local = [e for k, c in values.items() for e in _moments(c, before, f"_here{k}")]
+    out = keyed.selectExpr("*", nth, *local).join(carried, keys)
+    out = out.selectExpr("*", *[_m2(f"_here{k}") for k in values])
+    merged = [
+        e for k, p in enumerate(columns.values()) for e in _merged(f"_carry{k}", f"_here{k}", p)
+    ]
+    out = out.selectExpr("*", f"_rows_before + _nth - 1 AS {seen}", *merged)
+    return out.select(*df.columns, seen, *_names(list(columns.values())))
 
 
 def _value_buckets(counts: DataFrame, value: str, rows_per_chunk: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import MINUTE_MS, base_feature_columns, div, finite, numeric_columns
 from ..functions.schema import TARGET_PREFIXES
+from .sliding import previous_moments
 from .ordered import (
     ROWS_PER_CHUNK,
     expanding_moments,
@@ -74,21 +75,29 @@ def causal_z(
             *df.columns, *[f"{kind}_{c}" for c in columns for kind in ("z", "defaulted")]
         )
 
-    values = {f"_x_{c}": finite(F.col(c).cast("double")) for c in columns}
-    moments = {x: f"_m{x}" for x in values}
-    work = expanding_moments(
-        work.withColumns(values), moments, ["_series"], order, span, seen="_seen"
-    )
-    raw, out = {}, {}
-    for c in columns:
-        m = f"_m_x_{c}"
-        raw[f"z_{c}"] = F.when(
-            F.col(f"{m}_n") >= min_periods,
-            (F.col(f"_x_{c}") - mean_of(m)) / (std_of(m) + eps),
-        )
-        out[f"z_{c}"] = F.coalesce(finite(f"z_{c}"), F.lit(0.0))
-        out[f"defaulted_{c}"] = F.col("_seen") < min_periods
-    return work.withColumns(raw).withColumns(out).select(*df.columns, *out)
+    kinds = {c: k for k, c in enumerate(columns)}
+    values = [_finite_text(c, f"_x{k}") for c, k in kinds.items()]
+    moments = {f"_x{k}": f"_m{k}" for k in kinds.values()}
+    work = work.selectExpr("*", *values)
+    work = expanding_moments(work, moments, ["_series"], order, span, seen="_seen")
+    raw = [
+        f"CASE WHEN _m{k}_n >= {min_periods}"
+        f" THEN (_x{k} - {mean_of(f'_m{k}')}) / ({std_of(f'_m{k}')} + {eps!r}D) END AS _z{k}"
+        for k in kinds.values()
+    ]
+    out = []
+    for c, k in kinds.items():
+        out += [
+            f"CASE WHEN abs(_z{k}) < double('infinity') THEN _z{k} ELSE 0.0D END AS `z_{c}`",
+            f"_seen < {min_periods} AS `defaulted_{c}`",
+        ]
+    return work.selectExpr("*", *raw).selectExpr(*[f"`{c}`" for c in df.columns], *out)
+
+
+def _finite_text(c: str, name: str) -> str:
+    """``finite`` as SQL text: NaN counts as greater than infinity in Spark."""
+    x = f"CAST(`{c}` AS DOUBLE)"
+    return f"CASE WHEN abs({x}) < double('infinity') THEN {x} END AS {name}"
 
 
 def _rolling_z(
@@ -98,7 +107,7 @@ def _rolling_z(
 
     Spark has no incremental sliding frame: it would aggregate ``window`` rows
     anew for every row and column.  Spark cuts, shuffles and bounds the chunks;
-    pandas slides over the rows of one chunk.
+    numpy slides over the rows of one chunk.
     """
     passed = [c for c in work.columns if c not in ("_series", "_chunk", "_row", "_own")]
     fields = [work.schema[c] for c in passed]
@@ -108,16 +117,17 @@ def _rolling_z(
     def score(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values("_row", kind="stable")
         own = chunk["_own"].to_numpy()
-        values = chunk[list(columns)].astype("float64")
-        values = values.where(np.isfinite(values))
-        history = values.rolling(window, min_periods=min_periods)
-        known = values.rolling(window, min_periods=0).count().shift(1).fillna(0)[own]
-        z = (values - history.mean().shift(1)) / (history.std(ddof=0).shift(1) + eps)
-        z = z.where(np.isfinite(z), 0.0)[own]
-        return pd.concat(
-            [chunk.loc[own, passed], z.add_prefix("z_"), (known < min_periods).add_prefix("defaulted_")],
-            axis=1,
+        values = chunk[list(columns)].to_numpy("float64", na_value=np.nan)
+        known, mean, std = previous_moments(values, window)
+        with np.errstate(all="ignore"):
+            z = (values - mean) / (std + eps)
+        z = np.where((known >= min_periods) & np.isfinite(z), z, 0.0)
+        out = chunk.loc[own, passed]
+        scores = pd.DataFrame(z[own], index=out.index, columns=[f"z_{c}" for c in columns])
+        short = pd.DataFrame(
+            known[own] < min_periods, index=out.index, columns=[f"defaulted_{c}" for c in columns]
         )
+        return pd.concat([out, scores, short], axis=1)
 
     return work.groupBy("_series", "_chunk").applyInPandas(score, T.StructType(fields))
 

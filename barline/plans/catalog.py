@@ -16,7 +16,7 @@ from ..operators import bars as bar_ops
 from ..operators import dedup, evaluate, model, profile, signals, zscore
 from ..operators.features import DERIVED_COLUMNS, FEATURE_COLUMNS, bar_features
 from ..operators.labels import drawdown_labels
-from ..session import shared_dir, tune
+from ..session import shared_dir, tune, written
 from ..sources import raw_files, tables
 from ..streaming import read_trade_stream, streaming_trade_bars, write_bars
 from . import inputs, jobs, oracle
@@ -64,7 +64,7 @@ def _features(spark: SparkSession, folder: str, step: int) -> DataFrame:
 _EPOCHS = """
 raw AS (
   SELECT event_id,
-         CASE event_id % 4 WHEN 0 THEN epoch_ms(ts) // 1000 WHEN 1 THEN epoch_ms(ts)
+         CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 WHEN 1 THEN epoch_us(ts) // 1000
               WHEN 2 THEN epoch_us(ts) ELSE epoch_us(ts) * 1000 END AS x
   FROM events)"""
 
@@ -131,8 +131,8 @@ def lenient_numbers(spark, folder):
 
 
 @query("""
-SELECT event_id, epoch_ms(ts) AS from_timestamp, epoch_ms(ts) AS from_number,
-       strftime(ts, '%Y-%m-%d') AS day, epoch_ms(ts) // 60000 * 60000 AS minute
+SELECT event_id, epoch_us(ts) // 1000 AS from_timestamp, epoch_us(ts) // 1000 AS from_number,
+       strftime(ts, '%Y-%m-%d') AS day, epoch_us(ts) // 60000000 * 60000 AS minute
 FROM events""")
 def open_time_forms(spark, folder):
     """The same instant read from a timestamp and from a fractional number of milliseconds."""
@@ -182,10 +182,10 @@ def _trade_lines(spark: SparkSession, folder: str) -> DataFrame:
     for symbol, fields in by_layout.items():
         line = line.when(F.col("symbol") == symbol, F.concat_ws(",", *fields))
     copies = F.when(F.col("trade_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    data = t.select(
+    data = t.withColumn("copy", F.explode(copies)).select(
         F.col("symbol").alias("source_file"),
         F.lit(0).cast("bigint").alias("split_start"),
-        (F.col("trade_id") * 2 + F.explode(copies)).alias("nth"),
+        (F.col("trade_id") * 2 + F.col("copy")).alias("nth"),
         line.otherwise(F.lit(None)).alias("line"),
         F.lit(None).cast("string").alias("error"),
     )
@@ -431,6 +431,11 @@ _WEEK = "r AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 168 PRECEDING
 _Z = [f"z_{c}" for c in _BASE]
 
 
+def _written_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly features as a table: an expanding score reads them twice."""
+    return written(_features(spark, folder, HOUR_MS), "features")
+
+
 @query(
     f"""
 WITH {oracle.features(HOUR)}, z AS (SELECT symbol, open_time, {_EXPANDING} FROM features WINDOW {_BEFORE})
@@ -438,7 +443,8 @@ SELECT symbol, open_time, {rounded(_Z, 4)} FROM z""",
     digits=4,
 )
 def causal_z_expanding(spark, folder):
-    return zscore.zscore_features(_features(spark, folder, HOUR_MS), min_periods=24, step_ms=HOUR_MS)
+    rows = _written_features(spark, folder)
+    return zscore.zscore_features(rows, min_periods=24, step_ms=HOUR_MS)
 
 
 @query(
@@ -475,7 +481,8 @@ SELECT symbol, open_time, {rounded(["y_dd_50p_H24m", "dd_min_H24m", "future_min_
 )
 def zscore_dataset(spark, folder):
     """Targets and z columns alone, ready for a model."""
-    return zscore.zscore_dataset(_modelling(spark, folder), min_periods=24, step_ms=HOUR_MS)
+    rows = written(_modelling(spark, folder), "modelling")
+    return zscore.zscore_dataset(rows, min_periods=24, step_ms=HOUR_MS)
 
 
 _POOLED = ["ret_1m", "imbalance", "trade_dollar_vol"]
@@ -494,7 +501,7 @@ SELECT symbol, open_time, {rounded([f"z_{c}" for c in _POOLED], 4)} FROM z""",
 )
 def causal_z_pooled(spark, folder):
     """One series over all symbols: no grouping by symbol."""
-    rows = _features(spark, folder, HOUR_MS).select("symbol", "open_time", *_POOLED)
+    rows = _written_features(spark, folder).select("symbol", "open_time", *_POOLED)
     return zscore.zscore_dataset(
         rows, min_periods=24, step_ms=HOUR_MS, by_symbol=False, order=["open_time", "symbol"]
     )
@@ -855,7 +862,8 @@ _LABEL = "y_dd_50p_H24m"
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
-    return model.labelled_rows(_modelling(spark, folder), _LABEL)
+    """Labelled hours, written once: a fit reads its input many times."""
+    return written(model.labelled_rows(_modelling(spark, folder), _LABEL), "labelled")
 
 
 @query(f"""
@@ -928,7 +936,7 @@ def hazard_out_of_sample(spark, folder):
 @query(digits=3)
 def hazard_test_metrics(spark, folder):
     """Rank and threshold metrics of the out-of-sample scores."""
-    scored = hazard_out_of_sample(spark, folder)
+    scored = written(hazard_out_of_sample(spark, folder), "scored")
     one = evaluate.threshold_metrics(scored, 0.5).withColumn("_k", F.lit(1))
     two = evaluate.rank_metrics(scored).withColumn("_k", F.lit(1))
     return one.join(two, "_k").drop("_k")

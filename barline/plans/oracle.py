@@ -15,7 +15,7 @@ def rounded(columns: Sequence[str], digits: int = 6) -> str:
 
 TRADES = """
 trades AS (
-  SELECT event_type AS symbol, event_id AS trade_id, epoch_ms(ts) AS time, value + 1 AS price,
+  SELECT event_type AS symbol, event_id AS trade_id, epoch_us(ts) // 1000 AS time, value + 1 AS price,
          CAST(event_id % 7 + 1 AS DOUBLE) AS qty, event_id % 2 = 1 AS isBuyerMaker
   FROM events)"""
 
