@@ -40,20 +40,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
     A temporary folder is made only where the setting is absent and Spark runs
     in local mode, so that no job on a cluster writes to one machine's disk.
     """
+    global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="barline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    _local_dir = _local_dir or tempfile.mkdtemp(prefix="barline-")
+    return _local_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
