@@ -12,7 +12,6 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,19 +92,16 @@ def find_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     """Files that match any pattern, once each, with the date their name holds.
 
     ``sort_key`` orders files by year, month, day (1 if absent) and lower-case
-    name; names without a date come last.  Only the listing is read.
+    name; names without a date come last.  Empty files are listed too: they
+    count where the presence of a file decides.
     """
-    found = None
+    conf = spark._jsc.hadoopConfiguration()
+    paths: set[str] = set()
     for pattern in patterns:
-        try:
-            listed = spark.read.format("binaryFile").load(pattern).select("path")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            continue
-        found = listed if found is None else found.union(listed)
-    if found is None:
-        found = spark.createDataFrame([], "path string")
+        glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = glob.getFileSystem(conf).globStatus(glob)
+        paths.update(s.getPath().toString() for s in found or [] if s.isFile())
+    found = spark.createDataFrame([(p,) for p in sorted(paths)], "path string")
     name = F.element_at(F.split("path", "/"), -1)
     date = r"(\d{4})-(\d{2})(?:-(\d{2}))?"
 
@@ -114,7 +110,7 @@ def find_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
         dated = F.coalesce(text.try_cast("int"), F.lit(1))
         return F.when(name.rlike(date), dated).otherwise(otherwise)
 
-    return found.distinct().select(
+    return found.select(
         "path",
         name.alias("file_name"),
         F.struct(
