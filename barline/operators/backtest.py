@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ROWS_PER_CHUNK, with_previous, with_running_total
+from .ordered import ROWS_PER_CHUNK, chunked, with_previous, with_running_total
 from .signals import positions, threshold_signal
 
 METRICS = (
@@ -43,14 +43,14 @@ def backtest(
 
     Adds position, trade size and flag, PnL, equity, its running peak, drawdown.
     """
-    table = positions(df, "signal", series, order, span)
+    table = positions(chunked(df, order, span), "signal", series, order, span)
     table = table.withColumns(
         _step_pnl(
             F.col("position"), F.col("previous_position"), F.col("realized_direction"), cost
         )
     ).drop("previous_position")
     table = with_running_total(table, "pnl", "equity", series, order, span, peak="peak")
-    return table.withColumn("drawdown", F.col("equity") - F.col("peak"))
+    return table.withColumn("drawdown", F.col("equity") - F.col("peak")).drop("_chunk")
 
 
 def domain_violations(table: DataFrame) -> DataFrame:

@@ -26,8 +26,20 @@ def keep_last(
     return keep_first(df, keys, backwards)
 
 
+# A row per file is well under 1 KB, so this many stay below 100 MB.
+MAX_BROADCAST_FILES = 100_000
+
+
+def per_file(table: DataFrame, files: int | None) -> DataFrame:
+    """A table with one row per file: broadcast where the number of files is known and small."""
+    return F.broadcast(table) if files is not None and files <= MAX_BROADCAST_FILES else table
+
+
 def dedup_trades(
-    trades: DataFrame, source: str = "source_file", order: Sequence[str] = ("position",)
+    trades: DataFrame,
+    source: str = "source_file",
+    order: Sequence[str] = ("position",),
+    files: int | None = None,
 ) -> DataFrame:
     """First row per trade within each source file.
 
@@ -37,7 +49,7 @@ def dedup_trades(
     has_ids = trades.groupBy(source).agg(
         F.bool_or(F.col("trade_id").isNotNull()).alias("_has_ids")
     )
-    keyed = trades.join(has_ids, source)
+    keyed = trades.join(per_file(has_ids, files), source)
     by_content = F.when(
         ~F.col("_has_ids"), F.struct("time", "price", "qty", "isBuyerMaker")
     )

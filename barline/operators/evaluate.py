@@ -112,21 +112,22 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     A single value gets a range of width 1 around it, as does numpy's histogram.
     """
     values = df.select(finite(F.col(value).cast("double")).alias("x")).where("x IS NOT NULL")
-    low, high = F.min("x"), F.max("x")
-    flat = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
-    limits = values.agg((low - flat).alias("low"), (high + flat).alias("high"))
-    low, high = limits.select("low").scalar(), limits.select("high").scalar()
-    placed = values.withColumn("_low", low).withColumn("_high", high)
-    width = (F.col("_high") - F.col("_low")) / bins
-    number = F.least(F.floor((F.col("x") - F.col("_low")) / width), F.lit(bins - 1))
-    counted = placed.groupBy(number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    edges = df.sparkSession.range(bins).select(
-        F.col("id").cast("int").alias("bin"), low.alias("_low"), high.alias("_high")
+    flat = F.when(F.min("x") == F.max("x"), F.lit(0.5)).otherwise(F.lit(0.0))
+    limits = values.agg(
+        F.struct((F.min("x") - flat).alias("low"), (F.max("x") + flat).alias("high")).alias("l")
+    ).scalar()
+    low, width = F.col("l.low"), (F.col("l.high") - F.col("l.low")) / bins
+    number = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).cast("int")
+    counted = (
+        values.withColumn("l", limits)
+        .groupBy(number.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return edges.join(counted, "bin", "left").select(
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.withColumn("l", limits).join(counted, "bin", "left").select(
         "bin",
-        (F.col("_low") + width * F.col("bin")).alias("bin_low"),
-        (F.col("_low") + width * (F.col("bin") + 1)).alias("bin_high"),
+        (low + width * F.col("bin")).alias("bin_low"),
+        (low + width * (F.col("bin") + 1)).alias("bin_high"),
         F.coalesce("n", F.lit(0)).alias("n_rows"),
     )
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import div
+from ..session import written
 
 ROWS_PER_CHUNK = 50_000
 # Frames up to this width are cheaper evaluated directly than by blocks.
@@ -39,8 +40,12 @@ def _earlier(series: Sequence[str]) -> WindowSpec:
     )
 
 
-def _chunked(df: DataFrame, order: Sequence[str], span: int) -> DataFrame:
-    return df.withColumn("_chunk", div(order[0], span))
+def chunked(df: DataFrame, order: Sequence[str], span: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Add the chunk column, unless an earlier scan over the same order left it.
+
+    Scans that share the column also share one shuffle and one sort.
+    """
+    return df if "_chunk" in df.columns else df.withColumn("_chunk", div(order[0], span))
 
 
 def with_row_index(
@@ -51,7 +56,7 @@ def with_row_index(
     name: str = "row_index",
 ) -> DataFrame:
     """Number the rows of each series from 0 in ``order``."""
-    keyed = _chunked(df, order, span)
+    keyed = chunked(df, order, span)
     starts = (
         keyed.groupBy(*series, "_chunk")
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -82,7 +87,7 @@ def with_previous(
         raise ValueError("one or two names are needed")
     inside = Window.partitionBy(*series, "_chunk").orderBy(*order)
     place = F.struct(*order)
-    local = _chunked(df, order, span).select(
+    local = chunked(df, order, span).select(
         "*",
         F.row_number().over(inside).alias("_nth"),
         F.lag(value, 1).over(inside).alias("_lag1"),
@@ -115,7 +120,7 @@ def with_previous(
     return (
         local.join(carried, [*series, "_chunk"])
         .withColumns(dict(zip(names, (first, second))))
-        .drop("_chunk", "_nth", "_lag1", "_lag2", "_carry1", "_carry2")
+        .select(*df.columns, *names)
     )
 
 
@@ -135,7 +140,7 @@ def with_running_total(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     local = (
-        _chunked(df, order, span)
+        chunked(df, order, span)
         .withColumn("_sum", F.sum(value).over(so_far))
         .withColumn("_max", F.max("_sum").over(so_far))
     )
@@ -153,7 +158,7 @@ def with_running_total(
     return (
         local.join(carried, [*series, "_chunk"])
         .withColumns(new)
-        .drop("_chunk", "_sum", "_max", "_base", "_before")
+        .select(*df.columns, *new)
     )
 
 
@@ -298,7 +303,7 @@ def expanding_moments(
     seen: str = "_seen",
 ) -> DataFrame:
     """Moments of all earlier rows of the series, and the number of them, ``seen``."""
-    keyed = _chunked(df, order, span)
+    keyed = chunked(df, order, span)
     values = dict(enumerate(columns))
     keys = [*series, "_chunk"]
 
@@ -348,22 +353,19 @@ def expanding_moments(
     return out.select(*df.columns, seen, *_names(list(columns.values())))
 
 
-def _value_buckets(counts: DataFrame, value: str, rows_per_chunk: int) -> DataFrame:
-    """Add ``_chunk``: ranges of ``value`` with about equal numbers of rows.
+def _value_bounds(counts: DataFrame, value: str, rows_per_chunk: int) -> list[float]:
+    """Bounds that cut ``value`` into ranges with about equal numbers of rows.
 
-    The bounds are approximate quantiles of the whole column, so no range holds
-    much more than its share however the values are spread.
+    They are approximate quantiles of the whole column, so no range holds much
+    more than its share however the values are spread.
     """
-    rows = counts.count()
-    buckets = min(math.ceil(rows / rows_per_chunk), MAX_BUCKETS)
+    buckets = min(math.ceil(counts.count() / rows_per_chunk), MAX_BUCKETS)
     if buckets <= 1:
-        return counts.withColumn("_chunk", F.lit(0))
+        return []
     cuts = counts.agg(
         F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 20 * buckets)
     ).first()[0]
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=value, outputCol="_chunk").transform(counts)
-    return bucketed.withColumn("_chunk", F.col("_chunk").cast("int"))
+    return sorted(set(map(float, cuts)))
 
 
 def with_sums_below(
@@ -375,9 +377,27 @@ def with_sums_below(
 ) -> DataFrame:
     """Add ``<s>_below``: the sum of ``s`` over all smaller values of the series.
 
-    ``counts`` holds one row per series and value, neither NULL nor NaN.
+    ``counts`` holds one row per series and value, neither NULL nor NaN.  It is
+    read several times, so it is written once.
     """
-    keyed = _value_buckets(counts, value, rows_per_chunk)
+    counts = written(counts, "counts")
+    bounds = _value_bounds(counts, value, rows_per_chunk)
+
+    def smaller(*keys: str) -> WindowSpec:
+        window = Window.partitionBy(*keys).orderBy(value)
+        return window.rowsBetween(Window.unboundedPreceding, -1)
+
+    if not bounds:  # the whole table is no longer than one chunk
+        below = {s: F.sum(s).over(smaller(*series)) for s in sums}
+        return counts.withColumns(
+            {f"{s}_below": F.coalesce(total, F.lit(0)) for s, total in below.items()}
+        )
+
+    ranges = Bucketizer(
+        splits=[-float("inf"), *bounds, float("inf")], inputCol="_value", outputCol="_range"
+    )
+    keyed = ranges.transform(counts.withColumn("_value", F.col(value).cast("double")))
+    keyed = keyed.withColumn("_chunk", F.col("_range").cast("int")).drop("_value", "_range")
     earlier = _earlier(series)
     carried = (
         keyed.groupBy(*series, "_chunk")
@@ -391,20 +411,16 @@ def with_sums_below(
             ],
         )
     )
-    smaller = (
-        Window.partitionBy(*series, "_chunk")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = smaller(*series, "_chunk")
     return (
         keyed.join(carried, [*series, "_chunk"])
         .withColumns(
             {
-                f"{s}_below": F.col(f"_base_{s}") + F.coalesce(F.sum(s).over(smaller), F.lit(0))
+                f"{s}_below": F.col(f"_base_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))
                 for s in sums
             }
         )
-        .drop("_chunk", *[f"_base_{s}" for s in sums])
+        .select(*counts.columns, *[f"{s}_below" for s in sums])
     )
 
 

@@ -208,7 +208,8 @@ GROUP BY symbol, time, isBuyerMaker, trade_id""")
 def normalised_trade_lines(spark, folder):
     """Lines of five layouts to one schema, repeats within a file removed."""
     lines = _trade_lines(spark, folder)
-    trades = dedup.dedup_trades(raw_files.normalize_trades(lines))
+    files = len(_LINE_FILES)
+    trades = dedup.dedup_trades(raw_files.normalize_trades(lines, files), files=files)
     return trades.select(
         "source_file", "time", "price", "qty", "isBuyerMaker", "trade_id"
     )
@@ -243,7 +244,7 @@ def normalised_kline_lines(spark, folder):
         F.lit("Open time,Open,High,Low,Close,Volume,Close time,Quote volume").alias("line"),
         empty,
     ).distinct()
-    return raw_files.normalize_klines(data.unionByName(header)).select(
+    return raw_files.normalize_klines(data.unionByName(header), len(_LINE_FILES)).select(
         "source_file",
         "open_time_raw",
         "open_time",
@@ -644,7 +645,7 @@ SELECT CAST(r AS INTEGER) AS bin, round(lo + (hi - lo) / 50 * r, 6) + 0.0 AS bin
        round(lo + (hi - lo) / 50 * (r + 1), 6) + 0.0 AS bin_high, coalesce(n, 0) AS n_rows
 FROM range(50) AS t(r) CROSS JOIN lim LEFT JOIN binned ON bin = r""")
 def pnl_histogram(spark, folder):
-    return evaluate.histogram(_pnl(spark, folder), "pnl", 50)
+    return evaluate.histogram(written(_pnl(spark, folder).select("pnl"), "pnl"), "pnl", 50)
 
 
 # --- wide features and the linear rule ---------------------------------------------------
@@ -937,9 +938,10 @@ def hazard_out_of_sample(spark, folder):
 def hazard_test_metrics(spark, folder):
     """Rank and threshold metrics of the out-of-sample scores."""
     scored = written(hazard_out_of_sample(spark, folder), "scored")
-    one = evaluate.threshold_metrics(scored, 0.5).withColumn("_k", F.lit(1))
-    two = evaluate.rank_metrics(scored).withColumn("_k", F.lit(1))
-    return one.join(two, "_k").drop("_k")
+    ranks = evaluate.rank_metrics(scored)
+    return evaluate.threshold_metrics(scored, 0.5).withColumns(
+        {c: ranks.select(c).scalar() for c in ranks.columns}
+    )
 
 
 # --- profile -----------------------------------------------------------------------------

@@ -28,6 +28,7 @@ from ..operators.bars import check_grid, join_bars, trade_bars
 from ..operators.dedup import keep_last
 from ..operators.features import FEATURE_COLUMNS, GRID_COLUMNS, LONG, MEDIUM, SHORT, bar_features
 from ..operators.labels import drawdown_labels
+from ..session import written
 from ..sources import tables
 
 
@@ -124,7 +125,7 @@ def load_grid(spark: SparkSession, config: FeatureConfig) -> DataFrame:
     prices = {c: finite(to_double(c)) for c in ("open", "high", "low", "close", "volume")}
     work = _with_symbol(raw, config.symbol).withColumns({**prices, "open_time": open_time_ms(raw)})
     work = _in_range(work.na.drop(subset=["open_time"]), config.start_date, config.end_date, "candle table")
-    grid = keep_last(work, ["symbol", "open_time"], ["position"]).select(*GRID_COLUMNS)
+    grid = written(keep_last(work, ["symbol", "open_time"], ["position"]).select(*GRID_COLUMNS), "grid")
     check_grid(grid, config.step_ms)
     return grid
 
@@ -376,14 +377,14 @@ def rule_backtest(
     rows = rule_rows(df, rule, config.label).withColumn(
         "signal", signals.threshold_signal("score", threshold)
     )
-    return bt.backtest(rows, config.cost, **scan)
+    return bt.backtest(written(rows, "signals"), config.cost, **scan)
 
 
 def tune_rule(train: DataFrame, config: ExperimentConfig, **scan):
     """Fit the rule and pick its threshold on training rows alone."""
     rule = signals.fit_rule(train, config.features, config.label, config.top_k)
     sensitivity = bt.threshold_sensitivity(
-        rule_rows(train, rule, config.label),
+        written(rule_rows(train, rule, config.label), "scores"),
         parse_grid(config.thresholds),
         config.cost,
         config.annualization,
@@ -401,7 +402,8 @@ def run_experiment(
         raise ValueError("strategy must be oracle, rule or both")
     frames = {}
     for name, path in (("train", train), ("test", test)):
-        df = tables.read_wide_csv(spark, path)
+        # every step below reads the wide rows again, so their text is parsed once
+        df = written(tables.read_wide_csv(spark, path), name)
         require_columns(df, [config.label, *config.features], f"{name} table")
         frames[name] = signals.standardize(df, config.features) if config.standardize else df
     stats = _as_dict(signals.feature_stats(frames["train"], config.features))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean_name, clean_name_text, epoch_ms, to_bool, to_double, to_long, utc_timestamp
-from ..operators.dedup import dedup_trades, keep_first
+from ..operators.dedup import dedup_trades, keep_first, per_file
 
 # Column order of headerless candle files.
 KLINE_COLUMNS = (
@@ -83,8 +83,6 @@ TRADE_HEADER = (
     "isbuyermaker",
 )
 TRADE_OUTPUT = ("time", "price", "qty", "isBuyerMaker", "trade_id")
-# A layout row is well under 1 KB, so this many stay below 100 MB.
-MAX_BROADCAST_FILES = 100_000
 LINE_SCHEMA = "source_file string, split_start bigint, nth bigint, line string, error string"
 
 
@@ -231,14 +229,14 @@ def header_like(fields: Column, known: Sequence[str]) -> Column:
     return F.size(F.array_intersect(cleaned, F.array(*[F.lit(k) for k in known]))) >= 3
 
 
-def _with_fields(lines: DataFrame) -> DataFrame:
+def _with_fields(lines: DataFrame, files: int | None) -> DataFrame:
     """Data lines of readable files with their fields.
 
     A file with an unreadable part is left out as a whole, as it would be if it
     were read in one piece.
     """
     broken = rejected_files(lines).select("source_file").distinct()
-    good = lines.where("error IS NULL").join(broken, "source_file", "left_anti")
+    good = lines.where("error IS NULL").join(per_file(broken, files), "source_file", "left_anti")
     position = F.struct("split_start", "nth")
     return good.select("source_file", position.alias("position"), split_fields(F.col("line")).alias("fields"))
 
@@ -252,18 +250,13 @@ def _first_lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def _per_file(table: DataFrame, files: int | None) -> DataFrame:
-    """A table with one row per file: broadcast where the number of files is known and small."""
-    return F.broadcast(table) if files is not None and files <= MAX_BROADCAST_FILES else table
-
-
 def normalize_klines(lines: DataFrame, files: int | None = None) -> DataFrame:
     """Candle lines to the merged layout, with file and position; rows without a time drop."""
-    rows = _with_fields(lines)
+    rows = _with_fields(lines, files)
     firsts = _first_lines(rows).select(
         "source_file", "first_position", header_like(F.col("first"), KLINE_HEADER).alias("headed")
     )
-    data = rows.join(_per_file(firsts, files), "source_file").where(
+    data = rows.join(per_file(firsts, files), "source_file").where(
         ~(F.col("headed") & (F.col("position") == F.col("first_position")))
     )
     raw = data.select(
@@ -318,11 +311,11 @@ def normalize_trades(lines: DataFrame, files: int | None = None) -> DataFrame:
     Each file's layout is read off its first line, so one row per file decides
     where the columns of all its lines are.
     """
-    rows = _with_fields(lines)
+    rows = _with_fields(lines, files)
     firsts = _first_lines(rows).withColumn("headed", header_like(F.col("first"), TRADE_HEADER))
     places = {f"_at_{c}": p for c, p in _field_places(F.col("first"), F.col("headed")).items()}
     layouts = firsts.select("source_file", "first_position", "headed", *[p.alias(c) for c, p in places.items()])
-    data = rows.join(_per_file(layouts, files), "source_file").where(
+    data = rows.join(per_file(layouts, files), "source_file").where(
         ~(F.col("headed") & (F.col("position") == F.col("first_position")))
     )
 
@@ -347,7 +340,7 @@ def merge_klines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     ranks = spark.createDataFrame(list(enumerate(paths)), "file_rank int, source_file string")
     ranks = ranks.withColumn("source_file", _plain_path("source_file"))
     keyed = candles.withColumn("source_file", _plain_path("source_file")).join(
-        _per_file(ranks, len(paths)), "source_file"
+        per_file(ranks, len(paths)), "source_file"
     )
     first = keep_first(keyed, ["open_time"], ["file_rank", "position"])
     return first.select(*KLINE_OUTPUT)
@@ -361,5 +354,5 @@ def _plain_path(c: str) -> Column:
 def merge_trades(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Trades of all files, each file without its own repeats, and the rejected files."""
     lines = read_lines(spark, paths)
-    trades = dedup_trades(normalize_trades(lines, len(paths)))
+    trades = dedup_trades(normalize_trades(lines, len(paths)), files=len(paths))
     return trades.select(*TRADE_OUTPUT, "source_file"), rejected_files(lines)
