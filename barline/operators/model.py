@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, open_time_ms, to_double
+from ..session import written
 from .ordered import ROWS_PER_CHUNK, with_sums_below
 
 PREDICTION_SAMPLE_ROWS = 5_000
@@ -108,7 +109,8 @@ def fit_logistic(train: DataFrame, features: Sequence[str], max_iter: int = 2000
     )
     scaler = SQLTransformer(statement=f"SELECT *, {terms} FROM __THIS__")
     assembler = VectorAssembler(inputCols=scaled, outputCol="_features")
-    rows = assembler.transform(scaler.transform(clean)).select("_features", "y_true")
+    # the optimiser passes over these rows again and again, and survives lost executors
+    rows = written(assembler.transform(scaler.transform(clean)).select("_features", "y_true"), "train")
     logistic = LogisticRegression(
         featuresCol="_features",
         labelCol="y_true",
