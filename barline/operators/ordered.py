@@ -48,6 +48,18 @@ def chunked(df: DataFrame, order: Sequence[str], span: int = ROWS_PER_CHUNK) ->
     return df if "_chunk" in df.columns else df.withColumn("_chunk", div(order[0], span))
 
 
+def chunked_by_rows(
+    df: DataFrame, order: Sequence[str], span: int, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Like ``chunked``, with bounds that hold about ``rows_per_chunk`` rows each.
+
+    For series with many rows per key or an uneven density, where a fixed span
+    could hold any number of rows.  A table of one chunk's length keeps the span.
+    """
+    bounds = _value_bounds(df.select(order[0]), order[0], rows_per_chunk)
+    return _ranged(df, order[0], bounds) if bounds else chunked(df, order, span)
+
+
 def with_row_index(
     df: DataFrame,
     series: Sequence[str],
@@ -70,7 +82,7 @@ def with_row_index(
     return (
         keyed.join(starts, [*series, "_chunk"])
         .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_chunk", "_start")
+        .select(*[c for c in df.columns if c != "_chunk"], name)
     )
 
 
@@ -350,7 +362,8 @@ def expanding_moments(
         e for k, p in enumerate(columns.values()) for e in _merged(f"_carry{k}", f"_here{k}", p)
     ]
     out = out.selectExpr("*", f"_rows_before + _nth - 1 AS {seen}", *merged)
-    return out.select(*df.columns, seen, *_names(list(columns.values())))
+    kept = [c for c in df.columns if c != "_chunk"]
+    return out.select(*kept, seen, *_names(list(columns.values())))
 
 
 def _value_bounds(counts: DataFrame, value: str, rows_per_chunk: int) -> list[float]:
@@ -368,6 +381,14 @@ def _value_bounds(counts: DataFrame, value: str, rows_per_chunk: int) -> list[fl
     return sorted(set(map(float, cuts)))
 
 
+def _ranged(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
+    ranges = Bucketizer(
+        splits=[-float("inf"), *bounds, float("inf")], inputCol="_value", outputCol="_range"
+    )
+    found = ranges.transform(df.withColumn("_value", F.col(value).cast("double")))
+    return found.withColumn("_chunk", F.col("_range").cast("int")).drop("_value", "_range")
+
+
 def with_sums_below(
     counts: DataFrame,
     series: Sequence[str],
@@ -393,11 +414,7 @@ def with_sums_below(
             {f"{s}_below": F.coalesce(total, F.lit(0)) for s, total in below.items()}
         )
 
-    ranges = Bucketizer(
-        splits=[-float("inf"), *bounds, float("inf")], inputCol="_value", outputCol="_range"
-    )
-    keyed = ranges.transform(counts.withColumn("_value", F.col(value).cast("double")))
-    keyed = keyed.withColumn("_chunk", F.col("_range").cast("int")).drop("_value", "_range")
+    keyed = _ranged(counts, value, bounds)
     earlier = _earlier(series)
     carried = (
         keyed.groupBy(*series, "_chunk")

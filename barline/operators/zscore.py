@@ -15,6 +15,7 @@ from ..functions.schema import TARGET_PREFIXES
 from .sliding import previous_moments
 from .ordered import (
     ROWS_PER_CHUNK,
+    chunked_by_rows,
     expanding_moments,
     mean_of,
     std_of,
@@ -58,13 +59,11 @@ def causal_z(
     _check(mode, window, min_periods, eps)
     if not columns:
         raise ValueError("no numeric base feature columns")
-    group = (
-        F.coalesce(F.col("symbol").cast("string"), F.lit(MISSING_SYMBOL))
-        if by_symbol and "symbol" in df.columns
-        else F.lit(ALL_ROWS)
-    )
     span = rows_per_chunk * step_ms
-    work = df.withColumn("_series", group)
+    if by_symbol and "symbol" in df.columns:
+        work = df.withColumn("_series", F.coalesce(F.col("symbol").cast("string"), F.lit(MISSING_SYMBOL)))
+    else:  # many symbols may share a time: chunks are cut by rows, not by time
+        work = chunked_by_rows(df.withColumn("_series", F.lit(ALL_ROWS)), order, span, rows_per_chunk)
     if mode == "rolling":
         if strict_grid:
             work = work.withColumn("_row", div("open_time", step_ms))

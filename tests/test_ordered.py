@@ -173,3 +173,22 @@ def test_quantiles_of_ranked_values(spark, data, rows_per_chunk):
     for row in found.collect():
         values = data.loc[data["symbol"] == row.symbol, "x"].dropna()
         np.testing.assert_allclose(row.quantiles, np.quantile(values, [0, 0.1, 0.5, 0.77, 1]))
+
+
+@pytest.mark.parametrize("mode", ["expanding", "rolling"])
+def test_pooled_scores_cut_chunks_by_rows(spark, data, mode):
+    """All symbols in one series, many rows per time."""
+    df = _spark(spark, data).withColumn("open_time", F.floor(F.col("k") / 50))
+    df = df.withColumn("tie", F.concat("symbol", F.lpad(F.col("k").cast("string"), 9, "0")))
+    kept = []
+    for size in (40, 10_000):
+        options = dict(mode=mode, window=30, min_periods=5, step_ms=1, rows_per_chunk=size)
+        z = causal_z(df, ["x"], by_symbol=False, order=["open_time", "tie"], **options)
+        kept.append(_pandas(z, "open_time", "tie"))
+    assert len(kept[0]) == len(data)
+    np.testing.assert_allclose(kept[0]["z_x"], kept[1]["z_x"], rtol=1e-7, atol=1e-7)
+    x = kept[0]["x"]
+    history = x.expanding(5) if mode == "expanding" else x.rolling(30, min_periods=5)
+    z = ((x - history.mean().shift(1)) / (history.std(ddof=0).shift(1) + 1e-12)).fillna(0.0)
+    moving = history.std(ddof=0).shift(1) > 1e-3
+    np.testing.assert_allclose(kept[0].loc[moving, "z_x"], z[moving], rtol=1e-6, atol=1e-6)
