@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import div
 from ..session import written
 
-ROWS_PER_CHUNK = 50_000
+ROWS_PER_CHUNK = 20_000
 # Frames up to this width are cheaper evaluated directly than by blocks.
 DIRECT_WIDTH = 60
 MAX_BUCKETS = 10_000
