@@ -4,6 +4,7 @@ from .scalars import (
     day_bounds_ms,
     div,
     epoch_ms,
+    epoch_ms_of,
     finite,
     minute_floor,
     open_time_ms,

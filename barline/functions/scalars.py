@@ -71,13 +71,17 @@ def to_bool(c: str | Column) -> Column:
 
 def epoch_ms(c: str | Column) -> Column:
     """Epoch in s, ms, us or ns (told apart by magnitude) to epoch milliseconds."""
-    x = to_long(c)
-    d = finite(to_double(c))
+    return epoch_ms_of(to_long(c), finite(to_double(c)))
+
+
+def epoch_ms_of(whole: str | Column, number: str | Column) -> Column:
+    """The same of a value that is already parsed, as bigint and as double."""
+    x, d = _col(whole), _col(number)
 
     def beyond(v: Column, limit: float) -> Column:
         return (v >= F.lit(limit)) | (v <= F.lit(-limit))
 
-    whole = (
+    exact = (
         F.when(beyond(x, 1e17), div(x, 1_000_000))
         .when(beyond(x, 1e14), div(x, 1_000))
         .when(~beyond(x, 1e11), x * 1_000)
@@ -89,7 +93,7 @@ def epoch_ms(c: str | Column) -> Column:
         .when(~beyond(d, 1e11), F.rint(d * 1e3))
         .otherwise(F.rint(d))
     )
-    return F.coalesce(whole, broken.try_cast("bigint"))
+    return F.coalesce(exact, broken.try_cast("bigint"))
 
 
 def open_time_ms(df: DataFrame, name: str = "open_time") -> Column:

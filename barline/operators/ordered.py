@@ -98,7 +98,7 @@ def with_previous(
     if not 1 <= len(names) <= 2:
         raise ValueError("one or two names are needed")
     inside = Window.partitionBy(*series, "_chunk").orderBy(*order)
-    place = F.struct(*order)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     local = chunked(df, order, span).select(
         "*",
         F.row_number().over(inside).alias("_nth"),

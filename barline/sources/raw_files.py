@@ -15,7 +15,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean_name, clean_name_text, epoch_ms, to_bool, to_double, to_long, utc_timestamp
+from ..functions import (
+    clean_name,
+    clean_name_text,
+    epoch_ms_of,
+    finite,
+    to_bool,
+    to_double,
+    to_long,
+    utc_timestamp,
+)
 from ..operators.dedup import dedup_trades, keep_first, per_file
 
 # Column order of headerless candle files.
@@ -241,23 +250,34 @@ def _with_fields(lines: DataFrame, files: int | None) -> DataFrame:
     return good.select("source_file", position.alias("position"), split_fields(F.col("line")).alias("fields"))
 
 
-def _first_lines(rows: DataFrame) -> DataFrame:
-    """The first line of each file; it lies in the split that starts the file."""
+def _first_lines(rows: DataFrame, files: int | None) -> DataFrame:
+    """The first line of each file; it lies in the split that starts the file.
+
+    The smallest place is found first: that aggregates one number per line in a
+    hash table, where carrying the fields along would sort all lines.
+    """
+    starts = rows.where("position.split_start = 0")
+    places = starts.groupBy("source_file").agg(F.min("position.nth").alias("_nth"))
     return (
-        rows.where("position.split_start = 0")
-        .groupBy("source_file")
-        .agg(F.min_by("fields", "position").alias("first"), F.min("position").alias("first_position"))
+        starts.join(per_file(places, files), "source_file")
+        .where("position.nth = _nth")
+        .select("source_file", F.col("fields").alias("first"))
     )
 
 
+def _repeats_header() -> Column:
+    """The header itself, or a line equal to it, which holds no data either."""
+    return F.col("headed") & (F.col("fields") == F.col("first"))
+
+
 def normalize_klines(lines: DataFrame, files: int | None = None) -> DataFrame:
     """Candle lines to the merged layout, with file and position; rows without a time drop."""
     rows = _with_fields(lines, files)
-    firsts = _first_lines(rows).select(
-        "source_file", "first_position", header_like(F.col("first"), KLINE_HEADER).alias("headed")
+    firsts = _first_lines(rows, files).select(
+        "source_file", "first", header_like(F.col("first"), KLINE_HEADER).alias("headed")
     )
     data = rows.join(per_file(firsts, files), "source_file").where(
-        ~(F.col("headed") & (F.col("position") == F.col("first_position")))
+        ~_repeats_header()
     )
     raw = data.select(
         "source_file",
@@ -268,13 +288,13 @@ def normalize_klines(lines: DataFrame, files: int | None = None) -> DataFrame:
     for c in KLINE_COLUMNS:
         if c not in ("open_time", "close_time"):
             typed[c] = to_long(c) if c in KLINE_INTEGERS else to_double(c)
-    for c in ("open_time", "close_time"):
-        typed[f"{c}_raw"] = to_long(c)
-        typed[c] = epoch_ms(c)
-    out = raw.withColumns(typed).na.drop(subset=["open_time"])
-    out = out.withColumns(
-        {f"{c}_utc": utc_timestamp(c) for c in ("open_time", "close_time")}
-    )
+    times = ("open_time", "close_time")
+    for c in times:
+        typed |= {f"{c}_raw": to_long(c), f"_{c}": finite(to_double(c))}
+    out = raw.withColumns(typed)
+    out = out.withColumns({c: epoch_ms_of(f"{c}_raw", f"_{c}") for c in times})
+    out = out.na.drop(subset=["open_time"])
+    out = out.withColumns({f"{c}_utc": utc_timestamp(c) for c in times})
     return out.select("source_file", "position", *KLINE_OUTPUT)
 
 
@@ -312,24 +332,30 @@ def normalize_trades(lines: DataFrame, files: int | None = None) -> DataFrame:
     where the columns of all its lines are.
     """
     rows = _with_fields(lines, files)
-    firsts = _first_lines(rows).withColumn("headed", header_like(F.col("first"), TRADE_HEADER))
+    firsts = _first_lines(rows, files).withColumn("headed", header_like(F.col("first"), TRADE_HEADER))
     places = {f"_at_{c}": p for c, p in _field_places(F.col("first"), F.col("headed")).items()}
-    layouts = firsts.select("source_file", "first_position", "headed", *[p.alias(c) for c, p in places.items()])
+    layouts = firsts.select("source_file", "first", "headed", *[p.alias(c) for c, p in places.items()])
     data = rows.join(per_file(layouts, files), "source_file").where(
-        ~(F.col("headed") & (F.col("position") == F.col("first_position")))
+        ~_repeats_header()
     )
 
     def text(c: str) -> Column:
         return F.get("fields", F.col(f"_at_{c}") - 1)
 
-    return data.select(
+    # one parse per step: a text is split, then read, then interpreted
+    texts = data.select("source_file", "position", *[text(c).alias(c) for c in TRADE_OUTPUT])
+    parsed = texts.select(
         "source_file",
         "position",
-        epoch_ms(text("time")).alias("time"),
-        to_double(text("price")).alias("price"),
-        to_double(text("qty")).alias("qty"),
-        to_bool(text("isBuyerMaker")).alias("isBuyerMaker"),
-        to_long(text("trade_id")).alias("trade_id"),
+        to_long("time").alias("whole"),
+        finite(to_double("time")).alias("number"),
+        to_double("price").alias("price"),
+        to_double("qty").alias("qty"),
+        to_bool("isBuyerMaker").alias("isBuyerMaker"),
+        to_long("trade_id").alias("trade_id"),
+    )
+    return parsed.select(
+        "source_file", "position", epoch_ms_of("whole", "number").alias("time"), *TRADE_OUTPUT[1:]
     ).na.drop(subset=["time"])
 
 

@@ -96,8 +96,9 @@ def test_archives(spark, tmp_path):
 
 def test_lines_of_a_split_file_keep_their_order(spark, tmp_path):
     """The first of two rows with one id lies in another split than the second."""
+    head = "id,price,qty,quoteQty,time,isBuyerMaker,best\n"
     body = "".join(f"{i % 20_000},{i},2,2,{T0 + i},True,True\n" for i in range(40_000))
-    _write(f"{tmp_path}/big.csv", body)
+    _write(f"{tmp_path}/big.csv", head + body)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
     try:
