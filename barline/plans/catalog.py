@@ -209,7 +209,8 @@ def normalised_trade_lines(spark, folder):
     """Lines of five layouts to one schema, repeats within a file removed."""
     lines = _trade_lines(spark, folder)
     files = len(_LINE_FILES)
-    trades = dedup.dedup_trades(raw_files.normalize_trades(lines, files), files=files)
+    parsed = written(raw_files.normalize_trades(lines, files), "parsed_trades")
+    trades = dedup.dedup_trades(parsed, files=files)
     return trades.select(
         "source_file", "time", "price", "qty", "isBuyerMaker", "trade_id"
     )

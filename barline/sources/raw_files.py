@@ -26,6 +26,7 @@ from ..functions import (
     utc_timestamp,
 )
 from ..operators.dedup import dedup_trades, keep_first, per_file
+from ..session import written
 
 # Column order of headerless candle files.
 KLINE_COLUMNS = (
@@ -380,5 +381,7 @@ def _plain_path(c: str) -> Column:
 def merge_trades(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Trades of all files, each file without its own repeats, and the rejected files."""
     lines = read_lines(spark, paths)
-    trades = dedup_trades(normalize_trades(lines, len(paths)), files=len(paths))
+    # typed once and written: the repeats are found in two passes over columns, not over text
+    parsed = written(normalize_trades(lines, len(paths)), "parsed_trades")
+    trades = dedup_trades(parsed, files=len(paths))
     return trades.select(*TRADE_OUTPUT, "source_file"), rejected_files(lines)
