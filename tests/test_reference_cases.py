@@ -13,7 +13,7 @@ from barline.operators.bars import TRADE_AGG_COLUMNS
 from barline.operators.features import DERIVED_COLUMNS, FEATURE_COLUMNS
 from barline.plans import jobs
 
-SYMBOL = "PEPEUSDT"
+SYMBOL = "ABCUSDT"
 DAY = {"start_date": "2024-10-01", "end_date": "2024-10-01"}
 
 
