@@ -6,11 +6,11 @@ import pytest
 from conftest import BASE, MINUTE
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from barline.operators import backtest as bt
 from barline.operators import dedup
 from barline.operators.bars import trade_bars
 from barline.operators.features import bar_features
+from barline.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -55,9 +55,9 @@ def test_backtest_shuffles_rows_once_per_branch(spark):
     assert plan.count("Exchange hashpartitioning(_chunk") <= 4
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_query_pairs_all_rows(spark, name):
     if name.startswith("hazard_") and name != "hazard_diagnostics":
         pytest.skip("fits a model to build its plan")
-    plan = _plan(queries()[name](spark, FOLDER))
+    plan = _plan(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

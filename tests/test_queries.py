@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from barline.plans.catalog import QUERIES, SQL
 from check import normalised
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,12 +22,12 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    ours = normalised(queries()[name](spark, FOLDER).toPandas())
+    ours = normalised(QUERIES[name](spark, FOLDER).toPandas())
     assert len(ours)
-    if name in oracle_sql():
-        theirs = normalised(duck.sql(oracle_sql()[name]).df())
+    if name in SQL:
+        theirs = normalised(duck.sql(SQL[name]).df())
         assert list(ours.columns) == list(theirs.columns)
         assert ours.equals(theirs)
 
