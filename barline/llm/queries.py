@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces
+from . import pieces, quality
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,3 +24,8 @@ def query(build: Query) -> Query:
 @query
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.piece_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
