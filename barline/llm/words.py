@@ -13,6 +13,8 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 BLANK_CUT = np.where(WHITE, 0, 1).astype(np.uint8)
 #: Kinds of bytes: 0 white space, 1 letters and digits with all of UTF-8 beyond ASCII, 2 signs.
 SIGN_CUT = np.array([0 if WHITE[b] else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
+#: Kinds of bytes: 0 signs and white space, 1 letters and digits with all of UTF-8 beyond ASCII.
+LETTER_CUT = np.where(SIGN_CUT == 1, 1, 0).astype(np.uint8)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
