@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, quality, toxicity
+from . import language, pieces, quality, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,8 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(table(spark, folder, "documents"))
