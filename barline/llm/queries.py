@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, pieces, quality, toxicity
+from . import language, near_dup, pieces, quality, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,8 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(table(spark, folder, "documents"))
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(spark, table(spark, folder, "documents"), near_dup.Near(words=2, percent=80))
