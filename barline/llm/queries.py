@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_dup, pieces, quality, toxicity
+from . import embedding_dup, language, near_dup, pieces, quality, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,8 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(spark, table(spark, folder, "documents"), near_dup.Near(words=2, percent=80))
+
+
+@query
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dup.near_vectors(spark, table(spark, folder, "embeddings"))
