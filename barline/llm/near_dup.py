@@ -15,7 +15,6 @@ No bucket, group or number of partners is capped.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Scratch, components
+from .banding import linked
+from .graph import Scratch
 from .tables import map_batches, row_blocks, text_bytes
 from .words import LOWER, find_words, hash_words, joined_hash, mixed
 
@@ -228,32 +228,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Near = Near()) -> D
     classes = full.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "registers")).alias("least"))
     classes = scratch.write(classes.select("d1", "d2", "n", F.col("least.doc_id").alias("id"), F.col("least.registers").alias("registers")))
 
-    bands = _bands(classes, p)
-    shared = bands.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1")
-    members = scratch.write(bands.join(shared.select("key", "first"), "key"))
-    votes = members.where("id <> first").groupBy("id", "first").agg(F.count("*").alias("votes"), F.max("n").alias("n"))
-    best = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("first")).alias("low"), "n")).alias("best"))
-    pairs = best.select((-F.col("best.low")).alias("u"), F.col("id").alias("v"), F.col("best.n").alias("n"))
-    links = scratch.write(confirmed(docs, pairs, p, scratch))
-
-    found = components(links, scratch)
-    placed = members.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    placed = scratch.write(placed)
-    kinds = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed_keys = kinds.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed_rows = scratch.write(placed.join(mixed_keys.select("key", F.col("most.component").alias("major")), "key"))
-    few = mixed_rows.where("component <> major").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    rest = mixed_rows.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    sized = 100 * F.least("nx", "ny") >= p.percent * F.greatest("nx", "ny")
-    more = (
-        few.join(rest, "key")
-        .where((F.col("cx") != F.col("cy")) & sized)
-        .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.greatest("nx", "ny").alias("n"))
-        .distinct()
+    found = linked(
+        _bands(classes, p),
+        lambda pairs: confirmed(docs, pairs, p, scratch),
+        p.percent,
+        scratch,
+        lambda pairs: _estimated(pairs, classes, p),
     )
-    more = confirmed(docs, _estimated(more, classes, p), p, scratch)
-    links = scratch.write(links.unionByName(scratch.write(more)))
-    return _answer(drawn, classes, components(links, scratch))
+    return _answer(drawn, classes, found)
 
 
 def _answer(drawn: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:

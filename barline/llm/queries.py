@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dup, language, near_dup, pieces, quality, toxicity
+from . import embedding_dup, language, lines, near_dup, pieces, quality, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,8 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dup.near_vectors(spark, table(spark, folder, "embeddings"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(spark, table(spark, folder, "documents"))
