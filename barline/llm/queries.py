@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dup, language, lines, near_dup, pieces, quality, toxicity
+from . import decontamination, embedding_dup, language, lines, near_dup, pieces, quality, secret_scan, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,13 @@ def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(spark, table(spark, folder, "documents"))
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.overlaps(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
+
+
+@query
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, folder, "documents"))
