@@ -245,3 +245,10 @@ def _answer(drawn: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, p: Near = Near()) -> DataFrame:
+    """docs with the document of the smallest id of each group of near duplicates, all columns kept."""
+    scratch = Scratch(spark)
+    gone = near_duplicates(spark, docs.select("doc_id", "text"), p).where("not kept").select("doc_id").distinct()
+    return docs.join(scratch.write(gone), "doc_id", "left_anti").select(*docs.columns)

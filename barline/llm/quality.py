@@ -124,32 +124,52 @@ def train_quality(docs: DataFrame, labels: DataFrame, parameters: Ftrl = Ftrl())
     return weights[:-1] / max(weights[-1], 1.0)
 
 
+def text_scores(texts: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray:
+    """Scores of a column of texts; null and empty texts score by the constant alone."""
+    raw, offsets = text_bytes(texts)
+    scores = np.zeros(len(texts))
+    for a, b in row_blocks(offsets):
+        rows, bins, values = sparse_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
+        scores[a:b] = np.bincount(rows, weights[bins] * values, b - a)
+    return 1 / (1 + np.exp(-scores - float(weights[-1])))
+
+
 def score_quality(docs: DataFrame, weights: np.ndarray, bits: int = Ftrl.bits) -> DataFrame:
-    """doc_id and score of every whole text; null and empty texts score by the constant alone."""
-    weights = weights.astype(np.float32)
+    """doc_id and score of every whole text."""
+    small = weights.astype(np.float32)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, offsets = text_bytes(batch.column("text"))
-        scores = np.zeros(batch.num_rows)
-        for a, b in row_blocks(offsets):
-            rows, bins, values = sparse_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
-            scores[a:b] = np.bincount(rows, weights[bins] * values, b - a)
-        return pa.record_batch([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-scores - float(weights[-1]))))], ["doc_id", "score"])
+        scores = pa.array(text_scores(batch.column("text"), small, bits))
+        return pa.record_batch([batch.column("doc_id"), scores], ["doc_id", "score"])
 
     return map_batches(docs.select("doc_id", "text"), score, "doc_id long, score double")
 
 
+def learned_from(labels: DataFrame) -> DataFrame:
+    """The labels outside the held-out fold."""
+    return one_label(labels, "quality").where(fold_of(F.col("doc_id"), 5) != 0)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parameters: Ftrl = Ftrl()) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
     Rows of the fold with crc32(doc_id) mod 5 = 0 are never learned from.  Without any
     label all scores are 0.5.  Repeated rows get equal scores.
     """
-    known = one_label(labels, "quality").where(fold_of(F.col("doc_id"), 5) != 0)
-    weights = train_quality(docs, known, parameters)
+    weights = train_quality(docs, learned_from(labels), parameters)
     return score_quality(docs, weights, parameters.bits).select(
         "doc_id",
         (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def good_documents(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: int = Ftrl.bits) -> DataFrame:
+    """docs whose text scores at least the threshold, all columns kept; nothing is shuffled."""
+    small = weights.astype(np.float32)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(text_scores(batch.column("text"), small, bits) >= threshold))
+
+    return map_batches(docs, keep, docs.schema)

@@ -45,7 +45,7 @@ def row_blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[i
         first = last
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
     """function(batch) -> batch or None for each Arrow batch of the table."""
 
     def run(batches):
