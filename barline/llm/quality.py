@@ -75,21 +75,23 @@ def one_label(labels: DataFrame, name: str) -> DataFrame:
     )
 
 
-def sampled(labels: DataFrame, most: int) -> DataFrame:
-    """About so many of the rows at most, chosen by a hash of the id."""
+def sampled(labels: DataFrame, most: int, learners: int) -> DataFrame:
+    """About so many of the rows at most, chosen by a hash of the id, and dealt to learners of 2,000 rows or more."""
     total = labels.count()
     share = min(1 << 20, (most << 20) // max(total, 1))
-    return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    learners = max(1, min(learners, min(total, most) // 2000))
+    some = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    return some.withColumn("learner", F.pmod(F.shiftright(F.xxhash64("doc_id"), 20), F.lit(learners)))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, parameters: Ftrl = Ftrl()) -> np.ndarray:
     """Weights learned from labelled texts; zeros when there are none.
 
-    Each of a fixed number of learners passes over its part of the sample, and their weights
+    Each of a few learners passes over its part of the sample, and their weights
     are averaged.  Only the bounded sample of ids is broadcast; texts stay where they are read.
     """
     p = parameters
-    sample = sampled(labels, p.sample_rows)
+    sample = sampled(labels, p.sample_rows, p.learners)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = text_bytes(batch.column("text"))
@@ -99,11 +101,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, parameters: Ftrl = Ftrl())
             cuts = np.searchsorted(rows, np.arange(1, b - a))
             bins += np.split(own, cuts)
             values += np.split(x, cuts)
-        arrays = [batch.column("doc_id"), batch.column("label"), pa.array(bins, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
-        return pa.record_batch(arrays, ["doc_id", "label", "bins", "values"])
+        arrays = [batch.column("doc_id"), batch.column("label"), batch.column("learner"), pa.array(bins, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+        return pa.record_batch(arrays, ["doc_id", "label", "learner", "bins", "values"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = map_batches(texts, features, "doc_id long, label int, bins array<int>, values array<double>")
+    rows = map_batches(texts, features, "doc_id long, label int, learner long, bins array<int>, values array<double>")
 
     def learn(part: pa.Table) -> pa.Table:
         rows = list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "label", "bins", "values"))))
@@ -113,7 +115,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, parameters: Ftrl = Ftrl())
         return pa.table({"bin": pa.array(at, pa.int64()), "weight": np.append(weights, 1.0)[at]})
 
     learned = (
-        rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(p.learners)).alias("learner"))
+        rows.groupBy("learner")
         .applyInArrow(learn, "bin long, weight double")
         .groupBy("bin")
         .agg(F.sum("weight").alias("weight"))

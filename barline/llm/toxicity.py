@@ -187,9 +187,9 @@ def _scattered(ids: np.ndarray) -> np.ndarray:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, parameters: Field = Field()) -> np.ndarray:
-    """Averaged weights of a fixed number of learners, each over its part of the bounded sample."""
+    """Averaged weights of a few learners, each over its part of the bounded sample."""
     p = parameters
-    sample = sampled(labels, p.sample_rows)
+    sample = sampled(labels, p.sample_rows, p.learners)
 
     def learn(part: pa.Table) -> pa.Table:
         part = part.take(pa.array(np.argsort(_scattered(part.column("doc_id").to_numpy()), kind="stable")))
@@ -206,7 +206,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, parameters: Field = Field
     learned = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
-        .groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(p.learners)).alias("learner"))
+        .groupBy("learner")
         .applyInArrow(learn, "bin long, weight double")
         .groupBy("bin")
         .agg(F.sum("weight").alias("weight"))
