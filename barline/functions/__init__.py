@@ -1,5 +1,6 @@
 from .scalars import (
     MINUTE_MS,
+    as_double,
     date_text,
     day_bounds_ms,
     div,

@@ -50,6 +50,14 @@ def to_double(c: str | Column) -> Column:
     return F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
 
 
+def as_double(df: DataFrame, name: str) -> Column:
+    """A column of any type as double: numbers and booleans are cast, only texts are parsed."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return F.col(f"`{name}`").cast("double")
+    return to_double(F.col(f"`{name}`"))
+
+
 def to_long(c: str | Column) -> Column:
     """Text or number to bigint, NULL where it is not a whole number."""
     c = _col(c)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ROWS_PER_CHUNK, chunked, with_previous, with_running_total
+from .ordered import chunked, even_span, with_previous, with_running_total
 from .signals import positions, threshold_signal
 
 METRICS = (
@@ -37,12 +37,14 @@ def backtest(
     cost: float = 0.01,
     series: Sequence[str] = (),
     order: Sequence[str] = ("row_id",),
-    span: int = ROWS_PER_CHUNK,
+    span: int | None = None,
 ) -> DataFrame:
     """The PnL table of a ``signal`` and a ``realized_direction``, both in {-1, 0, 1}.
 
     Adds position, trade size and flag, PnL, equity, its running peak, drawdown.
+    Without a ``span`` a small job measures how far apart the keys lie.
     """
+    span = span or even_span(df, order[0])
     table = positions(chunked(df, order, span), "signal", series, order, span)
     table = table.withColumns(
         _step_pnl(
@@ -108,7 +110,7 @@ def threshold_sensitivity(
     cost: float = 0.01,
     annualization: float | None = None,
     order: Sequence[str] = ("row_id",),
-    span: int = ROWS_PER_CHUNK,
+    span: int | None = None,
 ) -> DataFrame:
     """Metrics of every threshold of the grid, all but the drawdown, in one pass.
 
@@ -119,6 +121,7 @@ def threshold_sensitivity(
     grid = F.array(
         *[F.struct(F.lit(k).alias("place"), F.lit(t).alias("threshold")) for k, t in enumerate(thresholds)]
     )
+    span = span or even_span(scored, order[0])
     lagged = with_previous(scored, "score", ["_score1", "_score2"], [], order, span)
     tried = lagged.select(
         "realized_direction", "_score1", "_score2", F.inline(grid)

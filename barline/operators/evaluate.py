@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import finite, open_time_ms, require_columns
+from ..functions import as_double, finite, open_time_ms, require_columns
+from ..session import written
 from .dedup import keep_last
 from .ordered import (
     ROWS_PER_CHUNK,
@@ -22,16 +23,30 @@ from .ordered import (
 )
 
 
+def known_scores(scored: DataFrame) -> DataFrame:
+    """Rows with a finite score and a class; no measure here is defined for others."""
+    return scored.where(finite(F.col("y_prob").cast("double")).isNotNull() & F.col("y_true").isin(0, 1))
+
+
+def missing_scores(scored: DataFrame) -> DataFrame:
+    """How many rows ``known_scores`` leaves out."""
+    known = finite(F.col("y_prob").cast("double")).isNotNull() & F.col("y_true").isin(0, 1)
+    return scored.agg(F.count_if(~F.coalesce(known, F.lit(False))).alias("n_missing_scores"))
+
+
 def score_counts(scored: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return scored.groupBy("y_prob").agg(
+    """Positives and negatives per distinct known score."""
+    return known_scores(scored).groupBy("y_prob").agg(
         F.count_if(F.col("y_true") == 1).alias("pos"),
         F.count_if(F.col("y_true") == 0).alias("neg"),
     )
 
 
 def rank_metrics(scored: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """ROC AUC (ties count half) and average precision (step sum); NULL if undefined."""
+    """ROC AUC (ties count half) and average precision (step sum); NULL if undefined.
+
+    Rows without a score or a class are left out; ``missing_scores`` counts them.
+    """
     counts = score_counts(scored).withColumn("_down", -F.col("y_prob"))
     # smaller negative scores are larger scores: the sums cover all rows ranked above
     ranked = with_sums_below(counts, [], "_down", ["pos", "neg"], rows_per_chunk)
@@ -87,9 +102,10 @@ def calibration_bins(
 ) -> DataFrame:
     """Mean predicted against observed rate in quantile bins; empty bins are absent.
 
-    The bin edges are exact quantiles, found from cumulative counts of distinct scores.
+    The bin edges are exact quantiles, found from cumulative counts of distinct scores,
+    which are written once and read by every step.  Rows without a score or a class are left out.
     """
-    counts = score_counts(scored).withColumn("rows", F.col("pos") + F.col("neg"))
+    counts = written(score_counts(scored).withColumn("rows", F.col("pos") + F.col("neg")), "counts")
     total = counts.agg(F.sum("rows").alias("n")).select("n").scalar()
     ranked = with_sums_below(counts, [], "y_prob", ["rows"], rows_per_chunk)
     inner = [k / bins for k in range(1, bins)]
@@ -171,16 +187,17 @@ def hazard_diagnostics(
 def one_row_per_time(
     df: DataFrame, needed: list[str], keys: tuple[str, ...], position: str = "position"
 ) -> DataFrame:
-    """Rows with a time and all needed values; the last row per time where rows have a position."""
+    """Rows with a time and all needed values, one per time: the last by position where rows have one,
+    else the one of the greatest values, so that a repeated time never multiplies in a join."""
     clean = df.withColumns(
         {
             "open_time": open_time_ms(df),
-            **{c: finite(F.col(c).try_cast("double")) for c in needed},
+            **{c: finite(as_double(df, c)) for c in needed},
         }
     ).na.drop(subset=["open_time", *needed])
     if position in clean.columns:
         return keep_last(clean, [*keys, "open_time"], [position])
-    return clean
+    return keep_last(clean, [*keys, "open_time"], needed)
 
 
 def with_log_return(df: DataFrame, keys: tuple[str, ...], span: int) -> DataFrame:

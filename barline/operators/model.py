@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import finite, open_time_ms, to_double
+from ..functions import as_double, finite, open_time_ms
 from ..session import written
 from .ordered import ROWS_PER_CHUNK, with_sums_below
 
@@ -23,7 +23,7 @@ PREDICTION_SAMPLE_ROWS = 5_000
 def labelled_rows(df: DataFrame, label: str) -> DataFrame:
     """Rows with a time and a label; adds ``y_true``."""
     return df.withColumns(
-        {"open_time": open_time_ms(df), "y_true": finite(to_double(label)).cast("int")}
+        {"open_time": open_time_ms(df), "y_true": finite(as_double(df, label)).cast("int")}
     ).na.drop(subset=["open_time", "y_true"])
 
 
@@ -47,10 +47,10 @@ def cleaning_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def clean_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Exactly ``features`` as finite doubles: gaps and absent columns become 0."""
+    """Exactly ``features`` as finite doubles: gaps and absent columns become 0, booleans 0 and 1."""
     present = set(df.columns)
     columns = {
-        c: F.coalesce(finite(to_double(c)), F.lit(0.0)) if c in present else F.lit(0.0)
+        c: F.coalesce(finite(as_double(df, c)), F.lit(0.0)) if c in present else F.lit(0.0)
         for c in features
     }
     return df.withColumns(columns)
@@ -65,7 +65,8 @@ def temporal_split(
     """The first ``int(n * ratio)`` rows by time, and the rest; both at least one row.
 
     Rows are counted per time; only the rows that share the time of the cut are
-    ordered, by ``ties``.
+    ordered, by ``ties`` and then by a hash of all their values, again by counts.
+    Equal rows are told apart by number alone.  Jobs run while the plan is built.
     """
     counts = df.groupBy("open_time").agg(F.count(F.lit(1)).alias("rows"))
     n = counts.agg(F.sum("rows")).first()[0] or 0
@@ -81,11 +82,19 @@ def temporal_split(
     shared = df.where(F.col("open_time") == time)
     if inside == at.rows:
         return before.unionByName(shared), after
-    order = [c for c in ties if c in df.columns] or ["open_time"]
-    numbered = shared.withColumn("_nth", F.row_number().over(Window.orderBy(*order)))
-    first = numbered.where(F.col("_nth") <= inside).drop("_nth")
-    rest = numbered.where(F.col("_nth") > inside).drop("_nth")
-    return before.unionByName(first), rest.unionByName(after)
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_key{k}") for k, c in enumerate(ties) if c in df.columns]
+    shared = shared.select("*", *keys, F.xxhash64(*df.columns).alias("_same"))
+    order = [c for c in shared.columns if c.startswith("_key")] + ["_same"]
+    copies = shared.groupBy(*order).agg(F.count(F.lit(1)).alias("rows"))
+    place = with_sums_below(copies, [], order, ["rows"], rows_per_chunk)
+    at = place.where((F.col("rows_below") < inside) & (F.col("rows_below") + F.col("rows") >= inside)).first()
+    here, last = F.struct(*order), F.struct(*[F.lit(at[c]).alias(c) for c in order])
+    equal = shared.where(here == last)
+    nth = F.row_number().over(Window.partitionBy(*order).orderBy("_same"))
+    equal = equal.withColumn("_nth", nth)
+    first = shared.where(here < last).unionByName(equal.where(F.col("_nth") <= inside - at.rows_below).drop("_nth"))
+    rest = shared.where(here > last).unionByName(equal.where(F.col("_nth") > inside - at.rows_below).drop("_nth"))
+    return before.unionByName(first.select(df.columns)), rest.select(df.columns).unionByName(after)
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], max_iter: int = 2000) -> PipelineModel:

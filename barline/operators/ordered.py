@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -28,7 +27,8 @@ from ..session import written
 ROWS_PER_CHUNK = 20_000
 # Frames up to this width are cheaper evaluated directly than by blocks.
 DIRECT_WIDTH = 60
-MAX_BUCKETS = 10_000
+# Ranges one exchange is cut into at most; beyond it a range grows, and running windows stream it.
+MOST_RANGES = 100_000
 
 
 def _earlier(series: Sequence[str]) -> WindowSpec:
@@ -48,16 +48,30 @@ def chunked(df: DataFrame, order: Sequence[str], span: int = ROWS_PER_CHUNK) ->
     return df if "_chunk" in df.columns else df.withColumn("_chunk", div(order[0], span))
 
 
+def even_span(df: DataFrame, key: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> int:
+    """Key units that hold about ``rows_per_chunk`` rows on average; a small job over one column.
+
+    However far apart the keys lie, there are about as many chunks as rows fill.
+    """
+    n, low, high = df.agg(F.count(key), F.min(key), F.max(key)).first()
+    return max(1, (high - low + 1) * rows_per_chunk // n) if n else rows_per_chunk
+
+
 def chunked_by_rows(
-    df: DataFrame, order: Sequence[str], span: int, rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK, name: str = "ranges"
 ) -> DataFrame:
-    """Like ``chunked``, with bounds that hold about ``rows_per_chunk`` rows each.
+    """The rows cut into ranges of the whole ``order`` that hold about equal numbers of rows.
 
     For series with many rows per key or an uneven density, where a fixed span
-    could hold any number of rows.  A table of one chunk's length keeps the span.
+    could hold any number of rows.  The rows are written, since the bounds of an
+    exchange are sampled: while the plan is built, this runs jobs.
     """
-    bounds = _value_bounds(df.select(order[0]), order[0], rows_per_chunk)
-    return _ranged(df, order[0], bounds) if bounds else chunked(df, order, span)
+    rows = written(df, name)
+    ranges = min(math.ceil(rows.count() / rows_per_chunk), MOST_RANGES)
+    if ranges <= 1:
+        return rows.withColumn("_chunk", F.lit(0))
+    dealt = rows.repartitionByRange(ranges, *order).withColumn("_chunk", F.spark_partition_id())
+    return written(dealt, name)
 
 
 def with_row_index(
@@ -366,55 +380,21 @@ def expanding_moments(
     return out.select(*kept, seen, *_names(list(columns.values())))
 
 
-def _value_bounds(counts: DataFrame, value: str, rows_per_chunk: int) -> list[float]:
-    """Bounds that cut ``value`` into ranges with about equal numbers of rows.
-
-    They are approximate quantiles of the whole column, so no range holds much
-    more than its share however the values are spread.
-    """
-    buckets = min(math.ceil(counts.count() / rows_per_chunk), MAX_BUCKETS)
-    if buckets <= 1:
-        return []
-    cuts = counts.agg(
-        F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 20 * buckets)
-    ).first()[0]
-    return sorted(set(map(float, cuts)))
-
-
-def _ranged(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
-    ranges = Bucketizer(
-        splits=[-float("inf"), *bounds, float("inf")], inputCol="_value", outputCol="_range"
-    )
-    found = ranges.transform(df.withColumn("_value", F.col(value).cast("double")))
-    return found.withColumn("_chunk", F.col("_range").cast("int")).drop("_value", "_range")
-
-
 def with_sums_below(
     counts: DataFrame,
     series: Sequence[str],
-    value: str,
+    value: str | Sequence[str],
     sums: Sequence[str],
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add ``<s>_below``: the sum of ``s`` over all smaller values of the series.
 
-    ``counts`` holds one row per series and value, neither NULL nor NaN.  It is
-    read several times, so it is written once.
+    ``counts`` holds one row per series and value, neither NULL nor NaN; several
+    value columns are compared one after the other.  The rows are written in
+    ranges first, so jobs run while the plan is built.
     """
-    counts = written(counts, "counts")
-    bounds = _value_bounds(counts, value, rows_per_chunk)
-
-    def smaller(*keys: str) -> WindowSpec:
-        window = Window.partitionBy(*keys).orderBy(value)
-        return window.rowsBetween(Window.unboundedPreceding, -1)
-
-    if not bounds:  # the whole table is no longer than one chunk
-        below = {s: F.sum(s).over(smaller(*series)) for s in sums}
-        return counts.withColumns(
-            {f"{s}_below": F.coalesce(total, F.lit(0)) for s, total in below.items()}
-        )
-
-    keyed = _ranged(counts, value, bounds)
+    order = [value] if isinstance(value, str) else list(value)
+    keyed = chunked_by_rows(counts, [*series, *order], rows_per_chunk, "counts")
     earlier = _earlier(series)
     carried = (
         keyed.groupBy(*series, "_chunk")
@@ -422,13 +402,10 @@ def with_sums_below(
         .select(
             *series,
             "_chunk",
-            *[
-                F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_base_{s}")
-                for s in sums
-            ],
+            *[F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_base_{s}") for s in sums],
         )
     )
-    inside = smaller(*series, "_chunk")
+    inside = Window.partitionBy(*series, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         keyed.join(carried, [*series, "_chunk"])
         .withColumns(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import finite, numeric_columns
+from ..session import written
 from .ordered import ROWS_PER_CHUNK, quantiles, with_sums_below
 
 
@@ -44,27 +46,59 @@ def describe(
             F.approx_count_distinct("value").alias("distinct"),
             F.percentile_approx("value", [0.25, 0.5, 0.75], 10_000).alias("quartiles"),
         ).select(*_names())
-    basic = long.groupBy("column").agg(*stats)
-    counts = (
-        long.where("value IS NOT NULL")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    # every (column, value) is shuffled once; all that follows reads its written count
+    counts = written(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows")), "counts")
+    known = F.col("value").isNotNull()
+    n, x = F.col("rows"), F.col("value")
     totals = counts.groupBy("column").agg(
-        F.sum("rows").alias("_n"), F.count(F.lit(1)).alias("distinct")
+        F.coalesce(F.sum(F.when(known, n)), F.lit(0)).alias("count"),
+        F.coalesce(F.sum(F.when(~known, n)), F.lit(0)).alias("missing"),
+        F.count("value").alias("distinct"),
+        (F.sum(x * n) / F.sum(F.when(known, n))).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-    ranked = with_sums_below(counts, ["column"], "value", ["rows"], rows_per_chunk)
-    # one row per column of the table, so the broadcast is bounded by its width
-    ranked = ranked.join(F.broadcast(totals.select("column", "_n")), "column")
+    totals = written(totals, "totals")  # one row per column of the table, so broadcasts are bounded by its width
+    spread = (
+        counts.where(known)
+        .join(F.broadcast(totals.select("column", "mean", "count")), "column")
+        .groupBy("column")
+        .agg(F.try_divide(F.sum((x - F.col("mean")) ** 2 * n), F.first("count") - 1).alias("_var"))
+    )
+    ranked = with_sums_below(counts.where(known), ["column"], "value", ["rows"], rows_per_chunk)
+    ranked = ranked.join(F.broadcast(totals.select("column", F.col("count").alias("_n"))), "column")
     quartiles = quantiles(ranked, ["column"], "value", "rows", [0.25, 0.5, 0.75])
     return (
-        basic.join(F.broadcast(totals.drop("_n")), "column", "left")
+        totals.join(F.broadcast(spread.select("column", F.sqrt("_var").alias("std"))), "column", "left")
         .join(F.broadcast(quartiles.withColumnRenamed("quantiles", "quartiles")), "column", "left")
-        .withColumn("distinct", F.coalesce("distinct", F.lit(0)))
         .select(*_names())
     )
 
 
+def all_columns(df: DataFrame) -> DataFrame:
+    """Every column, texts and times included: place, type, rows, missing and distinct values.
+
+    NULL and, in numbers, NaN and infinities are missing.  Values are compared by their text.
+    """
+    
+    def text(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        number = isinstance(field.dataType, (T.DoubleType, T.FloatType))
+        return (finite(column) if number else column).cast("string").alias(field.name)
+
+    wide = df.select(*[text(f) for f in df.schema])
+    counts = wide.unpivot([], list(df.columns), "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+    found = counts.groupBy("column").agg(
+        F.sum("rows").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("rows"))), F.lit(0)).alias("missing"),
+        F.count("value").alias("distinct"),
+    )
+    fields = [(k, f.name, f.dataType.simpleString()) for k, f in enumerate(df.schema)]
+    names = df.sparkSession.createDataFrame(fields, "position int, column string, type string")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_rows", "missing", "distinct")}
+    return names.join(found, "column", "left").withColumns(zero).select("position", "column", "type", *zero)
+
+
 def _names():
     q = F.col("quartiles")
     return [

@@ -63,7 +63,7 @@ def causal_z(
     if by_symbol and "symbol" in df.columns:
         work = df.withColumn("_series", F.coalesce(F.col("symbol").cast("string"), F.lit(MISSING_SYMBOL)))
     else:  # many symbols may share a time: chunks are cut by rows, not by time
-        work = chunked_by_rows(df.withColumn("_series", F.lit(ALL_ROWS)), order, span, rows_per_chunk)
+        work = chunked_by_rows(df.withColumn("_series", F.lit(ALL_ROWS)), order, rows_per_chunk)
     if mode == "rolling":
         if strict_grid:
             work = work.withColumn("_row", div("open_time", step_ms))
@@ -137,16 +137,26 @@ def zscore_features(df: DataFrame, **options) -> DataFrame:
     The base features themselves are replaced by their scores.
     """
     columns = base_feature_columns(df)
-    scored = causal_z(df, columns, **options)
-    first = [c for c in ("symbol", "open_time") if c in df.columns]
-    rest = [c for c in df.columns if c not in columns and c not in first]
+    return score_table(causal_z(df, columns, **options), columns)
+
+
+def score_table(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The finished table of scores that ``causal_z`` added for ``columns``."""
+    made = {f"{kind}_{c}" for c in columns for kind in ("z", "defaulted")}
+    first = [c for c in ("symbol", "open_time") if c in scored.columns]
+    rest = [c for c in scored.columns if c not in columns and c not in first and c not in made]
     return scored.select(*first, *rest, *[f"z_{c}" for c in columns])
 
 
 def defaulted_rows(df: DataFrame, **options) -> DataFrame:
     """Per z column the number of rows that fell back to 0 for want of history."""
     columns = base_feature_columns(df)
-    counts = causal_z(df, columns, **options).agg(
+    return count_defaulted(causal_z(df, columns, **options), columns)
+
+
+def count_defaulted(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same of scores that ``causal_z`` has already added."""
+    counts = scored.agg(
         *[F.count_if(f"defaulted_{c}").alias(f"z_{c}") for c in columns]
     )
     return counts.unpivot([], [f"z_{c}" for c in columns], "z_column", "defaulted_rows")

@@ -770,6 +770,27 @@ def average_precision(spark, folder):
     return evaluate.rank_metrics(_scored(spark, folder)).select("pr_auc")
 
 
+_GAPS = f"""
+WITH {oracle.SCORED.replace("l_extendedprice / 110000 AS y_prob", "CASE WHEN l_partkey % 9 <> 0 THEN l_extendedprice / 110000 END AS y_prob")},
+by_score AS (SELECT y_prob, CAST(sum(y_true) AS DOUBLE) AS p, CAST(sum(1 - y_true) AS DOUBLE) AS q
+             FROM scored WHERE y_prob IS NOT NULL GROUP BY y_prob),
+ranked AS (SELECT p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM by_score
+           WINDOW w AS (ORDER BY y_prob DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"""{_GAPS}
+SELECT round(sum(q * (tp - p / 2)) / (sum(p) * sum(q)), 6) + 0.0 AS roc_auc,
+       round(sum(p * tp / (tp + fp)) / sum(p), 6) + 0.0 AS pr_auc,
+       (SELECT count(*) FILTER (y_prob IS NULL) FROM scored) AS n_missing_scores FROM ranked""")
+def rank_metrics_with_missing_scores(spark, folder):
+    """Rows without a score are left out, and counted."""
+    rows = table(spark, folder, "lineitem")
+    score = F.when(F.col("l_partkey") % 9 != 0, F.col("l_extendedprice") / 110_000)
+    scored = rows.select((F.col("l_returnflag") == "R").cast("int").alias("y_true"), score.alias("y_prob"))
+    missing = evaluate.missing_scores(scored).select("n_missing_scores").scalar()
+    return evaluate.rank_metrics(scored).withColumn("n_missing_scores", missing)
+
+
 @query(f"""
 WITH {oracle.SCORED},
 c AS (SELECT count(*) AS n_rows, avg(y_true) AS base_rate,
@@ -819,7 +840,8 @@ _DIRTY = """
 dirty AS (
   SELECT CASE WHEN l_partkey % 11 = 0 THEN CAST('nan' AS DOUBLE) WHEN l_partkey % 11 = 1 THEN NULL
               WHEN l_partkey % 11 = 2 THEN CAST('inf' AS DOUBLE) ELSE l_quantity END AS a,
-         CASE WHEN l_suppkey % 7 = 0 THEN CAST('-inf' AS DOUBLE) ELSE l_tax END AS b
+         CASE WHEN l_suppkey % 7 = 0 THEN CAST('-inf' AS DOUBLE) ELSE l_tax END AS b,
+         CASE WHEN l_partkey % 5 <> 0 THEN l_linenumber > 3 END AS late
   FROM lineitem)"""
 
 
@@ -844,18 +866,20 @@ def _dirty(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.col("l_quantity"))
     )
     b = F.when(seventh == 0, float("-inf")).otherwise(F.col("l_tax"))
-    return table(spark, folder, "lineitem").select(a.alias("a"), b.alias("b"))
+    urgent = F.when(F.col("l_partkey") % 5 != 0, F.col("l_linenumber") > 3)
+    return table(spark, folder, "lineitem").select(a.alias("a"), b.alias("b"), urgent.alias("late"))
 
 
 @query(f"""
 WITH {_DIRTY}
 SELECT round(CASE WHEN isfinite(a) THEN a ELSE 0 END, 6) + 0.0 AS a,
-       round(CASE WHEN isfinite(b) THEN b ELSE 0 END, 6) + 0.0 AS b, CAST(0 AS DOUBLE) AS absent, count(*) AS n_rows
+       round(CASE WHEN isfinite(b) THEN b ELSE 0 END, 6) + 0.0 AS b, CAST(0 AS DOUBLE) AS absent,
+       CASE WHEN late THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS late, count(*) AS n_rows
 FROM dirty GROUP BY ALL""")
 def cleaned_features(spark, folder):
-    """Gaps and infinities to 0, an absent manifest column added as 0."""
-    clean = model.clean_features(_dirty(spark, folder), ["a", "b", "absent"])
-    return clean.groupBy("a", "b", "absent").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Gaps and infinities to 0, booleans to 0 and 1, an absent manifest column added as 0."""
+    clean = model.clean_features(_dirty(spark, folder), ["a", "b", "late", "absent"])
+    return clean.groupBy("a", "b", "late", "absent").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 # --- the risk model ----------------------------------------------------------------------
@@ -885,8 +909,8 @@ def temporal_split(spark, folder):
 
 
 def _price_scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled hours that saw a trade, scored by the drawdown so far."""
-    rows = _labelled(spark, folder).where("n_trades > 0")
+    """Labelled hours, scored by the drawdown so far."""
+    rows = _labelled(spark, folder)
     return rows.select("symbol", "open_time", "close", "ret_1m", "y_true", (-F.col("drawdown_4h")).alias("y_prob"))
 
 
@@ -894,7 +918,7 @@ _PRICE_SCORED = f"""
 {oracle.features(HOUR)}, {oracle.drawdowns("features", (24,), (0.5,))},
 price_scored AS (
   SELECT symbol, open_time, CAST({_LABEL} AS INTEGER) AS y_true, -drawdown_4h AS y_prob
-  FROM labelled WHERE {_LABEL} IS NOT NULL AND n_trades > 0)"""
+  FROM labelled WHERE {_LABEL} IS NOT NULL)"""
 
 
 @query(f"""
@@ -947,7 +971,9 @@ def hazard_test_metrics(spark, folder):
 
 # --- profile -----------------------------------------------------------------------------
 
-_PROFILED = ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+_PROFILED = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+)
 _LONG = f"""
 long AS (UNPIVOT (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _PROFILED)} FROM lineitem)
          ON {", ".join(_PROFILED)} INTO NAME "column" VALUE x),
@@ -963,15 +989,42 @@ WITH {_LONG}
 SELECT "column", "count", missing, "distinct", {rounded(["mean", "std", '"min"', "q25", "q50", "q75", '"max"'])}
 FROM prof""")
 def profile_columns(spark, folder):
-    return profile.describe(table(spark, folder, "lineitem"), _PROFILED)
+    """All numeric columns."""
+    return profile.describe(table(spark, folder, "lineitem"))
 
 
 @query(f"""
 WITH {_LONG}
 SELECT "column", "distinct" FROM prof WHERE "distinct" <= 60 ORDER BY "distinct", "column" LIMIT 30""")
 def profile_few_values(spark, folder):
-    described = profile.describe(table(spark, folder, "lineitem"), _PROFILED)
-    return profile.few_values(described, 60)
+    return profile.few_values(profile.describe(table(spark, folder, "lineitem")), 60)
+
+
+_EVENT_COLUMNS = (
+    ("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
+    ("value", "double"), ("props", "string"),
+)
+_EVERY = " UNION ALL ".join(
+    f"SELECT CAST({k} AS INTEGER) AS position, '{c}' AS \"column\", '{kind}' AS type, count(*) AS n_rows, "
+    f"count(*) - count({c}) AS missing, count(DISTINCT {c}) AS \"distinct\" FROM events"
+    for k, (c, kind) in enumerate(_EVENT_COLUMNS)
+)
+
+
+@query(_EVERY)
+def profile_all_columns(spark, folder):
+    """Texts and times too."""
+    return profile.all_columns(table(spark, folder, "events"))
+
+
+@query(f"""SELECT "column", missing FROM ({_EVERY}) ORDER BY missing DESC, "column" LIMIT 20""")
+def profile_most_missing(spark, folder):
+    return profile.most_missing(profile.all_columns(table(spark, folder, "events")))
+
+
+@query(f"""SELECT position, "column", type, n_rows FROM ({_EVERY})""")
+def profile_shape(spark, folder):
+    return profile.table_shape(table(spark, folder, "events"))
 
 
 @query("""
@@ -998,3 +1051,19 @@ def streaming_minute_bars(spark, folder):
     bars = streaming_trade_bars(inputs.as_trades(events))
     write_bars(bars, f"{run}/bars", f"{run}/checkpoint").awaitTermination()
     return spark.read.schema(bars.schema).parquet(f"{run}/bars")
+
+
+@query(f"""
+WITH {oracle.bars(MINUTE)},
+mark AS (SELECT max(time) - 600000 AS final_until FROM trades)
+SELECT symbol, open_time, n_trades, {rounded(_BAR)} FROM bars, mark
+WHERE open_time + {MINUTE} <= final_until""")
+def streaming_bars_without_ids(spark, folder):
+    """Trades of a layout without ids: each counts."""
+    schema = table(spark, folder, "events").schema
+    events = read_trade_stream(spark, folder, schema, "events.parquet")
+    run = f"{shared_dir(spark)}/minute_bars-{uuid.uuid4().hex}"
+    trades = inputs.as_trades(events).withColumn("trade_id", F.lit(None).cast("long"))
+    bars = streaming_trade_bars(trades)
+    write_bars(bars, f"{run}/bars", f"{run}/checkpoint").awaitTermination()
+    return spark.read.schema(bars.schema).parquet(f"{run}/bars")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (
     MINUTE_MS,
+    as_double,
     base_feature_columns,
     day_bounds_ms,
     drawdown_names,
@@ -18,7 +19,6 @@ from ..functions import (
     parse_grid,
     positive_ints,
     require_columns,
-    to_double,
     training_columns,
     unit_floats,
 )
@@ -103,6 +103,13 @@ class ExperimentConfig:
     features: tuple[str, ...] = field(default=tables.WIDE_FEATURES, repr=False)
 
 
+def _check_symbols(candles: DataFrame, trades: DataFrame, symbol: str | None) -> None:
+    """Tables of which only one has symbols would join nothing."""
+    sides = ["symbol" in df.columns for df in (candles, trades)]
+    if symbol is None and sides[0] != sides[1]:
+        raise ValueError("only one of candles and trades has a symbol column: name the symbol")
+
+
 def _with_symbol(df: DataFrame, symbol: str | None) -> DataFrame:
     fallback = F.lit(symbol or zscore.MISSING_SYMBOL)
     if "symbol" not in df.columns:
@@ -110,9 +117,13 @@ def _with_symbol(df: DataFrame, symbol: str | None) -> DataFrame:
     return df.withColumn("symbol", F.coalesce(F.col("symbol").cast("string"), fallback))
 
 
-def _in_range(df: DataFrame, start: str, end: str, what: str) -> DataFrame:
-    low, high = day_bounds_ms(start, end)
-    work = df.where(F.col("open_time").between(low, high))
+def _in_range(df: DataFrame, start: str | None, end: str | None, what: str) -> DataFrame:
+    """Rows of the inclusive range of days; a missing end leaves that side open."""
+    work = df
+    if start:
+        work = work.where(F.col("open_time") >= day_bounds_ms(start, start)[0])
+    if end:
+        work = work.where(F.col("open_time") <= day_bounds_ms(end, end)[1])
     if work.isEmpty():
         raise ValueError(f"{what} has no rows from {start} to {end}")
     return work
@@ -122,7 +133,7 @@ def load_grid(spark: SparkSession, config: FeatureConfig) -> DataFrame:
     """Candles of the range as a checked strict grid; the last of repeated rows wins."""
     raw = tables.read_parquet_with_position(spark, config.klines)
     require_columns(raw, [c for c in GRID_COLUMNS if c != "symbol"], "candle table")
-    prices = {c: finite(to_double(c)) for c in ("open", "high", "low", "close", "volume")}
+    prices = {c: finite(as_double(raw, c)) for c in ("open", "high", "low", "close", "volume")}
     work = _with_symbol(raw, config.symbol).withColumns({**prices, "open_time": open_time_ms(raw)})
     work = _in_range(work.na.drop(subset=["open_time"]), config.start_date, config.end_date, "candle table")
     grid = written(keep_last(work, ["symbol", "open_time"], ["position"]).select(*GRID_COLUMNS), "grid")
@@ -131,15 +142,19 @@ def load_grid(spark: SparkSession, config: FeatureConfig) -> DataFrame:
 
 
 def build_features_1m(spark: SparkSession, config: FeatureConfig) -> DataFrame:
+    trades = spark.read.parquet(config.trades)
+    _check_symbols(spark.read.parquet(config.klines), trades, config.symbol)
     grid = load_grid(spark, config)
-    trades = _with_symbol(spark.read.parquet(config.trades), config.symbol)
+    trades = _with_symbol(trades, config.symbol)
     bars = trade_bars(trades, config.step_ms, day_bounds_ms(config.start_date, config.end_date))
     tables.write_table(bar_features(join_bars(grid, bars), config.step_ms), config.out)
+    features = spark.read.parquet(config.out)
     tables.write_json(
         spark,
         tables.sidecar_path(config.out),
         {
             **asdict(config),
+            **_as_dict(time_span(features)),
             "windows_used": {
                 "ret_1m_diff": 1,
                 "rv_minutes": [SHORT, MEDIUM, LONG],
@@ -150,7 +165,14 @@ def build_features_1m(spark: SparkSession, config: FeatureConfig) -> DataFrame:
             "build_timestamp_utc": tables.now_utc(),
         },
     )
-    return spark.read.parquet(config.out)
+    return features
+
+
+def time_span(table: DataFrame) -> DataFrame:
+    """Number of rows, and first and last time, of a written table."""
+    return table.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("open_time").alias("first_open_time"), F.max("open_time").alias("last_open_time")
+    )
 
 
 def build_labels_drawdown(spark: SparkSession, config: LabelConfig) -> DataFrame:
@@ -158,7 +180,7 @@ def build_labels_drawdown(spark: SparkSession, config: LabelConfig) -> DataFrame
     require_columns(raw, ["open_time", "close", "symbol"], "feature table")
     horizons, thresholds = positive_ints(config.horizons), unit_floats(config.thresholds)
     work = _with_symbol(raw, config.symbol).withColumns(
-        {"open_time": open_time_ms(raw), "close": finite(to_double("close"))}
+        {"open_time": open_time_ms(raw), "close": finite(as_double(raw, "close"))}
     ).na.drop(subset=["open_time", "close"])
     work = _in_range(work, config.start_date, config.end_date, "feature table")
     tables.write_table(
@@ -179,13 +201,15 @@ def build_labels_drawdown(spark: SparkSession, config: LabelConfig) -> DataFrame
     return spark.read.parquet(config.out)
 
 
-def _z_options(config: ZScoreConfig) -> dict:
+def _z_options(config: ZScoreConfig, has_symbol: bool) -> dict:
     return {
         "mode": config.mode,
         "window": config.window,
         "min_periods": config.min_periods,
         "eps": config.eps,
         "by_symbol": config.by_symbol,
+        # rows of one time need an order where symbols form one series
+        "order": ("open_time",) if config.by_symbol or not has_symbol else ("open_time", "symbol"),
         "step_ms": config.step_ms,
     }
 
@@ -197,12 +221,13 @@ def _timed(df: DataFrame, what: str) -> DataFrame:
 
 def build_features_zscore_1m(spark: SparkSession, config: ZScoreConfig) -> DataFrame:
     work = _timed(spark.read.parquet(config.table), "feature table")
-    if config.start_date and config.end_date:
+    if config.start_date or config.end_date:
         work = _in_range(work, config.start_date, config.end_date, "feature table")
-    options = _z_options(config)
-    tables.write_table(zscore.zscore_features(work, **options), config.out)
     columns = base_feature_columns(work)
-    defaulted = {r.z_column: r.defaulted_rows for r in zscore.defaulted_rows(work, **options).collect()}
+    # scored once: the flags are counted from the written scores
+    scored = written(zscore.causal_z(work, columns, **_z_options(config, "symbol" in work.columns)), "scored")
+    tables.write_table(zscore.score_table(scored, columns), config.out)
+    defaulted = {r.z_column: r.defaulted_rows for r in zscore.count_defaulted(scored, columns).collect()}
     tables.write_json(
         spark,
         tables.sidecar_path(config.out),
@@ -220,7 +245,7 @@ def build_features_zscore_1m(spark: SparkSession, config: ZScoreConfig) -> DataF
 
 def build_dataset_zscore_1m(spark: SparkSession, config: ZScoreConfig) -> DataFrame:
     work = _timed(spark.read.parquet(config.table), "feature table")
-    scored = zscore.zscore_dataset(work, **_z_options(config))
+    scored = zscore.zscore_dataset(work, **_z_options(config, "symbol" in work.columns))
     tables.write_table(scored, config.out)
     columns = [c for c in scored.columns if c.startswith("z_")]
     tables.write_json(
@@ -286,6 +311,7 @@ def train_hazard_logistic(spark: SparkSession, config: TrainConfig) -> dict:
         metrics |= {
             "base_rate_test": at_cut["base_rate"],
             **_as_dict(evaluate.rank_metrics(scored)),
+            **_as_dict(evaluate.missing_scores(scored)),
             "precision_at_threshold": at_cut["precision"],
             "recall_at_threshold": at_cut["recall"],
             "f1_at_threshold": at_cut["f1"],
@@ -341,14 +367,20 @@ def _scored_schema(raw: DataFrame) -> str:
 
 
 def hazard_diagnostics(
-    spark: SparkSession, features: str, probabilities: str, out: str, keys: tuple[str, ...] = ()
+    spark: SparkSession, features: str, probabilities: str, out: str, keys: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """Write the table behind the diagnostic charts; fails when nothing joins."""
-    table = evaluate.hazard_diagnostics(
-        tables.read_parquet_with_position(spark, features),
-        tables.read_probabilities(spark, probabilities),
-        keys,
-    )
+    """Write the table behind the diagnostic charts; fails when nothing joins.
+
+    Without ``keys`` rows join by symbol and time if both tables have symbols, by time if
+    neither has; one table alone with symbols is an error.
+    """
+    left, right = tables.read_parquet_with_position(spark, features), tables.read_probabilities(spark, probabilities)
+    if keys is None:
+        sides = ["symbol" in df.columns for df in (left, right)]
+        if sides[0] != sides[1]:
+            raise ValueError("only one of features and probabilities has a symbol column: name the keys")
+        keys = ("symbol",) if all(sides) else ()
+    table = evaluate.hazard_diagnostics(left, right, keys)
     tables.write_table(table, out)
     written = spark.read.parquet(out)
     if written.isEmpty():

@@ -299,14 +299,6 @@ def normalize_klines(lines: DataFrame, files: int | None = None) -> DataFrame:
     return out.select("source_file", "position", *KLINE_OUTPUT)
 
 
-def default_trade_names(width: int) -> list[str]:
-    """Names of a headerless trade file with ``width`` columns."""
-    base = TRADE_COLUMNS.get(min(width, 7))
-    if base is None:
-        return [f"col_{k}" for k in range(width)]
-    return [*base, *[f"extra_{k}" for k in range(width - len(base))]]
-
-
 def _field_places(first: Column, headed: Column) -> dict[str, Column]:
     """For each trade column its place in the fields, or NULL."""
     names = F.transform(first, clean_name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from pathlib import PurePosixPath
@@ -32,10 +33,21 @@ PROBABILITY_SCHEMA = "open_time string, y_true string, y_prob string"
 def read_wide_csv(
     spark: SparkSession, path: str, columns: Sequence[str] = WIDE_FEATURES + WIDE_LABELS
 ) -> DataFrame:
-    """The wide CSV, whose unnamed first column becomes the order key ``row_id``."""
-    fields = [T.StructField("row_id", T.LongType())]
-    fields += [T.StructField(c, T.DoubleType()) for c in columns]
-    return spark.read.csv(path, header=True, schema=T.StructType(fields), enforceSchema=True)
+    """The wide CSV, whose unnamed first column becomes the order key ``row_id``.
+
+    Columns are found by the names in the header, in any order; other columns are not read.
+    A file without the unnamed first column, or without one of the names, is an error.
+    All files of the path must share one header.
+    """
+    header = spark.read.csv(path, header=True, inferSchema=False)
+    if not header.columns or not re.fullmatch(r"_c0|Unnamed: 0|index|", header.columns[0]):
+        raise ValueError("the wide table has no unnamed first column to order its rows by")
+    require_columns(header, columns, "wide table")
+    # every column is named in file order, so no value can reach another name
+    kinds = {c: T.DoubleType() for c in columns} | {header.columns[0]: T.LongType()}
+    fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in header.columns]
+    rows = spark.read.csv(path, header=True, schema=T.StructType(fields), enforceSchema=True)
+    return rows.select(F.col(f"`{header.columns[0]}`").alias("row_id"), *[F.col(f"`{c}`") for c in columns])
 
 
 def split_features_labels(

@@ -22,12 +22,13 @@ def streaming_trade_bars(
     """Bars of a stream of trades, each emitted once, when its window is final.
 
     A trade that arrives twice within ``delay`` counts once; one that arrives
-    later than that is dropped, as the watermark says.
+    later than that is dropped, as the watermark says.  Trades without an id can't
+    be told from their repeats and count each.
     """
-    timed = usable_trades(trades).withColumn("ts", F.timestamp_millis("time"))
-    unique = timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
-        ["symbol", "trade_id"]
-    )
+    timed = usable_trades(trades).withColumn("ts", F.timestamp_millis("time")).withWatermark("ts", delay)
+    # a trade without an id gets one of its own, so that it equals no other
+    own = F.when(F.col("trade_id").isNull(), F.uuid())
+    unique = timed.withColumn("_own", own).dropDuplicatesWithinWatermark(["symbol", "trade_id", "_own"])
     return (
         unique.withColumns(side_columns())
         .groupBy(F.window("ts", bar).alias("bar"), "symbol")
