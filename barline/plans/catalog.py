@@ -969,6 +969,66 @@ def hazard_test_metrics(spark, folder):
     )
 
 
+_TWO = ("drawdown_4h", "imbalance")
+
+
+def _newton(steps: int) -> str:
+    """Newton steps of the penalised likelihood of a constant and two scaled features, each a query."""
+    parts = ["w0 AS (SELECT CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v)"]
+    for k in range(1, steps + 1):
+        parts.append(f"""
+q{k} AS (SELECT y, a, b, c, u, v, 1 / (1 + exp(-(c + u * a + v * b))) AS p FROM fit_rows, w{k - 1}),
+g{k} AS (SELECT c, u, v, sum(p - y) AS g0, sum((p - y) * a) + u AS g1, sum((p - y) * b) + v AS g2,
+                sum(p * (1 - p)) AS h00, sum(p * (1 - p) * a) AS h01, sum(p * (1 - p) * b) AS h02,
+                sum(p * (1 - p) * a * a) + 1 AS h11, sum(p * (1 - p) * a * b) AS h12, sum(p * (1 - p) * b * b) + 1 AS h22
+         FROM q{k} GROUP BY c, u, v),
+d{k} AS (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM g{k}),
+w{k} AS MATERIALIZED (
+  SELECT c - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS c,
+         u - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS u,
+         v - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS v
+  FROM d{k})""")
+    return ",".join(parts)
+
+
+_FITTED = f"""
+WITH {oracle.features(HOUR)}, {oracle.drawdowns("features", (24,), (0.5,))},
+numbered AS (
+  SELECT symbol, open_time, CAST({_LABEL} AS INTEGER) AS y,
+         CASE WHEN isfinite({_TWO[0]}) THEN {_TWO[0]} ELSE 0 END AS x1,
+         CASE WHEN isfinite({_TWO[1]}) THEN {_TWO[1]} ELSE 0 END AS x2,
+         row_number() OVER (ORDER BY open_time, symbol) AS k, count(*) OVER () AS total
+  FROM labelled WHERE {_LABEL} IS NOT NULL),
+halves AS (SELECT *, k <= greatest(least(CAST(floor(total * CAST(0.7 AS DOUBLE)) AS BIGINT), total - 1), 1) AS is_train FROM numbered),
+scale AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM halves WHERE is_train),
+scaled AS MATERIALIZED (SELECT symbol, open_time, y, is_train, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b FROM halves, scale),
+fit_rows AS MATERIALIZED (SELECT y, a, b FROM scaled WHERE is_train),
+{_newton(10)}"""
+
+
+@query(
+    f"""{_FITTED}, coefs AS (SELECT '{_TWO[0]}' AS feature, u AS coef FROM w10 UNION ALL SELECT '{_TWO[1]}', v FROM w10)
+SELECT feature, round(coef, 3) + 0.0 AS coef, round(abs(coef), 3) + 0.0 AS abs_coef,
+       CAST(row_number() OVER (ORDER BY abs(coef) DESC) AS INTEGER) AS rank FROM coefs""",
+    digits=3,
+)
+def hazard_two_coefficients(spark, folder):
+    """A fit on two features, which SQL can follow step by step."""
+    train, _ = model.temporal_split(_labelled(spark, folder), 0.7)
+    return model.coefficient_ranking(model.fit_logistic(train, _TWO), _TWO, spark)
+
+
+_TWO_SCORED = f"""{_FITTED},
+scored AS (SELECT symbol, open_time, y AS y_true, 1 / (1 + exp(-(c + u * a + v * b))) AS y_prob FROM scaled, w10 WHERE NOT is_train)"""
+
+
+@query(f"{_TWO_SCORED} SELECT symbol, open_time, y_true, round(y_prob, 3) + 0.0 AS y_prob FROM scored", digits=3)
+def hazard_two_scores(spark, folder):
+    """The scaler, the fit and the scores of the rows after the split."""
+    train, test = model.temporal_split(_labelled(spark, folder), 0.7)
+    return model.predict(model.fit_logistic(train, _TWO), test, _TWO)
+
+
 # --- profile -----------------------------------------------------------------------------
 
 _PROFILED = (
