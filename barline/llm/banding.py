@@ -10,41 +10,67 @@ from pyspark.sql import functions as F
 from .graph import Scratch, components
 
 
-def linked(bands: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, likely=lambda pairs: pairs) -> DataFrame:
+def linked(
+    bands: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    percent: int,
+    scratch: Scratch,
+    likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    inside: Callable[[DataFrame], DataFrame] | None = None,
+    family_votes: int = 3,
+) -> DataFrame:
     """id and component of the linked ids of bands(key, id, n); n is the size of the id's set.
 
     confirm(pairs(u, v, n)) returns the pairs (u, v) that are alike.  likely(pairs) may leave out
-    pairs that can't be.
+    pairs that can't be.  inside(rows(family, id, n)) returns links (u, v) that connect all like
+    ids of each family, without making its pairs rows.
 
     First every id is paired with the smallest id of one of its bands, the one it shares most
     bands with; a band of any size gives one pair for each member at most.  Then bands that hold
     several of the components so found pair what lies outside their largest one with the rest.
     Pairs inside a component can't change the answer and are never made.
+
+    Many documents may be rather alike without being linked, and so share bands in great number.
+    With inside, ids that share family_votes bands or more with their partner form families; a
+    family of several components goes to inside, and only pairs of different families are made.
     """
     shared = bands.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1")
     members = scratch.write(bands.join(shared.select("key", "first"), "key"))
     votes = members.where("id <> first").groupBy("id", "first").agg(F.count("*").alias("votes"), F.max("n").alias("n"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", F.col("first").alias("u"), "n")).alias("best"))
-    pairs = scratch.write(best.select("best.u", F.col("id").alias("v"), "best.n"))
-    links = scratch.write(confirm(pairs))
+    pairs = scratch.write(best.select("best.u", F.col("id").alias("v"), "best.n", "best.votes"))
+    links = scratch.write(confirm(pairs.select("u", "v", "n")))
 
     found = components(links, scratch)
-    placed = members.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    placed = scratch.write(placed)
-    kinds = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    several = kinds.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    rows = scratch.write(placed.join(several.select("key", F.col("most.component").alias("major")), "key"))
+    ids = members.select("id", "n").distinct().join(found, "id", "left")
+    if inside:
+        near = pairs.where(F.col("votes") >= family_votes).select("u", "v").unionByName(links)
+        families = components(near, scratch).withColumnRenamed("component", "family")
+        ids = ids.join(families, "id", "left")
+    else:
+        ids = ids.withColumn("family", F.col("component"))
+    ids = scratch.write(ids.select("id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family")))
+    if inside:
+        several = ids.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+        rows = scratch.write(ids.join(several.select("family"), "family").select("family", "id", "n"))
+        if not rows.isEmpty():
+            links = scratch.write(links.unionByName(inside(rows)))
+
+    placed = scratch.write(members.select("key", "id", "n").join(ids.select("id", "family"), "id"))
     scratch.drop(members)
-    few = rows.where("component <> major").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    rest = rows.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+    kinds = placed.groupBy("key", "family").agg(F.count("*").alias("m"))
+    several = kinds.groupBy("key").agg(F.max(F.struct("m", "family")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    rows = scratch.write(placed.join(several.select("key", F.col("most.family").alias("major")), "key"))
+    few = rows.where("family <> major").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("family").alias("fx"))
+    rest = rows.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("family").alias("fy"))
     sized = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
     more = (
         few.join(rest, "key")
-        .where((F.col("cx") != F.col("cy")) & sized)
+        .where((F.col("fx") != F.col("fy")) & sized)
         .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.greatest("nx", "ny").alias("n"))
         .distinct()
     )
     more = scratch.write(more.join(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-    if more.isEmpty():
-        return found
-    return components(links.unionByName(scratch.write(confirm(likely(more)))), scratch)
+    if not more.isEmpty():
+        links = scratch.write(links.unionByName(confirm(likely(more))))
+    return components(links, scratch)

@@ -6,9 +6,12 @@
 3. Bands of registers meet by a join.  In a bucket of a band every class is paired with the
    smallest one only; each class takes the partner it shares most bands with.  These pairs
    are confirmed on the full sets and give first components.
-4. Buckets that still hold several components pair what lies outside their largest one with
-   the rest, after a size test and a corrected estimate from the registers.  Confirmed pairs
-   are added.  Pairs inside a component can't change the answer and are never made.
+4. Classes that share several bands with their partner form families.  A family of several
+   components is compared in blocks of bounded size, by counts of common shingles, and gives
+   links that connect what is alike, not pairs.
+5. Buckets that hold several families pair what lies outside their largest one with the
+   rest, after a size test and a corrected estimate from the registers.  Confirmed pairs are
+   added.  Pairs inside a component can't change the answer and are never made.
 
 No bucket, group or number of partners is capped.
 """
@@ -42,8 +45,9 @@ class Near:
     bands: int = 48
     registers: int = 5  # of a band
     mantissa: int = 10
-    broadcast_ids: int = 2_000_000  # ids of 8 bytes that may be broadcast; more are joined by a shuffle
+    broadcast_ids: int = 500_000  # ids of 8 bytes that may be broadcast; more are joined by a shuffle
     task_shingles: int = 400_000  # shingles compared with one document in one task
+    block_shingles: int = 200_000  # shingles of a block of a family
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +149,78 @@ def _only(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id")
 
 
+def _with_sets(texts: DataFrame, other: str, kind: str, p: Near) -> DataFrame:
+    """doc_id, hashes (bytes of the sorted set) and one more column of texts(doc_id, text, ...)."""
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, offsets = text_bytes(batch.column("text"))
+        sets = []
+        for a, b in row_blocks(offsets):
+            rows, hashes = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], p.words)
+            sets += [s.tobytes() for s in np.split(hashes, np.searchsorted(rows, np.arange(1, b - a)))]
+        return pa.record_batch([batch.column("doc_id"), pa.array(sets, pa.binary()), batch.column(other)], ["doc_id", "hashes", other])
+
+    return map_batches(texts.select("doc_id", "text", other), shingles, f"doc_id long, hashes binary, {other} {kind}")
+
+
+def common_shingles(sets: list[np.ndarray], at_once: int = 2048) -> np.ndarray:
+    """How many shingles each two sets have in common."""
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    kinds, number, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(seen > 1)
+    place = np.full(len(kinds), -1)
+    place[several] = np.arange(len(several))
+    place = place[number]
+    order = np.argsort(place, kind="stable")
+    place, owners = place[order], owners[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, len(several), at_once):
+        own = slice(*np.searchsorted(place, [first, first + at_once]))
+        table = np.zeros((len(sets), at_once), np.float32)
+        table[owners[own], place[own] - first] = 1
+        both += table @ table.T
+    return both.astype(np.int64)
+
+
+def family_links(docs: DataFrame, rows: DataFrame, p: Near, scratch: Scratch) -> DataFrame:
+    """Links (u, v) that connect all like documents of each family of rows(family, id, n).
+
+    A family is dealt into blocks of about block_shingles; every two blocks meet in one task,
+    which returns at most one link for each document.
+    """
+    loads = rows.groupBy("family").agg(F.ceil(F.sum("n") / p.block_shingles).alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    other = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda k: F.struct("family", F.least(block, k).alias("low"), F.greatest(block, k).alias("high"), block.alias("own")),
+    )
+    roles = scratch.write(rows.join(loads, "family").select(F.col("id").alias("doc_id"), other.alias("meets")))
+
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("doc_id", "ascending"), ("hashes", "ascending")])
+        ids, own = part.column("doc_id").to_numpy(), part.column("own").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in part.column("hashes").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        both = common_shingles(sets)
+        alike = (both > 0) & (100 * both >= p.percent * (sizes[:, None] + sizes[None] - both))
+        if (own != own[0]).any():  # two blocks: the pairs inside one are another task's
+            alike &= own[:, None] != own[None]
+        label = np.arange(len(ids))
+        while True:
+            least = np.minimum(label, np.where(alike, label[None], len(ids)).min(1))
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        at = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"u": ids[label[at]], "v": ids[at]})
+
+    kind = "array<struct<family:long,low:long,high:long,own:long>>"
+    sets = _with_sets(_only(docs.select("doc_id", "text"), roles, p.broadcast_ids), "meets", kind, p)
+    moved = sets.select("doc_id", "hashes", F.explode("meets").alias("meet")).select("doc_id", "hashes", "meet.*")
+    return moved.groupBy("family", "low", "high").applyInArrow(compare, "u long, v long")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, p: Near, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) whose full sets are alike.
 
@@ -163,16 +239,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, p: Near, scratch: Scratch) -> D
     )
     roles = scratch.write(to.unionByName(own).groupBy("doc_id").agg(F.collect_list("place").alias("places")))
 
-    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, offsets = text_bytes(batch.column("text"))
-        sets = []
-        for a, b in row_blocks(offsets):
-            rows, hashes = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], p.words)
-            sets += [s.tobytes() for s in np.split(hashes, np.searchsorted(rows, np.arange(1, b - a)))]
-        return pa.record_batch([batch.column("doc_id"), pa.array(sets, pa.binary()), batch.column("places")], ["doc_id", "hashes", "places"])
-
     kind = "array<struct<u:long,part:long,role:int>>"
-    sets = map_batches(_only(docs.select("doc_id", "text"), roles, p.broadcast_ids), shingles, f"doc_id long, hashes binary, places {kind}")
+    sets = _with_sets(_only(docs.select("doc_id", "text"), roles, p.broadcast_ids), "places", kind, p)
     moved = sets.select("doc_id", "hashes", F.explode("places").alias("place")).select("place.*", "doc_id", "hashes")
 
     def compare(batches):
@@ -234,6 +302,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Near = Near()) -> D
         p.percent,
         scratch,
         lambda pairs: _estimated(pairs, classes, p),
+        lambda rows: family_links(docs, rows, p, scratch),
     )
     return _answer(drawn, classes, found)
 

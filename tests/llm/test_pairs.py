@@ -190,3 +190,28 @@ def test_overlaps_equal_all_alignments(spark):
     for a, b in ((table.limit(0), bench), (table, bench.limit(0))):
         assert decontamination.overlaps(spark, a, b).collect() == []
     assert decontamination.decontaminated(spark, table, bench.limit(0)).count() == len(docs)
+
+
+def test_common_shingles_are_counted():
+    draw = np.random.default_rng(0)
+    sets = [np.unique(draw.integers(0, 900, draw.integers(0, 400))).astype(np.uint64) for _ in range(40)]
+    both = near_dup.common_shingles(sets, 64)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in itertools.combinations(range(40), 2))
+
+
+def test_families_that_are_hardly_linked(spark):
+    """Many documents of a similarity around the bound, compared in blocks."""
+    draw = random.Random(9)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for k in range(150):
+        changed = list(base)
+        for _ in range(draw.randint(3, 8)):
+            changed[draw.randrange(100)] = f"n{draw.random()}"
+        rows.append((k, " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.like_sets({i: brute.shingles(t, 2) for i, t in rows})
+    assert 20 < len(set(want.values())) < 150
+    for p in (near_dup.Near(words=2, block_shingles=2_000), near_dup.Near(words=2, broadcast_ids=0)):
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark, docs, p).collect()}
+        assert got == want
