@@ -1,7 +1,7 @@
 """Log probabilities of whole documents under a hashed maximum-entropy model and a word-count base.
 
-Word counts, the vocabulary, the classes, their first weights and the chances of words outside
-the vocabulary come from all training documents.  Only the gradient steps work on a bounded sample.
+Word counts, the vocabulary, the classes, their first weights, the gradient steps and the chances
+of words outside the vocabulary come from all training documents.
 """
 
 from __future__ import annotations
@@ -25,14 +25,18 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 @dataclass(frozen=True)
 class Model:
-    """Parameters; sample_documents bounds what the gradient steps see in all rounds together."""
+    """Parameters; the weights are averaged after every round, and rounds grow with the documents."""
 
     shape: maxent.Shape = field(default_factory=maxent.Shape)
-    rounds: int = 2
-    learners: int = 4
-    sample_documents: int = 4_000
+    rounds: int = 2  # at least
+    learners: int = 0  # tasks that learn side by side, at most; 0 takes those that read the table
+    learner_tokens: int = 1_000_000  # of a learner at least, so that small partitions are learned from together
     block_tokens: int = 1_500_000  # tokens whose words are kept together in one task
 
+    def rounds_of(self, documents: int) -> int:
+        """One more for every sixteen times as many documents, from a million on."""
+        return max(self.rounds, round(np.log(max(documents, 1) / 1_000) / np.log(16)))
+
 
 def document_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every token: words by white space, A-Z lower-cased, then one end for each row."""
@@ -109,45 +113,53 @@ def start_model(counts: DataFrame, total: int, m: Model) -> Trained:
     return Trained(words[order], ids[1:][order], *maxent.start(ordered, m.shape))
 
 
-def train_round(docs: DataFrame, model: Trained, m: Model) -> Trained:
-    """Every learner passes over its documents from the same weights; the changes are averaged."""
-    s = m.shape
+def train_round(docs: DataFrame, model: Trained, learners: int, m: Model) -> Trained:
+    """Every task passes over its documents from the same weights; the changes of each row of
+    weights are averaged over the tasks that changed it, so a context met in one task counts whole."""
+    s, block = m.shape, 1024
 
-    def learn(part: pa.Table) -> pa.Table:
-        part = part.take(pa.array(np.argsort(part.column("order").to_numpy(), kind="stable")))
+    def learn(batches):
         by_class, by_word = model.by_class.copy(), model.by_word.copy()
-        for batch in part.combine_chunks().to_batches():
+        squares = maxent.new_squares(by_class, by_word)
+        for batch in batches:
             for _, _, rows, words in _tokens(batch):
-                maxent.train(by_class, by_word, model.ids_of(words), rows, s)
-        out = []
+                maxent.train(by_class, by_word, model.ids_of(words), rows, s, squares=squares)
         for table, (new, old) in enumerate(((by_class, model.by_class), (by_word, model.by_word))):
-            change = new - old
-            at = np.flatnonzero(change.any(1))
-            out.append((np.full(len(at), table), at, [c.tobytes() for c in change[at]]))
-        return pa.table({"t": np.concatenate([o[0] for o in out]), "row": np.concatenate([o[1] for o in out]), "change": pa.array(out[0][2] + out[1][2], pa.binary())})
-
-    def add(part: pa.Table) -> pa.Table:
-        frame = part.to_pandas()
-        sums = [(t, row, sum(np.frombuffer(x, np.float32) for x in own)) for (t, row), own in frame.groupby(["t", "row"])["change"]]
-        return pa.table({"t": pa.array([x[0] for x in sums], pa.int64()), "row": pa.array([x[1] for x in sums], pa.int64()), "change": pa.array([x[2].tobytes() for x in sums], pa.binary())})
-
-    schema = "t long, row long, change binary"
-    changes = docs.groupBy("learner").applyInArrow(learn, schema).groupBy(F.pmod("row", F.lit(16))).applyInArrow(add, schema)
-    by_class, by_word = model.by_class.copy(), model.by_word.copy()
-    for t, row, change in changes.toPandas().itertuples(index=False):  # a row for each row of weights at most
-        (by_class, by_word)[t][row] += np.frombuffer(change, np.float32) / m.learners
-    return Trained(model.words, model.ids, by_class, by_word)
+            for first in range(0, len(new), block):
+                change = new[first : first + block] - old[first : first + block]
+                at = np.flatnonzero(change.any(1))
+                if len(at):  # changes travel as half floats
+                    parts = [pa.array([x]) for x in (table, first, at.astype(np.int16).tobytes(), change[at].astype(np.float16).tobytes())]
+                    yield pa.record_batch(parts, ["t", "first", "at", "change"])
+
+    def average(part: pa.Table) -> pa.Table:
+        table, first = part.column("t")[0].as_py(), part.column("first")[0].as_py()
+        width = (model.by_class, model.by_word)[table].shape[1]
+        total, n = np.zeros((block, width)), np.zeros(block)
+        for at, change in zip(part.column("at").to_pylist(), part.column("change").to_pylist()):
+            at = np.frombuffer(at, np.int16)
+            total[at] += np.frombuffer(change, np.float16).reshape(-1, width)
+            n[at] += 1
+        mean = (total / np.maximum(n, 1)[:, None]).astype(np.float32)
+        return pa.table({"t": [table], "first": [first], "change": pa.array([mean.tobytes()], pa.binary())})
+
+    changes = docs.select("text").coalesce(learners).mapInArrow(learn, "t long, first long, at binary, change binary")
+    changes = changes.groupBy("t", "first").applyInArrow(average, "t long, first long, change binary")
+    tables = model.by_class.copy(), model.by_word.copy()
+    for t, first, change in changes.toPandas().itertuples(index=False):  # the size of the weights at most
+        own = tables[t][first : first + block]
+        own += np.frombuffer(change, np.float32).reshape(block, -1)[: len(own)]
+    return Trained(model.words, model.ids, *tables)
 
 
 def train_model(train: DataFrame, counts: DataFrame, total: int, m: Model) -> Trained:
+    """The start model after gradient steps over every training document once, a part of them in each round."""
     model = start_model(counts, total, m)
-    share = min(1 << 20, (m.sample_documents << 20) // max(train.count(), 1))
-    mixed = F.xxhash64("doc_id", "text")
-    some = train.where(F.pmod(mixed, F.lit(1 << 20)) < share).select("text", mixed.alias("order"), F.pmod(F.shiftright(mixed, 20), F.lit(m.learners * m.rounds)).alias("slot"))
-    some = Scratch(train.sparkSession).write(some)
-    for k in range(m.rounds):
-        part = some.where(F.pmod("slot", F.lit(m.rounds)) == k).withColumn("learner", (F.col("slot") / m.rounds).cast("int"))
-        model = train_round(part, model, m)
+    rounds = m.rounds_of(train.count())
+    learners = m.learners or max(1, total // m.learner_tokens)
+    for k in range(rounds):
+        part = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
+        model = train_round(part, model, learners, m)
     return model
 
 

@@ -85,9 +85,14 @@ def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: n
     weights[used] -= rate * total / np.sqrt(squares[used])
 
 
-def train(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.ndarray, s: Shape, rate: float = 0.05, batch: int = 4096) -> None:
+def new_squares(by_class: np.ndarray, by_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of squared gradients before the first step; train() adds to them over all its calls."""
+    return np.full_like(by_class, 1e-6), np.full_like(by_word, 1e-6)
+
+
+def train(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.ndarray, s: Shape, rate: float = 0.05, batch: int = 4096, squares=None) -> None:
     """One pass of gradient steps over the tokens, changing the weights in place."""
-    squares = np.full_like(by_class, 1e-6), np.full_like(by_word, 1e-6)
+    squares = new_squares(by_class, by_word) if squares is None else squares
     context = contexts(ids, rows, s)
     for a in range(0, len(ids), batch):
         own, c = ids[a : a + batch], context[a : a + batch]

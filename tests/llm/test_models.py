@@ -226,6 +226,27 @@ def test_language_model_scores(spark):
     assert lm_score.lm_scores(spark, table.limit(0), model).collect() == []
 
 
+def _pair_gain(trained, chances, pairs):
+    """How much likelier, in nats, the second word of each pair is after its first than after that of another pair."""
+    hashes = lambda *w: lm_score.document_tokens(*text_bytes(pa.array([" ".join(w)])))[1][:2]
+    after = lambda a, b: chances(trained, hashes(a, b))[1]
+    return [after(a, b) - after(pairs[k - 1][0], b) for k, (a, b) in enumerate(pairs)]
+
+
+def test_language_model_learns_from_every_training_document(spark):
+    ids = [k for k in range(9000) if brute.fold(k, 7) != 2]
+    pairs = [(f"first{j}", f"second{j}") for j in range(24)]
+    texts = {k: "plain words here" for k in ids} | {ids[300 * j + 7]: " ".join(pairs[j] * 300) for j in range(24)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    model = lm_score.Model(shape=maxent.Shape(classes=8, members=16, pair_rows=4096, word_rows=1 << 14), learner_tokens=8_000)
+    counts = lm_score.word_counts(docs)
+    trained = lm_score.train_model(docs, counts, sum(r.n for r in counts.collect()), model)
+    chances = lambda t, words: maxent.log_chances(t.by_class, t.by_word, t.ids_of(words), np.zeros(2, int), model.shape)
+    gains = _pair_gain(trained, chances, pairs)
+    assert min(gains) > 0.05, gains
+    assert [lm_score.Model().rounds_of(n) for n in (0, 9_000, 20_000_000)] == [2, 2, 4]
+
+
 def _secrets():
     draw = random.Random(6)
     hexes = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
