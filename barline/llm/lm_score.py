@@ -1,12 +1,12 @@
 """Log probabilities of whole documents under a hashed maximum-entropy model and a word-count base.
 
-Word counts, the vocabulary, the classes, their first weights, the gradient steps and the chances
-of words outside the vocabulary come from all training documents.
+Word counts, the vocabulary, the first weights, the gradient steps and the chances of words that
+share a leaf of the model's tree come from all training documents.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 class Model:
     """Parameters; the weights are averaged after every round, and rounds grow with the documents."""
 
-    shape: maxent.Shape = field(default_factory=maxent.Shape)
+    shape: maxent.Shape | None = None  # None follows the corpus
+    least_count: int = 3  # words as frequent have a leaf of their own, as far as half of all leaves go
     rounds: int = 2  # at least
     learners: int = 0  # tasks that learn side by side, at most; 0 takes those that read the table
     learner_tokens: int = 1_000_000  # of a learner at least, so that small partitions are learned from together
@@ -81,49 +82,54 @@ def word_counts(docs: DataFrame, block_tokens: int = Model.block_tokens) -> Data
 
 @dataclass
 class Trained:
-    """Sorted hashes of the known words, the id of each, and the two tables of weights; id 0 is any other word."""
+    """Sorted hashes of the words with a leaf of their own, the leaf of each, the two tables of weights
+    and the counts plus one of all words that share a leaf; those stand behind the own ones, by hash."""
 
+    shape: maxent.Shape
     words: np.ndarray
     ids: np.ndarray
     by_class: np.ndarray
     by_word: np.ndarray
+    shared: np.ndarray
 
     def ids_of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), np.int64)
         kinds, back = np.unique(words, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, kinds), len(self.words) - 1)
-        return np.where(self.words[at] == kinds, self.ids[at], 0)[back]
+        out = len(self.words) + kinds % len(self.shared)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, kinds), len(self.words) - 1)
+            out = np.where(self.words[at] == kinds, self.ids[at], out)
+        return out[back]
 
 
 def start_model(counts: DataFrame, total: int, m: Model) -> Trained:
-    """The most frequent words as vocabulary, and weights from their counts; the end of a text is always known."""
-    top = counts.orderBy((F.col("word") == END).desc(), F.col("n").desc(), "word").limit(m.shape.words - 1).collect()
-    own = np.zeros(m.shape.words)
-    own[1 : len(top) + 1] = [r.n for r in top]
-    own[0] = max(total - own.sum(), 1)
-    # classes hold words of like frequency, the unknown word among the most frequent
-    words = np.array([r.word for r in top], np.int64)
-    rank = np.concatenate([[0], 1 + np.argsort(-own[1 : len(top) + 1], kind="stable")]).astype(np.int64)
-    ids = np.empty(len(top) + 1, np.int64)
-    ids[rank] = np.arange(len(rank))
-    ordered = np.zeros(m.shape.words)
-    ordered[: len(rank)] = own[rank]
+    """Frequent words and the end of a text with leaves of their own, the others dealt over the other
+    leaves by hash, and weights from their counts."""
+    shape = m.shape
+    if shape is None:
+        shape = maxent.shape_of(counts.where(F.col("n") >= m.least_count).count(), total)
+    top = counts.where((F.col("n") >= m.least_count) | (F.col("word") == END))
+    top = top.orderBy((F.col("word") == END).desc(), F.col("n").desc(), "word").limit(shape.words // 2).toPandas()  # bounded by the leaves
+    words, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    size = shape.words - len(words)
+    sums = counts.groupBy(F.pmod("word", F.lit(size)).alias("leaf")).agg(F.sum(F.col("n") + 1).alias("n")).toPandas()  # a row for each leaf
+    shared = np.ones(size, np.int64)  # for a word never seen
+    shared[sums["leaf"].to_numpy(np.int64)] += sums["n"].to_numpy(np.int64)
+    np.subtract.at(shared, words % size, n + 1)
     order = np.argsort(words)
-    return Trained(words[order], ids[1:][order], *maxent.start(ordered, m.shape))
+    return Trained(shape, words[order], order, *maxent.start(np.concatenate([n + 1, shared]).astype(float), shape), shared)
 
 
-def train_round(docs: DataFrame, model: Trained, learners: int, m: Model) -> Trained:
+def train_round(docs: DataFrame, model: Trained, learners: int) -> Trained:
     """Every task passes over its documents from the same weights; the changes of each row of
     weights are averaged over the tasks that changed it, so a context met in one task counts whole."""
-    s, block = m.shape, 1024
+    s, block = model.shape, 1024
 
     def learn(batches):
         by_class, by_word = model.by_class.copy(), model.by_word.copy()
         squares = maxent.new_squares(by_class, by_word)
         for batch in batches:
             for _, _, rows, words in _tokens(batch):
-                maxent.train(by_class, by_word, model.ids_of(words), rows, s, squares=squares)
+                maxent.train(by_class, by_word, model.ids_of(words), rows, s, squares=squares, words=words)
         for table, (new, old) in enumerate(((by_class, model.by_class), (by_word, model.by_word))):
             for first in range(0, len(new), block):
                 change = new[first : first + block] - old[first : first + block]
@@ -149,7 +155,7 @@ def train_round(docs: DataFrame, model: Trained, learners: int, m: Model) -> Tra
     for t, first, change in changes.toPandas().itertuples(index=False):  # the size of the weights at most
         own = tables[t][first : first + block]
         own += np.frombuffer(change, np.float32).reshape(block, -1)[: len(own)]
-    return Trained(model.words, model.ids, *tables)
+    return replace(model, by_class=tables[0], by_word=tables[1])
 
 
 def train_model(train: DataFrame, counts: DataFrame, total: int, m: Model) -> Trained:
@@ -159,7 +165,7 @@ def train_model(train: DataFrame, counts: DataFrame, total: int, m: Model) -> Tr
     learners = m.learners or max(1, total // m.learner_tokens)
     for k in range(rounds):
         part = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
-        model = train_round(part, model, learners, m)
+        model = train_round(part, model, learners)
     return model
 
 
@@ -185,7 +191,7 @@ def _drafts(docs: DataFrame, model: Trained, m: Model) -> DataFrame:
                     packed = np.concatenate([np.diff(at, prepend=0), n]).astype(np.int32).tobytes()
                     places.append(codec.compress(packed, asbytes=True))
                     docs.append((len(at), int(first[k + 1] - first[k]), float(sums[k])))
-            known = (model.ids_of(kinds) > 0).tobytes()
+            known = (model.ids_of(kinds) < len(model.words)).tobytes()
             ids = [x for h in held for x in h[0].column("doc_id").to_pylist()]
             columns = [
                 pa.array([block] * (len(ids) + 1), pa.int64()),
@@ -201,7 +207,10 @@ def _drafts(docs: DataFrame, model: Trained, m: Model) -> DataFrame:
 
         for batch in batches:
             for a, b, rows, words in _tokens(batch):
-                chances = maxent.log_chances(model.by_class, model.by_word, model.ids_of(words), rows, m.shape)
+                ids = model.ids_of(words)
+                chances = maxent.log_chances(model.by_class, model.by_word, ids, rows, model.shape, words=words)
+                far = ids >= len(model.words)
+                chances[far] -= np.log(model.shared[ids[far] - len(model.words)])  # its share of the leaf, but for its own count
                 held.append((batch.slice(a, b - a), rows, words, chances))
                 size += len(words)
                 if size >= m.block_tokens:
@@ -219,7 +228,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, m: Model = Model()) -> DataF
 
     Documents of the fold with crc32(doc_id) mod 7 = 2 are never learned from.  A null text counts
     as empty and has its end alone; repeated rows count each in learning.  With nothing to learn
-    from all counts are 0.  Words outside the vocabulary share the chance of the unknown word in
+    from all counts are 0.  Words without a leaf of their own share the chance of theirs in
     proportion to their counts plus one, so the score is a proper log10 probability.
     """
     scratch = Scratch(spark)
@@ -229,8 +238,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, m: Model = Model()) -> DataF
     counts = scratch.write(word_counts(train, m.block_tokens))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     model = train_model(train, counts, total, m)
-    known = counts.where(F.col("word").isin(model.words.tolist())).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    base_of, other_of = total + distinct + 1, total - known[0] + distinct - known[1] + 1
+    base_of = total + distinct + 1
 
     drafts = scratch.write(_drafts(docs, model, m))
     blocks = drafts.where("words is not null").select("block", F.posexplode("words").alias("at", "word"), "known")
@@ -245,7 +253,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, m: Model = Model()) -> DataF
         right = right.filter(right.column("at").is_valid())
         c = np.zeros(len(known), np.int64)
         c[right.column("at").to_numpy()] = right.column("n").to_numpy()
-        base, other = np.log10((c + 1) / base_of), np.where(known, 0.0, np.log10((c + 1) / other_of))
+        base, other = np.log10((c + 1) / base_of), np.where(known, 0.0, np.log10(c + 1))
         codec, rows = pa.Codec("zstd", 1), []
         for doc_id, kinds, tokens, chance, packed in zip(*(left.column(x).to_pylist() for x in ("doc_id", "kinds", "n_tokens", "chance", "places"))):
             raw = np.frombuffer(codec.decompress(packed, 8 * kinds, asbytes=True), np.int32)

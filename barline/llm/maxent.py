@@ -1,8 +1,9 @@
 """A hashed maximum-entropy model of the next word, in sparse numpy batches.
 
-Each known word has a class; the model gives the class and then the word within it.  Both come
-from sums of rows of weights that the context selects: a constant, the word before, the word
-two before (a skip), and a hash of both.  Class and word rows are softmax scores.
+Words are the leaves of a tree; the model gives the class, the first branch, and then each branch
+below it.  All come from sums of rows of weights that the context selects: a constant, the word
+before, the word two before (a skip), and both.  Contexts are hashed from the words themselves,
+rows of branches from context and node.  Each choice of a branch is a softmax.
 """
 
 from __future__ import annotations
@@ -17,42 +18,80 @@ from .words import joined_hash
 @dataclass(frozen=True)
 class Shape:
     classes: int = 32
-    members: int = 32  # words of a class
-    pair_rows: int = 1 << 13  # hashed rows of pairs of words
-    word_rows: int = 1 << 15  # hashed rows of context and class
+    members: int = 32  # branches of a class, and of each node below
+    pair_rows: int = 1 << 13  # hashed rows of classes, for each kind of context
+    word_rows: int = 1 << 15  # hashed rows of context and node, with a constant for each node
+    levels: int = 2  # choices that lead to a word
 
     @property
     def words(self) -> int:
-        return self.classes * self.members
+        return self.classes * self.members ** (self.levels - 1)
+
+    @property
+    def nodes(self) -> int:
+        return self.classes * sum(self.members**k for k in range(self.levels - 1))
 
     @property
     def context_rows(self) -> int:
-        return 1 + 2 * (self.words + 1) + self.pair_rows
+        return 1 + 3 * self.pair_rows
+
+
+#: Leaves of the largest tree; further words share leaves.
+MOST_WORDS = 1 << 20
+
+
+def shape_of(frequent: int, tokens: int) -> Shape:
+    """A tree with two leaves for each frequent word, and hashed rows that grow with the root of the tokens."""
+    levels = 2
+    while 32**levels < min(2 * frequent, MOST_WORDS):
+        levels += 1
+    rows = max(1 << 15, 1 << int(np.ceil(np.log2(4 * np.sqrt(max(tokens, 1))))))
+    tree = Shape(levels=levels)
+    return Shape(pair_rows=rows // 4, word_rows=rows + tree.nodes, levels=levels)
+
 
+def contexts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hashes of each token's contexts, tokens x 3; before a text stands one common word."""
+    words = np.asarray(words).astype(np.int64).view(np.uint64)
+    one, two = (np.full(len(words), 2**64 - 1, np.uint64) for _ in range(2))
+    one[1:] = np.where(rows[1:] == rows[:-1], words[:-1], one[1:])
+    two[2:] = np.where(rows[2:] == rows[:-2], words[:-2], two[2:])
+    kind = [np.full(len(words), k, np.uint64) for k in range(2)]
+    return np.stack([joined_hash(kind[0], one), joined_hash(kind[1], two), joined_hash(one, two, one)], 1)
 
-def contexts(ids: np.ndarray, rows: np.ndarray, s: Shape) -> np.ndarray:
-    """Rows of weights of each token's context, tokens x 4; before a text stands one common word."""
-    one, two = np.full(len(ids), s.words), np.full(len(ids), s.words)
-    one[1:] = np.where(rows[1:] == rows[:-1], ids[:-1], s.words)
-    two[2:] = np.where(rows[2:] == rows[:-2], ids[:-2], s.words)
-    pair = (joined_hash(one.astype(np.uint64), two.astype(np.uint64)) % np.uint64(s.pair_rows)).astype(np.int64)
-    first = 1 + s.words + 1
-    return np.stack([np.zeros(len(ids), np.int64), 1 + one, first + two, first + s.words + 1 + pair], 1)
 
+def class_rows(context: np.ndarray, s: Shape) -> np.ndarray:
+    """Rows of the classes' weights for a context, tokens x 4."""
+    hashed = 1 + np.arange(3) * s.pair_rows + (context % np.uint64(s.pair_rows)).astype(np.int64)
+    return np.hstack([np.zeros((len(context), 1), np.int64), hashed])
 
-def word_rows(context: np.ndarray, group: np.ndarray, s: Shape) -> np.ndarray:
-    """Rows of the words' weights for a context and a class; the constants have rows of their own."""
-    hashed = joined_hash(context[:, 1:].ravel().astype(np.uint64), np.repeat(group, 3).astype(np.uint64))
-    rest = s.classes + (hashed % np.uint64(s.word_rows - s.classes)).astype(np.int64).reshape(-1, 3)
-    return np.hstack([group[:, None], rest])
+
+def branches(ids: np.ndarray, s: Shape):
+    """Node and branch of each word at every level below the classes."""
+    first = 0
+    for level in range(1, s.levels):
+        below = s.members ** (s.levels - 1 - level)
+        yield first + ids // (below * s.members), ids // below % s.members
+        first += s.classes * s.members ** (level - 1)
+
+
+def word_rows(context: np.ndarray, node: np.ndarray, s: Shape) -> np.ndarray:
+    """Rows of a node's weights for a context; the constants have rows of their own."""
+    hashed = joined_hash(context.ravel(), np.repeat(node, 3).astype(np.uint64))
+    rest = s.nodes + (hashed % np.uint64(s.word_rows - s.nodes)).astype(np.int64).reshape(-1, 3)
+    return np.hstack([node[:, None], rest])
 
 
 def start(counts: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Weights that give each word its share of the counts in every context; unused places nothing."""
-    share = np.log(np.maximum(counts.reshape(s.classes, s.members), 1e-6))
     by_class, by_word = np.zeros((s.context_rows, s.classes), np.float32), np.zeros((s.word_rows, s.members), np.float32)
-    by_class[0] = np.logaddexp.reduce(share, 1)
-    by_word[: s.classes] = share - by_class[0][:, None]
+    share, last = np.log(np.maximum(counts, 1e-6)), s.nodes
+    for _ in range(1, s.levels):
+        share = share.reshape(-1, s.members)
+        total = np.logaddexp.reduce(share, 1)
+        by_word[last - len(share) : last] = share - total[:, None]
+        last, share = last - len(share), total
+    by_class[0] = share
     return by_class, by_word
 
 
@@ -61,28 +100,31 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
-def log_chances(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.ndarray, s: Shape, at_once: int = 1 << 15) -> np.ndarray:
-    """Natural logarithm of each token's chance after the tokens before it in its row."""
-    out, context = np.empty(len(ids)), contexts(ids, rows, s)
+def log_chances(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.ndarray, s: Shape, at_once: int = 1 << 15, words: np.ndarray | None = None) -> np.ndarray:
+    """Natural logarithm of each token's chance after the tokens before it in its row; words are the
+    hashes that contexts are made of, the ids if not given."""
+    out, context = np.empty(len(ids)), contexts(ids if words is None else words, rows)
     for a in range(0, len(ids), at_once):
         own, c = ids[a : a + at_once], context[a : a + at_once]
-        group, place = own // s.members, own % s.members
         at = np.arange(len(own))
-        x = sum(by_class[c[:, k]] for k in range(c.shape[1]))
-        w = word_rows(c, group, s)
-        y = sum(by_word[w[:, k]] for k in range(w.shape[1]))
-        out[a : a + at_once] = _log_softmax(x)[at, group] + _log_softmax(y)[at, place]
+        r = class_rows(c, s)
+        total = _log_softmax(sum(by_class[r[:, k]] for k in range(4)))[at, own // (s.words // s.classes)].astype(float)
+        for node, place in branches(own, s):
+            r = word_rows(c, node, s)
+            total += _log_softmax(sum(by_word[r[:, k]] for k in range(4)))[at, place]
+        out[a : a + at_once] = total
     return out
 
 
 def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """One AdaGrad step; rows (tokens x features) share each token's gradient."""
-    flat = rows.T.ravel()
-    order = np.argsort(flat, kind="stable")
-    used, first = np.unique(flat[order], return_index=True)
-    total = np.add.reduceat(grad[order % len(grad)], first, axis=0) / len(grad)
-    squares[used] += total**2
-    weights[used] -= rate * total / np.sqrt(squares[used])
+    used, at = np.unique(rows.T.ravel(), return_inverse=True)
+    total = np.empty((len(used), grad.shape[1]), np.float32)
+    for k, one in enumerate(np.ascontiguousarray(grad.T, float) / len(grad)):
+        total[:, k] = np.bincount(at, np.tile(one, rows.shape[1]), len(used))
+    sums = squares[used] + total**2
+    squares[used] = sums
+    weights[used] -= rate * total / np.sqrt(sums)
 
 
 def new_squares(by_class: np.ndarray, by_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,18 +132,18 @@ def new_squares(by_class: np.ndarray, by_word: np.ndarray) -> tuple[np.ndarray,
     return np.full_like(by_class, 1e-6), np.full_like(by_word, 1e-6)
 
 
-def train(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.ndarray, s: Shape, rate: float = 0.05, batch: int = 4096, squares=None) -> None:
+def train(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.ndarray, s: Shape, rate: float = 0.05, batch: int = 4096, squares=None, words: np.ndarray | None = None) -> None:
     """One pass of gradient steps over the tokens, changing the weights in place."""
     squares = new_squares(by_class, by_word) if squares is None else squares
-    context = contexts(ids, rows, s)
+    context = contexts(ids if words is None else words, rows)
+
+    def step(weights, sums, r, place):
+        x = np.exp(_log_softmax(sum(weights[r[:, k]] for k in range(4))))
+        x[np.arange(len(x)), place] -= 1
+        _descend(weights, sums, r, x, rate)
+
     for a in range(0, len(ids), batch):
         own, c = ids[a : a + batch], context[a : a + batch]
-        group, place = own // s.members, own % s.members
-        at = np.arange(len(own))
-        w = word_rows(c, group, s)
-        x = np.exp(_log_softmax(sum(by_class[c[:, k]] for k in range(c.shape[1]))))
-        y = np.exp(_log_softmax(sum(by_word[w[:, k]] for k in range(w.shape[1]))))
-        x[at, group] -= 1
-        y[at, place] -= 1
-        _descend(by_class, squares[0], c, x, rate)
-        _descend(by_word, squares[1], w, y, rate)
+        step(by_class, squares[0], class_rows(c, s), own // (s.words // s.classes))
+        for node, place in branches(own, s):
+            step(by_word, squares[1], word_rows(c, node, s), place)

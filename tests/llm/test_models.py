@@ -241,12 +241,41 @@ def test_language_model_learns_from_every_training_document(spark):
     model = lm_score.Model(shape=maxent.Shape(classes=8, members=16, pair_rows=4096, word_rows=1 << 14), learner_tokens=8_000)
     counts = lm_score.word_counts(docs)
     trained = lm_score.train_model(docs, counts, sum(r.n for r in counts.collect()), model)
-    chances = lambda t, words: maxent.log_chances(t.by_class, t.by_word, t.ids_of(words), np.zeros(2, int), model.shape)
+    chances = lambda t, words: maxent.log_chances(t.by_class, t.by_word, t.ids_of(words), np.zeros(2, int), t.shape, words=words)
     gains = _pair_gain(trained, chances, pairs)
     assert min(gains) > 0.05, gains
     assert [lm_score.Model().rounds_of(n) for n in (0, 9_000, 20_000_000)] == [2, 2, 4]
 
 
+def test_language_model_has_features_of_rare_words(spark):
+    draw = random.Random(11)
+    common = [f"w{k}" for k in range(1500)] * 30
+    draw.shuffle(common)
+    pairs = [(f"rarefirst{j}", f"raresecond{j}") for j in range(6)]
+    texts = [" ".join(common[k : k + 50]) for k in range(0, len(common), 50)] + [" ".join(w for p in pairs for w in [*p, draw.choice(common)]) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    counts = lm_score.word_counts(docs)
+    total = sum(r.n for r in counts.collect())
+    trained = lm_score.train_model(docs, counts, total, lm_score.Model())
+    assert trained.shape.words >= 2 * 1500
+    hashes = lm_score.document_tokens(*text_bytes(pa.array([" ".join(w for p in pairs for w in p)])))[1][:-1]
+    assert len(set(trained.ids_of(hashes).tolist())) == 12
+    chances = lambda t, words: maxent.log_chances(t.by_class, t.by_word, t.ids_of(words), np.zeros(2, int), t.shape, words=words)
+    assert min(_pair_gain(trained, chances, pairs)) > 0.05
+    # all words of a small tree together have the chance of one, those that share leaves among them
+    small = lm_score.start_model(counts, total, lm_score.Model(shape=maxent.Shape(classes=3, members=4, pair_rows=8, word_rows=64, levels=3)))
+    small.by_class += np.random.default_rng(0).normal(size=small.by_class.shape).astype(np.float32)
+    small.by_word += np.random.default_rng(1).normal(size=small.by_word.shape).astype(np.float32)
+    rows = counts.collect()
+    words, n = np.array([r.word for r in rows]), np.array([r.n for r in rows])
+    ids, own = small.ids_of(words), len(small.words)
+    chance = maxent.log_chances(small.by_class, small.by_word, ids, np.arange(len(ids)), small.shape, words=words)
+    share = np.where(ids < own, 1.0, (n + 1) / small.shared[np.maximum(ids - own, 0)])
+    unseen = [maxent.log_chances(small.by_class, small.by_word, np.array([own + k]), np.zeros(1, int), small.shape)[0] for k in range(len(small.shared))]
+    assert abs((np.exp(chance) * share).sum() + (np.exp(unseen) / small.shared).sum() - 1) < 1e-4
+    assert [maxent.shape_of(n, n * 30).levels for n in (100, 10_000, 300_000)] == [2, 3, 4]
+
+
 def _secrets():
     draw = random.Random(6)
     hexes = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
