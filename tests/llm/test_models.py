@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
 
 import brute
 import numpy as np
@@ -322,3 +323,21 @@ def test_network_learns_and_holds_its_recall():
     together = secret_net.logits(net, windows[:50])
     alone = np.concatenate([secret_net.logits(net, [w]) for w in windows[:50]])
     assert np.allclose(together, alone)
+
+
+def test_network_finds_secrets_that_no_rule_matches(spark):
+    draw = random.Random(13)
+    upper = lambda n, letters="0123456789ABCDEF": "".join(draw.choice(letters) for _ in range(n))
+    rows = _secrets()
+    extra = [(1000 + k, f"{_prose(draw)[:80]} {upper(32)} {_prose(draw)[:50]}") for k in range(20)]
+    plain = [(2000 + k, f"{_prose(draw)[:80]} mail{k + 700}.example.com {_prose(draw)[:50]}") for k in range(20)]
+    docs = spark.createDataFrame(rows + extra + plain, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.secrets(docs).collect()}
+    texts = dict(extra + plain)
+    right = lambda i: any(re.fullmatch("[0-9A-F]{32}", texts[i][int(s.split(":")[1]) : int(s.split(":")[2])]) for s in got[i].split(",") if s)
+    assert sum(right(i) for i, _ in extra) >= 18
+    assert sum("learned" in got[i] for i, _ in plain) <= 2
+    window = np.array([*b" x password=", *(256 + np.frombuffer(b"0123456789abcdef", np.uint8).astype(np.int64))])
+    changed = bytes((secret_scan.hidden(window, 5, np.random.default_rng(0)) & 255).astype(np.uint8))
+    assert not secret_scan.ASSIGN.search(changed.decode()) and changed.endswith(b"=0123456789ABCDEF")
+    assert secret_scan.covered_whole([(0, 5), (4, 9), (7, 8)], [(0, 0, 6), (5, 2, 8)]) == [True, False, True]
