@@ -4,7 +4,7 @@ A seed mask picks some of several consecutive words and ignores the others.  The
 chosen so that every 16 words with at most three of them replaced keep one mask's words
 intact (a test tries all cases), so no such overlap is missed.  Hashes under the masks meet
 in a join of documents and test items; each alignment that a hit gives is then compared word
-by word.
+by word.  Items of 8 to 15 words bear one or two replaced or cut-off words and have shorter masks.
 """
 
 from __future__ import annotations
@@ -22,17 +22,29 @@ from .words import LETTER_CUT, LOWER, find_words, hash_words, joined_hash
 
 #: Found by a greedy search over all masks of six words.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 8, 10, 11), (0, 1, 2, 4, 5, 6))
+#: For items of 8 to 11 words with any one of them gone, and of 12 to 15 words with any two (tested likewise).
+SHORT_MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
 
 
 @dataclass(frozen=True)
 class Overlap:
-    """An overlap is window words of which least are equal; shorter items must occur whole."""
+    """An overlap is window words of which least are equal; items of fewer than exact_below words
+    must occur whole.  With exact_below under window, items between the two miss one word, from
+    12 words on two, and where a text begins or ends inside a longer item, least equal words suffice."""
 
     window: int = 16
     least: int = 13
+    exact_below: int = 16
     filter_bits: int = 24  # of a bitmap of test hashes that all tasks get, whatever the number of items
     broadcast_bytes: int = 32 << 20  # of alignments to confirm; more are joined by a shuffle
 
+    def least_of(self, n: int) -> int:
+        """Equal words that an overlap with an item of n words needs."""
+        return self.least if n >= self.window else n if n < self.exact_below else n - max(n // 4 - 1, 0)
+
+
+#: What the query and the pipeline look for.
+TOLERANT = Overlap(exact_below=8)
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray):
     """Starts, ends, rows and hashes of the words: runs of letters and digits, A-Z lower-cased."""
@@ -41,10 +53,19 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray):
     return starts, ends, rows, hash_words(raw, starts, ends)
 
 
-def seeds(rows: np.ndarray, words: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the first word and hash of each seed: under every mask, and of each given length without gaps."""
+def shapes_of(lengths: list[int], p: Overlap) -> list[tuple[int, tuple[int, ...]]]:
+    """Number and mask of every seed for items of the given lengths; exact ones are their whole length without gaps."""
+    out = []
+    if any(n >= p.window for n in lengths):
+        out += list(enumerate(MASKS))
+    if any(p.exact_below <= n < p.window for n in lengths):
+        out += list(enumerate(SHORT_MASKS, 50))
+    return out + [(100 + n, tuple(range(n))) for n in lengths if n < min(p.window, p.exact_below)]
+
+
+def seeds(rows: np.ndarray, words: np.ndarray, shapes: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first word and hash of each seed under the given masks."""
     at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    shapes = [(k, mask) for k, mask in enumerate(MASKS)] + [(100 + n, tuple(range(n))) for n in lengths]
     for kind, mask in shapes:
         count = len(words) - mask[-1]
         if count <= 0:
@@ -81,15 +102,14 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Over
     """
     scratch = Scratch(spark)
     items = scratch.write(_items(benchmark))
-    short = [r.n for r in items.where(F.col("n") < p.window).select("n").distinct().collect()]  # fewer than window numbers
+    lengths = [r.n for r in items.select(F.least("n", F.lit(p.window)).alias("n")).distinct().collect()]  # window numbers at most
+    shapes = shapes_of(lengths, p)
 
     def item_seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for item, raw in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
             words = np.frombuffer(raw, np.uint64)
-            at, hashes = seeds(np.zeros(len(words), np.int64), words, [len(words)] if len(words) < p.window else [])
-            if len(words) < p.window:
-                at, hashes = at[-1:], hashes[-1:]
+            at, hashes = seeds(np.zeros(len(words), np.int64), words, shapes_of([len(words)], p))
             found.append((np.full(len(at), item), at, hashes.view(np.int64)))
         item, at, hashes = (np.concatenate(x) for x in zip(*found))
         return pa.record_batch([pa.array(hashes), pa.array(item), pa.array(at, pa.int64())], ["hash", "item", "place"])
@@ -107,7 +127,7 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Over
         keys, found = batch.column("key").to_numpy(), []
         for a, b in row_blocks(offsets):
             _, _, rows, words = word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            at, hashes = seeds(rows, words, short)
+            at, hashes = seeds(rows, words, shapes)
             near = bitmap[(hashes >> np.uint64(64 - p.filter_bits)).astype(np.int64)]
             at, hashes = at[near], hashes[near]
             first = np.searchsorted(rows, rows[at])
@@ -147,20 +167,21 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Over
 def aligned(words: np.ndarray, item: np.ndarray, shift: int, p: Overlap) -> tuple[int, int, int] | None:
     """Equal words, first and last word of the overlap with the item's word j at words[shift + j]."""
     a, b = max(0, -shift), min(len(item), len(words) - shift)
-    if b - a < min(p.window, len(item)):
+    least, size = p.least_of(len(item)), min(p.window, len(item))
+    if p.exact_below < p.window:
+        size = min(size, b - a)
+    if b - a < max(size, least):
         return None
     equal = words[shift + a : shift + b] == item[a:b]
-    if len(item) < p.window:
-        return (len(item), shift + a, shift + b) if equal.all() else None
     total = np.concatenate([[0], np.cumsum(equal)])
-    good = np.flatnonzero(total[p.window :] - total[: -p.window] >= p.least)
+    good = np.flatnonzero(total[size:] - total[:-size] >= least)
     if not len(good):
         return None
     within = np.zeros(len(equal) + 1, np.int64)
     np.add.at(within, good, 1)
-    np.add.at(within, good + p.window, -1)
+    np.add.at(within, good + size, -1)
     covered = np.cumsum(within[:-1]) > 0
-    return int((equal & covered).sum()), shift + a + int(good[0]), shift + a + int(good[-1]) + p.window
+    return int((equal & covered).sum()), shift + a + int(good[0]), shift + a + int(good[-1]) + size
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Overlap = Overlap()) -> DataFrame:

@@ -192,6 +192,43 @@ def test_overlaps_equal_all_alignments(spark):
     assert decontamination.decontaminated(spark, table, bench.limit(0)).count() == len(docs)
 
 
+def test_short_masks_miss_nothing():
+    for n in range(8, 16):
+        for gone in itertools.combinations(range(n), n - decontamination.TOLERANT.least_of(n)):
+            assert any(not any(at + k in gone for k in mask) for mask in decontamination.SHORT_MASKS for at in range(n - mask[-1]))
+    assert [decontamination.TOLERANT.least_of(n) for n in (1, 7, 8, 11, 12, 15, 16, 40)] == [1, 7, 7, 10, 10, 13, 13, 13]
+
+
+def test_short_items_and_edges_bear_changes(spark):
+    draw = random.Random(14)
+    lengths = [3, 7, 8, 10, 12, 13, 15, 16, 20, 30]
+    items = [(k, " ".join(f"v{draw.randrange(60)}" for _ in range(n))) for k, n in enumerate(lengths)]
+    docs = []
+    for k in range(300):
+        piece = draw.choice(items)[1].split(" ")
+        for _ in range(draw.randint(0, 3)):
+            piece[draw.randrange(len(piece))] = "new"
+        piece = piece[draw.choice([0, 0, 1, 2, len(piece) // 2]) :]
+        piece = piece[: len(piece) - draw.choice([0, 0, 1, 2])]
+        before, after = (["x"] * draw.choice([0, 0, 5]) for _ in range(2))
+        docs.append((k, " ".join(before + piece + after)))
+    docs += [(900 + k, " ".join(items[8][1].split(" ")[:n])) for k, n in enumerate((12, 13, 15))]
+    want = set()
+    for i, text in docs:
+        d = brute.tokens(text)
+        for j, other in items:
+            t = brute.tokens(other)
+            least = len(t) if len(t) < 8 else len(t) - 1 if len(t) < 12 else len(t) - 2 if len(t) < 16 else 13
+            for shift in range(-len(t) + 1, len(d)):
+                equal = [0 <= shift + m < len(d) and d[shift + m] == t[m] for m in range(len(t))]
+                if max(sum(equal[m : m + 16]) for m in range(len(t))) >= least:
+                    want.add((i, j))
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.overlaps(spark, table, bench, decontamination.TOLERANT).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and {i for i, _ in want if i >= 900} == {901, 902}
+    assert want > brute.overlapping(docs, items)
+
+
 def test_common_shingles_are_counted():
     draw = np.random.default_rng(0)
     sets = [np.unique(draw.integers(0, 900, draw.integers(0, 400))).astype(np.uint64) for _ in range(40)]
