@@ -341,3 +341,14 @@ def test_network_finds_secrets_that_no_rule_matches(spark):
     changed = bytes((secret_scan.hidden(window, 5, np.random.default_rng(0)) & 255).astype(np.uint8))
     assert not secret_scan.ASSIGN.search(changed.decode()) and changed.endswith(b"=0123456789ABCDEF")
     assert secret_scan.covered_whole([(0, 5), (4, 9), (7, 8)], [(0, 0, 6), (5, 2, 8)]) == [True, False, True]
+
+
+def test_limits_keep_recall_and_letters_are_candidates(monkeypatch):
+    scores = np.linspace(-6, 0, 100)[:, None]
+    monkeypatch.setattr(secret_net, "logits", lambda net, windows: scores[: len(windows)])
+    labels = (np.arange(100) % 10 == 5).astype(float)[:, None]
+    net = secret_net.calibrate(secret_net.new_net(2, 1), [None] * 100, labels, 0.98)
+    assert secret_net.flagged(net, [None] * 100)[labels[:, 0] > 0].all()
+    text = "key QwErTyUiOpAsDfGh short"
+    rows = list(secret_scan.scan_rows([text], *text_bytes(pa.array([text])), secret_scan.Scan()))
+    assert rows[0][1] == [(4, 20)]
