@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dup, language, lines, lm_score, near_dup, pieces, quality, secret_scan, toxicity
+from . import decontamination, embedding_dup, language, lines, lm_score, near_dup, pieces, quality, runs, secret_scan, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,8 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.lm_scores(spark, table(spark, folder, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.with_planted_period(table(spark, folder, "documents"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -124,3 +125,39 @@ def near(vectors, similarity=0.98):
                 links[j] += 1
                 groups.join(i, j)
     return {i: (links[i], groups.root(i)) for i, _, _ in vectors}
+
+
+def periodic_runs(seq, least=12):
+    """(start, end, smallest period) of the maximal runs, by start, then period, from every lag."""
+    found = {}
+    for lag in range(1, len(seq) // 2 + 1):
+        i = lag
+        while i < len(seq):
+            first = i
+            while i < len(seq) and seq[i] == seq[i - lag]:
+                i += 1
+            if i - first + lag >= max(least, 2 * lag) and i > first:
+                found.setdefault((first - lag, i), lag)
+            i = max(i, first + 1)
+    return sorted(((s, e, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def planted_words(doc_id, text):
+    seq = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 == 0 and seq:
+        a = h // 10 % len(seq)
+        p = 1 + (len(seq) - a) // (3 + h // 10 % 8)
+        seq = [w if i < a else seq[a + (i - a) % p] for i, w in enumerate(seq)]
+    return seq
+
+
+def run_digests(seq):
+    numbers = {}
+    runs = periodic_runs([numbers.setdefault(w, len(numbers)) for w in seq])
+    gone = {i for s, e, q in runs for i in range(s + q, e)}
+    best = min(runs, key=lambda r: (r[0] - r[1], r[0], r[2])) if runs else None
+    longest = (best[0], best[1] - best[0], best[2], 1000 * (best[1] - best[0]) // best[2]) if best else (None,) * 4
+    listed = "".join(f"{s},{e - s},{q}\n" for s, e, q in runs)
+    collapsed = " ".join(w for i, w in enumerate(seq) if i not in gone)
+    return (len(runs), *longest, *(hashlib.sha256(x.encode()).hexdigest() for x in (listed, collapsed)))

@@ -27,6 +27,7 @@ COLUMNS = {
     "op8_": ["doc_id", "held_out", "score", "predicted"],
     "op9_": ["vec_id", "n_links", "component_id", "kept"],
     "op10_": ["doc_id", "n_lines", "n_removed", "removed"],
+    "op11_": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
