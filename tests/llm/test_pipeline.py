@@ -28,6 +28,8 @@ COLUMNS = {
     "op9_": ["vec_id", "n_links", "component_id", "kept"],
     "op10_": ["doc_id", "n_lines", "n_removed", "removed"],
     "op11_": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12_": ["doc_id", "size", "source_size", "target", "taken"],
+    "op13_": ["lang", "source", "part", "item", "value", "rank"],
 }
 
 
