@@ -180,7 +180,8 @@ def divergence(spark: SparkSession, docs: DataFrame, p: Audit = Audit()) -> Data
     """
     scratch = Scratch(spark)
     terms = scratch.write(kept_terms(counted_terms(docs, p), p))
-    langs = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("n_lang"))
+    # written: their size is known then, and terms aren't dealt by language to meet them
+    langs = scratch.write(terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("n_lang")))
     totals = terms.select("lang", F.explode("sources").alias("s")).groupBy("lang", "s.source").agg(F.sum("s.n").alias("n_group"))
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = named.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
