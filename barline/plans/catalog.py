@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -257,6 +257,73 @@ def normalised_kline_lines(spark, folder):
     )
 
 
+# --- raw files, written from the given tables and merged again ------------------------------
+
+
+def _merge_job(spark: SparkSession, folder: str, trades_only: bool = False) -> str:
+    """Folder of the merged tables; files and tables lie in the shared folder."""
+    root = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    inputs.write_raw_files(spark, folder, root)
+    jobs.merge_raw(spark, jobs.MergeConfig(root, f"{root}/merged", _LINE_FILES, trades_only))
+    return f"{root}/merged"
+
+
+_FILED = f"""{oracle.TRADES},
+filed AS (
+  SELECT *, CASE WHEN symbol = 'click' THEN 0 WHEN day >= 21 THEN 21 WHEN day >= 11 THEN 11 ELSE 1 END AS file
+  FROM (SELECT *, day(make_timestamp(time * 1000)) AS day FROM trades)),
+readable AS (SELECT * FROM filed WHERE symbol <> 'error' OR file <> 21),
+merged AS (
+  SELECT symbol, file, time, price, qty, isBuyerMaker, CASE WHEN symbol <> 'purchase' THEN trade_id END AS trade_id
+  FROM readable GROUP BY ALL),
+hours AS (
+  SELECT symbol, open_time, close, volume, day(make_timestamp(open_time * 1000)) AS day FROM candles)"""
+_MERGE = f"WITH {oracle.grid(HOUR).strip()}," + _FILED.replace(oracle.TRADES, "").lstrip(", \n")
+
+
+@query(f"{_MERGE} SELECT symbol, time, round(price, 6) + 0.0 AS price, qty, isBuyerMaker, trade_id FROM merged")
+def merged_trades(spark, folder):
+    """Daily, monthly, zipped, headed and spoilt trade files of five symbols through the merge job."""
+    return spark.read.parquet(f"{_merge_job(spark, folder, trades_only=True)}/trades.parquet")
+
+
+@query(f"""{_MERGE}
+SELECT symbol, open_time, open_time AS open_time_raw, round(close + CASE WHEN day > 20 THEN 1000 ELSE 0 END, 6) + 0.0 AS close,
+       volume, open_time AS utc_ms
+FROM hours""")
+def merged_klines(spark, folder):
+    """Monthly and then daily candle files, of which the first candle of a time stays."""
+    merged = spark.read.parquet(f"{_merge_job(spark, folder)}/klines_1m.parquet")
+    return merged.select("symbol", "open_time", "open_time_raw", "close", "volume", F.unix_millis("open_time_utc").alias("utc_ms"))
+
+
+@query(f"""{_MERGE},
+numbered AS (
+  SELECT 'trades' AS kind, symbol, count(*) FILTER (symbol <> 'error' OR file <> 21) AS rows_read,
+         count(DISTINCT file) AS files, count(DISTINCT file) FILTER (symbol = 'error' AND file = 21) AS failed_files
+  FROM (SELECT * FROM filed UNION ALL SELECT * FROM filed WHERE trade_id % 10 = 0) GROUP BY symbol),
+kept AS (SELECT symbol, count(*) AS rows_kept FROM merged GROUP BY symbol)
+SELECT kind, symbol, CASE WHEN symbol = 'click' THEN 0 ELSE files END AS daily_files,
+       CASE WHEN symbol = 'click' THEN files ELSE 0 END AS monthly_files, failed_files, rows_read, rows_kept
+FROM numbered JOIN kept USING (symbol)
+UNION ALL
+SELECT 'klines', symbol, CAST(max(day) >= 15 AS BIGINT), CAST(min(day) <= 20 AS BIGINT), 0,
+       count(*) FILTER (day <= 20) + count(*) FILTER (day >= 15), count(*)
+FROM hours GROUP BY symbol""")
+def merge_report(spark, folder):
+    """Files and rows of each symbol, read and kept."""
+    return jobs.merge_counts(spark.read.parquet(f"{_merge_job(spark, folder)}/files.parquet"))
+
+
+@query(f"{_MERGE} SELECT 0 AS files_out_of_order, count(*) AS n_rows FROM merged")
+def merged_file_order(spark, folder):
+    """Files of the merged table that begin before the one before them ends: none."""
+    bounds = tables.file_bounds(spark, f"{_merge_job(spark, folder, trades_only=True)}/trades.parquet", ["symbol", "time"])
+    before = Window.orderBy("first", "last")  # one row for each file
+    ordered = bounds.withColumn("wrong", F.lag("last").over(before) > F.col("first"))
+    return ordered.agg(F.count_if("wrong").cast("int").alias("files_out_of_order"), F.sum("n_rows").alias("n_rows"))
+
+
 @query("""
 WITH lines AS (
   SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Trade ID, Price ,QTY,extra'

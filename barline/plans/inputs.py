@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import MINUTE_MS, div, minute_floor, open_time_ms
 from ..operators.ordered import ROWS_PER_CHUNK
+from ..sources.line_source import file_system
 
 HOUR_MS = 60 * MINUTE_MS
 EMBEDDING_WIDTH = 64
@@ -91,3 +96,79 @@ def grid(
         "close",
         F.when(real, F.col("volume")).otherwise(0.0).alias("volume"),
     )
+
+
+#: Days of the month that the files named daily begin with.
+FILE_DAYS = (1, 11, 21)
+
+
+def _trade_file_lines(trades_: DataFrame) -> DataFrame:
+    """Lines of trade files of every symbol, each with a layout of its own; every tenth trade is there twice.
+
+    ``view`` has daily files and a monthly one that they replace, ``click`` one monthly archive,
+    ``purchase`` no ids, ``signup`` headers and an archive among its daily files, and the last daily
+    file of ``error`` ends with a byte that is no text.
+    """
+    ms, price, qty, number = (F.col(c).cast("string") for c in ("time", "price", "qty", "trade_id"))
+    flag = F.when(F.col("isBuyerMaker"), "True").otherwise("False")
+    fields = {
+        "view": [number, price, qty, F.lit("0"), ms, flag, F.lit("True")],
+        "click": [number, price, qty, (F.col("time") * 1_000).cast("string"), flag, F.lit("True")],
+        "error": [number, price, qty, ms, flag],
+        "purchase": [price, qty, ms, flag],
+        "signup": [ms, flag, F.concat(F.lit('"'), price, F.lit('"')), qty, number],
+    }
+    symbol, line = F.col("symbol"), F
+    for name, own in fields.items():
+        line = line.when(symbol == name, F.concat_ws(",", *own))
+    day = F.dayofmonth(F.timestamp_millis("time"))
+    first = F.when(day >= FILE_DAYS[2], "21").when(day >= FILE_DAYS[1], "11").otherwise("01")
+    month = F.date_format(F.timestamp_millis("time"), "yyyy-MM")
+    kind = F.when((symbol == "click") | (symbol == "signup") & (first == "11"), "zip").otherwise("csv")
+    daily = F.format_string("daily/trades/%s/%s-trades-%s-%s.%s", symbol, symbol, month, first, kind)
+    monthly = F.format_string("monthly/trades/%s/%s-trades-%s.%s", symbol, symbol, month, kind)
+    path = F.when(symbol == "click", F.array(monthly)).when(symbol == "view", F.array(daily, monthly)).otherwise(F.array(daily))
+    copies = F.when(F.col("trade_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    data = trades_.select(F.explode(path).alias("path"), line.alias("line"), "trade_id", copies.alias("copies"))
+    data = data.select("path", "line", "trade_id", F.explode("copies").alias("copy"))
+    lines = data.select("path", "line", (F.col("trade_id") * 2 + F.col("copy")).alias("nth"))
+    header = lines.where(F.col("path").contains("/signup/")).select("path").distinct()
+    return lines.unionByName(header.select("path", F.lit("Timestamp,is_buyer_maker,Price,Quantity,trade ID").alias("line"), F.lit(-1).cast("bigint").alias("nth")))
+
+
+def _candle_file_lines(bars: DataFrame) -> DataFrame:
+    """Hourly candles to the 20th in monthly files, those from the 15th on in daily files at prices raised by 1000."""
+    day = F.dayofmonth(F.timestamp_millis("open_time"))
+    date = F.date_format(F.timestamp_millis("open_time"), "yyyy-MM")
+    files = F.array_compact(
+        F.array(
+            F.when(day <= 20, F.struct(F.format_string("monthly/klines/%s/1m/%s-1m-%s.csv", "symbol", "symbol", date).alias("path"), F.lit(0.0).alias("more"))),
+            F.when(day >= 15, F.struct(F.format_string("daily/klines/%s/1m/%s-1m-%s-15.csv", "symbol", "symbol", date).alias("path"), F.lit(1000.0).alias("more"))),
+        )
+    )
+    filed = bars.withColumn("file", F.explode(files)).select("*", "file.*")
+    line = F.concat_ws(",", F.col("open_time"), *[F.col(c) + F.col("more") for c in ("open", "high", "low", "close")], "volume", F.col("open_time") + HOUR_MS - 1)
+    return filed.select("path", line.alias("line"), (F.col("open_time") * 2).alias("nth"))
+
+
+def write_raw_files(spark: SparkSession, folder: str, root: str) -> str:
+    """Raw files of the given events below ``root``, one task for each file; a stand-in for an archive's layout."""
+    lines = _trade_file_lines(trades(spark, folder)).unionByName(_candle_file_lines(candles(spark, folder, HOUR_MS)))
+    spoilt = F.col("path").contains("/error/") & F.col("path").endswith("-21.csv")
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        path = rows["path"].iloc[0]
+        body = "\n".join(rows.sort_values("nth")["line"]).encode() + (b"\n\xff\n" if rows["spoilt"].iloc[0] else b"\n")
+        system, target = file_system(f"{root}/spot/{path}")
+        system.create_dir(target.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(target) as out:
+            if path.endswith(".zip"):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("trades.csv", body)
+                body = held.getvalue()
+            out.write(body)
+        return pd.DataFrame({"path": [path]})
+
+    lines.withColumn("spoilt", spoilt).groupBy("path").applyInPandas(write, "path string").count()
+    return root

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -28,8 +30,16 @@ from ..operators.bars import check_grid, join_bars, trade_bars
 from ..operators.dedup import keep_last
 from ..operators.features import FEATURE_COLUMNS, GRID_COLUMNS, LONG, MEDIUM, SHORT, bar_features
 from ..operators.labels import drawdown_labels
-from ..session import written
-from ..sources import tables
+from ..session import owned_tables, written
+from ..sources import raw_files, tables
+
+
+@dataclass(frozen=True)
+class MergeConfig:
+    root: str  # holds spot/<daily|monthly>/<trades|klines>/<symbol>
+    out: str
+    symbols: tuple[str, ...]
+    trades_only: bool = False
 
 
 @dataclass(frozen=True)
@@ -41,6 +51,7 @@ class FeatureConfig:
     end_date: str
     symbol: str | None = None  # for tables without one
     step_ms: int = MINUTE_MS
+    by_date: bool = False  # partitioned by symbol and day; a later run replaces its own days only
 
 
 @dataclass(frozen=True)
@@ -103,6 +114,68 @@ class ExperimentConfig:
     features: tuple[str, ...] = field(default=tables.WIDE_FEATURES, repr=False)
 
 
+def job(work: Callable) -> Callable:
+    """A job on a session: the tables it writes in between go when it ends, or fails."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, *args, **options):
+        with owned_tables(spark):
+            return work(spark, *args, **options)
+
+    return run
+
+
+@job
+def merge_raw(spark: SparkSession, config: MergeConfig) -> dict:
+    """Raw candle and trade files of all symbols to one sorted table each, and a row for each file.
+
+    ``<out>/klines_1m.parquet`` and ``<out>/trades.parquet`` are in order of symbol and time over
+    all their files.  ``<out>/files.parquet`` tells of every file how many rows it held and how many
+    were kept, or why it was left out.  Symbols without files are listed, not an error.
+    """
+    if not config.symbols:
+        raise ValueError("no symbols to merge")
+    reports, written_to = [], {}
+    if not config.trades_only:
+        files = raw_files.kline_files(spark, config.root, config.symbols)
+        if files:
+            merged = raw_files.merge_kline_files(spark, files)
+            written_to["klines"] = f"{config.out}/klines_1m.parquet"
+            tables.write_sorted(merged.rows, written_to["klines"], ["symbol", "open_time"], ["symbol", *raw_files.KLINE_OUTPUT])
+            reports.append(merged.report)
+    files = raw_files.trade_files(spark, config.root, config.symbols)
+    if files:
+        merged = raw_files.merge_trade_files(spark, files)
+        written_to["trades"] = f"{config.out}/trades.parquet"
+        tables.write_trades(merged.rows, written_to["trades"])
+        reports.append(merged.report)
+    if not reports:
+        raise ValueError(f"no raw files of {', '.join(config.symbols)} below {config.root}")
+    tables.write_table(functools.reduce(DataFrame.unionByName, reports), f"{config.out}/files.parquet")
+    report = spark.read.parquet(f"{config.out}/files.parquet")
+    counts = merge_counts(report)
+    summary = {
+        **asdict(config),
+        "tables": written_to,
+        "counts": [r.asDict() for r in counts.orderBy("kind", "symbol").collect()],
+        "symbols_without_files": sorted(set(config.symbols) - {r.symbol for r in counts.collect()}),
+        "created_utc": tables.now_utc(),
+    }
+    tables.write_json(spark, f"{config.out}/merge.meta.json", summary)
+    return summary
+
+
+def merge_counts(report: DataFrame) -> DataFrame:
+    """Files and rows of each kind and symbol, before and after repeats were dropped."""
+    return report.groupBy("kind", "symbol").agg(
+        F.count_if(F.col("grain") == "daily").alias("daily_files"),
+        F.count_if(F.col("grain") == "monthly").alias("monthly_files"),
+        F.count_if(F.col("error").isNotNull()).alias("failed_files"),
+        F.sum("rows_read").alias("rows_read"),
+        F.sum("rows_kept").alias("rows_kept"),
+    )
+
+
 def _check_symbols(candles: DataFrame, trades: DataFrame, symbol: str | None) -> None:
     """Tables of which only one has symbols would join nothing."""
     sides = ["symbol" in df.columns for df in (candles, trades)]
@@ -141,14 +214,20 @@ def load_grid(spark: SparkSession, config: FeatureConfig) -> DataFrame:
     return grid
 
 
+@job
 def build_features_1m(spark: SparkSession, config: FeatureConfig) -> DataFrame:
     trades = spark.read.parquet(config.trades)
     _check_symbols(spark.read.parquet(config.klines), trades, config.symbol)
     grid = load_grid(spark, config)
     trades = _with_symbol(trades, config.symbol)
     bars = trade_bars(trades, config.step_ms, day_bounds_ms(config.start_date, config.end_date))
-    tables.write_table(bar_features(join_bars(grid, bars), config.step_ms), config.out)
-    features = spark.read.parquet(config.out)
+    features = bar_features(join_bars(grid, bars), config.step_ms)
+    if config.by_date:
+        tables.write_by_date(features, config.out)
+        features = tables.read_by_date(spark, config.out)
+    else:
+        tables.write_table(features, config.out)
+        features = spark.read.parquet(config.out)
     tables.write_json(
         spark,
         tables.sidecar_path(config.out),
@@ -175,6 +254,7 @@ def time_span(table: DataFrame) -> DataFrame:
     )
 
 
+@job
 def build_labels_drawdown(spark: SparkSession, config: LabelConfig) -> DataFrame:
     raw = spark.read.parquet(config.features)
     require_columns(raw, ["open_time", "close", "symbol"], "feature table")
@@ -219,6 +299,7 @@ def _timed(df: DataFrame, what: str) -> DataFrame:
     return df.withColumn("open_time", open_time_ms(df)).na.drop(subset=["open_time"])
 
 
+@job
 def build_features_zscore_1m(spark: SparkSession, config: ZScoreConfig) -> DataFrame:
     work = _timed(spark.read.parquet(config.table), "feature table")
     if config.start_date or config.end_date:
@@ -243,6 +324,7 @@ def build_features_zscore_1m(spark: SparkSession, config: ZScoreConfig) -> DataF
     return spark.read.parquet(config.out)
 
 
+@job
 def build_dataset_zscore_1m(spark: SparkSession, config: ZScoreConfig) -> DataFrame:
     work = _timed(spark.read.parquet(config.table), "feature table")
     scored = zscore.zscore_dataset(work, **_z_options(config, "symbol" in work.columns))
@@ -265,6 +347,7 @@ def _as_dict(metrics: DataFrame) -> dict:
     return metrics.first().asDict()
 
 
+@job
 def train_hazard_logistic(spark: SparkSession, config: TrainConfig) -> dict:
     """Fit, save and evaluate; a ratio of 1 fits and scores all rows without a test."""
     if not 0.0 < config.train_ratio <= 1.0 or not 0.0 <= config.threshold <= 1.0:
@@ -329,6 +412,7 @@ def train_hazard_logistic(spark: SparkSession, config: TrainConfig) -> dict:
     return {"run_dir": run, "label_dir": label_dir, "metrics": metrics}
 
 
+@job
 def infer_hazard(spark: SparkSession, config: InferConfig) -> dict:
     """Score labelled rows of another table with a saved model."""
     model_name, manifest = tables.artifact_names(config.feature_set)
@@ -366,6 +450,7 @@ def _scored_schema(raw: DataFrame) -> str:
     return f"{symbol}open_time bigint, y_true int, y_prob double"
 
 
+@job
 def hazard_diagnostics(
     spark: SparkSession, features: str, probabilities: str, out: str, keys: tuple[str, ...] | None = None
 ) -> DataFrame:
@@ -426,6 +511,7 @@ def tune_rule(train: DataFrame, config: ExperimentConfig, **scan):
     return rule, best, sensitivity
 
 
+@job
 def run_experiment(
     spark: SparkSession, train: str, test: str, out: str, config: ExperimentConfig
 ) -> dict:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
     A temporary folder is made only where the setting is absent and Spark runs
-    in local mode, so that no job on a cluster writes to one machine's disk.
+    in local mode, so that no job on a cluster writes to one machine's disk.  A
+    ``file:`` folder is taken as it is: it may be a mount that all machines share.
     """
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,13 +63,37 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+#: Paths written below the innermost owner; None outside of one.
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, what ``written`` has written inside, whether the work succeeded or not.
+
+    For work that ends with tables of its own; frames that still read the removed tables fail.
+    """
+    paths: list[str] = []
+    token = _owned.set(paths)
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back.
 
     Cuts the lineage of a table that is read many times; the files outlive any
-    executor.
+    executor, and go with the ``owned_tables`` around, if any.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,18 +1,16 @@
 """Raw trade and candle files: discovery, reading, normalising, merging.
 
-Lines are read by Spark's text source, so a large file is split over tasks.  A
-line's place in its file is the start of its split and its order within it,
-which does not depend on how splits are assigned to tasks.
+Lines come from the data source in ``line_source``, which cuts large files over tasks.  A line's
+place in its file is the start of its part and its order within it, which does not depend on how
+parts are dealt to tasks.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -27,6 +25,7 @@ from ..functions import (
 )
 from ..operators.dedup import dedup_trades, keep_first, per_file
 from ..session import written
+from .line_source import scan_lines
 
 # Column order of headerless candle files.
 KLINE_COLUMNS = (
@@ -93,23 +92,22 @@ TRADE_HEADER = (
     "isbuyermaker",
 )
 TRADE_OUTPUT = ("time", "price", "qty", "isBuyerMaker", "trade_id")
-LINE_SCHEMA = "source_file string, split_start bigint, nth bigint, line string, error string"
 
 
 def find_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
-    """Files that match any pattern, once each, with the date their name holds.
+    """Files that match any pattern, once each, with their size and the date their name holds.
 
     ``sort_key`` orders files by year, month, day (1 if absent) and lower-case
     name; names without a date come last.  Empty files are listed too: they
     count where the presence of a file decides.
     """
     conf = spark._jsc.hadoopConfiguration()
-    paths: set[str] = set()
+    sizes: dict[str, int] = {}
     for pattern in patterns:
         glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
         found = glob.getFileSystem(conf).globStatus(glob)
-        paths.update(s.getPath().toString() for s in found or [] if s.isFile())
-    found = spark.createDataFrame([(p,) for p in sorted(paths)], "path string")
+        sizes |= {s.getPath().toString(): s.getLen() for s in found or [] if s.isFile()}
+    found = spark.createDataFrame(sorted(sizes.items()), "path string, size long")
     name = F.element_at(F.split("path", "/"), -1)
     date = r"(\d{4})-(\d{2})(?:-(\d{2}))?"
 
@@ -120,6 +118,7 @@ def find_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
 
     return found.select(
         "path",
+        "size",
         name.alias("file_name"),
         F.struct(
             part(1, 9999).alias("year"),
@@ -130,95 +129,82 @@ def find_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     )
 
 
-def listed_paths(files: DataFrame) -> list[str]:
-    """Paths in order of their keys; a reader needs the list on the driver anyway."""
-    return [r.path for r in files.orderBy("sort_key", "path").select("path").collect()]
+@dataclass(frozen=True)
+class RawFile:
+    """A file of a symbol; rank orders the files of one symbol."""
+
+    path: str
+    size: int
+    symbol: str
+    grain: str
+    rank: int
+
+
+def _of_symbols(spark: SparkSession, root: str, symbols: Sequence[str], kind: str, endings: Sequence[str]) -> DataFrame:
+    """Files below ``<root>/spot/<grain>/<kind>`` of all symbols, in one listing."""
+    folders = [(f"/spot/{g}/{kind.format(symbol=s)}", g, s) for g in ("daily", "monthly") for s in symbols]
+    found = find_files(spark, [f"{root.rstrip('/')}{folder}/*.{e}" for folder, _, _ in folders for e in endings])
+    known = spark.createDataFrame(folders, "folder string, grain string, symbol string")
+    folder = F.regexp_extract("path", r"^.*(/spot/(?:daily|monthly)/.*)/[^/]*$", 1)
+    return found.withColumn("folder", folder).join(known, "folder")
+
+
+def _ranked(files: DataFrame, *order: str | Column) -> list[RawFile]:
+    """Files of every symbol in order; the reader needs the list on the driver anyway."""
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(*order))
+    rows = files.withColumn("rank", rank).orderBy("symbol", "rank").select("path", "size", "symbol", "grain", "rank")
+    return [RawFile(**r.asDict()) for r in rows.collect()]
+
+
+def trade_files(spark: SparkSession, root: str, symbols: Sequence[str]) -> list[RawFile]:
+    """Daily trade files of each symbol that has any, else its monthly ones, by the date of their names."""
+    found = _of_symbols(spark, root, symbols, "trades/{symbol}", ("csv", "zip"))
+    daily = F.bool_or(F.col("grain") == "daily").over(Window.partitionBy("symbol"))
+    chosen = found.withColumn("has_daily", daily).where(F.col("has_daily") == (F.col("grain") == "daily"))
+    return _ranked(chosen, "sort_key", "path")
+
+
+def kline_files(spark: SparkSession, root: str, symbols: Sequence[str]) -> list[RawFile]:
+    """Monthly and then daily candle files of each symbol, each by path; archives are not read."""
+    found = _of_symbols(spark, root, symbols, "klines/{symbol}/1m", ("csv",))
+    return _ranked(found, F.col("grain") == "daily", "path")
 
 
 def trade_paths(spark: SparkSession, root: str, symbol: str) -> tuple[list[str], str]:
     """Daily trade files of a symbol if there are any, else the monthly ones."""
-    for grain in ("daily", "monthly"):
-        folder = f"{root}/spot/{grain}/trades/{symbol}"
-        paths = listed_paths(find_files(spark, [f"{folder}/*.csv", f"{folder}/*.zip"]))
-        if paths:
-            return paths, grain
-    return [], "none"
+    files = trade_files(spark, root, [symbol])
+    return [f.path for f in files], files[0].grain if files else "none"
 
 
 def kline_paths(spark: SparkSession, root: str, symbol: str) -> list[str]:
     """Monthly and then daily candle files, each by path; archives are not read."""
-    paths = []
-    for grain in ("monthly", "daily"):
-        found = find_files(spark, [f"{root}/spot/{grain}/klines/{symbol}/1m/*.csv"])
-        paths += [r.path for r in found.orderBy("path").select("path").collect()]
-    return paths
+    return [f.path for f in kline_files(spark, root, [symbol])]
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Lines of CSV files and of the first CSV inside each ZIP archive.
+def _sized(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int]]:
+    """Full paths and sizes; a path that isn't there is left for its reader to report."""
+    conf, sizes = spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        system = path.getFileSystem(conf)
+        full = system.makeQualified(path)
+        sizes.append((full.toString(), system.getFileStatus(full).getLen() if system.exists(full) else 0))
+    return sizes
 
-    An archive that cannot be read gives one row with ``error`` and no line.
-    """
-    plain = [p for p in paths if p.lower().endswith(".csv")]
-    archives = [p for p in paths if p.lower().endswith(".zip")]
-    unknown = sorted(set(paths) - set(plain) - set(archives))
+
+def _check_names(paths: Sequence[str]) -> None:
+    unknown = sorted(p for p in paths if not p.lower().endswith((".csv", ".zip")))
     if unknown:
         raise ValueError(f"neither CSV nor ZIP: {unknown}")
-    parts = []
-    if plain:
-        parts.append(
-            spark.read.text(plain).select(
-                F.col("_metadata.file_path").alias("source_file"),
-                F.col("_metadata.file_block_start").alias("split_start"),
-                F.monotonically_increasing_id().alias("nth"),
-                F.col("value").alias("line"),
-                F.lit(None).cast("string").alias("error"),
-            )
-        )
-    if archives:
-        content = spark.read.format("binaryFile").load(archives).select("path", "content")
-        parts.append(content.mapInPandas(_archive_lines, LINE_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], LINE_SCHEMA)
-    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return lines.where(F.col("error").isNotNull() | (F.trim("line") != ""))
-
-
-def _archive_lines(batches: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
-    """Lines of the first member by name that ends in .csv, in bounded batches."""
-
-    def batch(path: str, first: int, lines: list) -> pd.DataFrame:
-        nth = range(first, first + len(lines))
-        return pd.DataFrame(
-            {"source_file": path, "split_start": 0, "nth": nth, "line": lines, "error": None}
-        )
-
-    for files in batches:
-        for path, content in zip(files["path"], files["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = sorted(m for m in archive.namelist() if m.lower().endswith(".csv"))
-                    if not members:
-                        raise ValueError("no CSV file in the archive")
-                    first, held = 0, []
-                    with archive.open(members[0]) as member:
-                        for text in io.TextIOWrapper(member, "utf-8"):
-                            held.append(text.rstrip("\r\n"))
-                            if len(held) == rows:
-                                yield batch(path, first, held)
-                                first, held = first + rows, []
-                    if held:
-                        yield batch(path, first, held)
-            except Exception as error:  # a broken archive is reported, not fatal
-                yield pd.DataFrame(
-                    {
-                        "source_file": [path],
-                        "split_start": [0],
-                        "nth": [-1],
-                        "line": [None],
-                        "error": [f"{type(error).__name__}: {error}"],
-                    }
-                )
+
+
+def read_lines(spark: SparkSession, paths: Sequence[str], heads: bool = False) -> DataFrame:
+    """Lines of CSV files and of the first CSV inside each ZIP archive, or their first lines alone.
+
+    A file that cannot be read to its end gives one row with ``error`` and no line after those read.
+    """
+    _check_names(paths)
+    return scan_lines(spark, _sized(spark, paths), heads)
 
 
 def rejected_files(lines: DataFrame) -> DataFrame:
@@ -239,16 +225,20 @@ def header_like(fields: Column, known: Sequence[str]) -> Column:
     return F.size(F.array_intersect(cleaned, F.array(*[F.lit(k) for k in known]))) >= 3
 
 
-def _with_fields(lines: DataFrame, files: int | None) -> DataFrame:
-    """Data lines of readable files with their fields.
+def _readable(rows: DataFrame, files: int | None) -> DataFrame:
+    """Rows of the files without an error.
 
     A file with an unreadable part is left out as a whole, as it would be if it
     were read in one piece.
     """
-    broken = rejected_files(lines).select("source_file").distinct()
-    good = lines.where("error IS NULL").join(per_file(broken, files), "source_file", "left_anti")
+    broken = rejected_files(rows).select("source_file").distinct()
+    return rows.where("error IS NULL").join(per_file(broken, files), "source_file", "left_anti").drop("error")
+
+
+def _with_fields(lines: DataFrame) -> DataFrame:
     position = F.struct("split_start", "nth")
-    return good.select("source_file", position.alias("position"), split_fields(F.col("line")).alias("fields"))
+    kept = [c for c in lines.columns if c == "error"]
+    return lines.select("source_file", position.alias("position"), split_fields(F.col("line")).alias("fields"), *kept)
 
 
 def _first_lines(rows: DataFrame, files: int | None) -> DataFrame:
@@ -266,23 +256,46 @@ def _first_lines(rows: DataFrame, files: int | None) -> DataFrame:
     )
 
 
+def _layouts(lines: DataFrame, files: int | None, heads: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows with fields, and the fields of the first line of each file.
+
+    Without ``heads``, files with an error are left out and the first lines are looked up.
+    """
+    if heads is None:
+        rows = _with_fields(_readable(lines, files))
+        return rows, _first_lines(rows, files)
+    firsts = heads.where("error IS NULL").select("source_file", split_fields(F.col("line")).alias("first"))
+    return _with_fields(lines), firsts
+
+
+def _data_rows(rows: DataFrame, layouts: DataFrame, files: int | None) -> DataFrame:
+    """Rows with the layout of their file, without its header; rows with an error stay."""
+    data = rows.join(per_file(layouts, files), "source_file", "left")
+    return data.where(~F.coalesce(_repeats_header(), F.lit(False)))
+
+
 def _repeats_header() -> Column:
     """The header itself, or a line equal to it, which holds no data either."""
     return F.col("headed") & (F.col("fields") == F.col("first"))
 
 
-def normalize_klines(lines: DataFrame, files: int | None = None) -> DataFrame:
-    """Candle lines to the merged layout, with file and position; rows without a time drop."""
-    rows = _with_fields(lines, files)
-    firsts = _first_lines(rows, files).select(
-        "source_file", "first", header_like(F.col("first"), KLINE_HEADER).alias("headed")
-    )
-    data = rows.join(per_file(firsts, files), "source_file").where(
-        ~_repeats_header()
-    )
+def _known_rows(rows: DataFrame, time: str) -> DataFrame:
+    """Rows with a time; where errors are kept, those too."""
+    return rows.where(f"{time} IS NOT NULL" + (" OR error IS NOT NULL" if "error" in rows.columns else ""))
+
+
+def normalize_klines(lines: DataFrame, files: int | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """Candle lines to the merged layout, with file and position; rows without a time drop.
+
+    With the first lines of all files as ``heads`` the lines are read once, and a file with an
+    error keeps its rows beside one that holds the ``error``.
+    """
+    rows, firsts = _layouts(lines, files, heads)
+    layouts = firsts.withColumn("headed", header_like(F.col("first"), KLINE_HEADER))
+    data = _data_rows(rows, layouts, files)
+    kept = [c for c in rows.columns if c != "fields"]
     raw = data.select(
-        "source_file",
-        "position",
+        *kept,
         *[F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(KLINE_COLUMNS)],
     )
     typed = {}
@@ -294,9 +307,8 @@ def normalize_klines(lines: DataFrame, files: int | None = None) -> DataFrame:
         typed |= {f"{c}_raw": to_long(c), f"_{c}": finite(to_double(c))}
     out = raw.withColumns(typed)
     out = out.withColumns({c: epoch_ms_of(f"{c}_raw", f"_{c}") for c in times})
-    out = out.na.drop(subset=["open_time"])
-    out = out.withColumns({f"{c}_utc": utc_timestamp(c) for c in times})
-    return out.select("source_file", "position", *KLINE_OUTPUT)
+    out = _known_rows(out, "open_time").withColumns({f"{c}_utc": utc_timestamp(c) for c in times})
+    return out.select(*kept, *KLINE_OUTPUT)
 
 
 def _field_places(first: Column, headed: Column) -> dict[str, Column]:
@@ -318,28 +330,28 @@ def _field_places(first: Column, headed: Column) -> dict[str, Column]:
     return places
 
 
-def normalize_trades(lines: DataFrame, files: int | None = None) -> DataFrame:
+def normalize_trades(lines: DataFrame, files: int | None = None, heads: DataFrame | None = None) -> DataFrame:
     """Trade lines of any known layout to one schema; rows without a time drop.
 
     Each file's layout is read off its first line, so one row per file decides
-    where the columns of all its lines are.
+    where the columns of all its lines are.  With the first lines of all files as
+    ``heads`` the lines are read once, and a file with an error keeps its rows
+    beside one that holds the ``error``.
     """
-    rows = _with_fields(lines, files)
-    firsts = _first_lines(rows, files).withColumn("headed", header_like(F.col("first"), TRADE_HEADER))
+    rows, firsts = _layouts(lines, files, heads)
+    firsts = firsts.withColumn("headed", header_like(F.col("first"), TRADE_HEADER))
     places = {f"_at_{c}": p for c, p in _field_places(F.col("first"), F.col("headed")).items()}
     layouts = firsts.select("source_file", "first", "headed", *[p.alias(c) for c, p in places.items()])
-    data = rows.join(per_file(layouts, files), "source_file").where(
-        ~_repeats_header()
-    )
+    data = _data_rows(rows, layouts, files)
+    kept = [c for c in rows.columns if c != "fields"]
 
     def text(c: str) -> Column:
         return F.get("fields", F.col(f"_at_{c}") - 1)
 
     # one parse per step: a text is split, then read, then interpreted
-    texts = data.select("source_file", "position", *[text(c).alias(c) for c in TRADE_OUTPUT])
+    texts = data.select(*kept, *[text(c).alias(c) for c in TRADE_OUTPUT])
     parsed = texts.select(
-        "source_file",
-        "position",
+        *kept,
         to_long("time").alias("whole"),
         finite(to_double("time")).alias("number"),
         to_double("price").alias("price"),
@@ -347,33 +359,69 @@ def normalize_trades(lines: DataFrame, files: int | None = None) -> DataFrame:
         to_bool("isBuyerMaker").alias("isBuyerMaker"),
         to_long("trade_id").alias("trade_id"),
     )
-    return parsed.select(
-        "source_file", "position", epoch_ms_of("whole", "number").alias("time"), *TRADE_OUTPUT[1:]
-    ).na.drop(subset=["time"])
+    return _known_rows(parsed.select(*kept, epoch_ms_of("whole", "number").alias("time"), *TRADE_OUTPUT[1:]), "time")
 
 
-def merge_klines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One candle per open time: the first one over the files in the given order."""
-    candles = normalize_klines(read_lines(spark, paths), len(paths))
-    # one row per file, as many as the driver lists
-    ranks = spark.createDataFrame(list(enumerate(paths)), "file_rank int, source_file string")
-    ranks = ranks.withColumn("source_file", _plain_path("source_file"))
-    keyed = candles.withColumn("source_file", _plain_path("source_file")).join(
-        per_file(ranks, len(paths)), "source_file"
+@dataclass
+class Merged:
+    """rows: the kept rows with symbol, source_file, rank and position; report: one row per file.
+
+    The report holds kind, symbol, grain, rank, source_file, rows_read (with a time), rows_kept
+    and, where a file was left out, its error.
+    """
+
+    rows: DataFrame
+    report: DataFrame
+
+
+def _parsed_files(spark: SparkSession, files: Sequence[RawFile], normalize, name: str) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of readable files with symbol and rank, written once, and the files with their errors."""
+    sizes = [(f.path, f.size) for f in files]
+    listed = spark.createDataFrame(
+        [(f.path, f.symbol, f.grain, f.rank) for f in files], "source_file string, symbol string, grain string, rank int"
     )
-    first = keep_first(keyed, ["open_time"], ["file_rank", "position"])
-    return first.select(*KLINE_OUTPUT)
+    heads = written(scan_lines(spark, sizes, heads=True), f"{name}_heads")
+    parsed = written(normalize(scan_lines(spark, sizes), len(files), heads), name)
+    errors = rejected_files(parsed).groupBy("source_file").agg(F.min("error").alias("error"))
+    listed = listed.join(per_file(errors, len(files)), "source_file", "left")
+    return _readable(parsed, len(files)).join(per_file(listed.select("source_file", "symbol", "rank"), len(files)), "source_file"), listed
+
+
+def _merged(kind: str, parsed: DataFrame, kept: DataFrame, listed: DataFrame, files: int) -> Merged:
+    kept = written(kept, f"kept_{kind}")
+    read = parsed.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows_read"))
+    left = kept.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows_kept"))
+    report = listed.join(per_file(read, files), "source_file", "left").join(per_file(left, files), "source_file", "left")
+    report = report.na.fill(0, ["rows_read", "rows_kept"]).withColumn("kind", F.lit(kind))
+    return Merged(kept, report.select("kind", "symbol", "grain", "rank", "source_file", "rows_read", "rows_kept", "error"))
+
+
+def merge_kline_files(spark: SparkSession, files: Sequence[RawFile]) -> Merged:
+    """One candle per symbol and open time: the first one over the symbol's files in order of rank."""
+    _check_names([f.path for f in files])
+    parsed, listed = _parsed_files(spark, files, normalize_klines, "parsed_klines")
+    kept = keep_first(parsed, ["symbol", "open_time"], ["rank", "position"])
+    return _merged("klines", parsed, kept, listed, len(files))
+
 
+def merge_trade_files(spark: SparkSession, files: Sequence[RawFile]) -> Merged:
+    """Trades of all files of all symbols, each file without its own repeats."""
+    _check_names([f.path for f in files])
+    parsed, listed = _parsed_files(spark, files, normalize_trades, "parsed_trades")
+    kept = dedup_trades(parsed, files=len(files))
+    return _merged("trades", parsed, kept, listed, len(files))
 
-def _plain_path(c: str) -> Column:
-    """File URIs differ in the number of slashes between Spark's sources."""
-    return F.regexp_replace(F.col(c), "^([a-z0-9]+):/+", "$1:/")
+
+def _as_files(spark: SparkSession, paths: Sequence[str]) -> list[RawFile]:
+    return [RawFile(p, size, "", "", rank) for rank, (p, size) in enumerate(_sized(spark, paths))]
+
+
+def merge_klines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One candle per open time: the first one over the files in the given order."""
+    return merge_kline_files(spark, _as_files(spark, paths)).rows.select(*KLINE_OUTPUT)
 
 
 def merge_trades(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Trades of all files, each file without its own repeats, and the rejected files."""
-    lines = read_lines(spark, paths)
-    # typed once and written: the repeats are found in two passes over columns, not over text
-    parsed = written(normalize_trades(lines, len(paths)), "parsed_trades")
-    trades = dedup_trades(parsed, files=len(paths))
-    return trades.select(*TRADE_OUTPUT, "source_file"), rejected_files(lines)
+    merged = merge_trade_files(spark, _as_files(spark, paths))
+    return merged.rows.select(*TRADE_OUTPUT, "source_file"), rejected_files(merged.report)

@@ -82,12 +82,29 @@ def read_probabilities(spark: SparkSession, path: str) -> DataFrame:
     return df.select("*", place.alias("position"))
 
 
+def write_sorted(df: DataFrame, out: str, order: Sequence[str], columns: Sequence[str] | None = None) -> None:
+    """One order over all files: each file holds a range of it, sorted, so readers skip by its bounds.
+
+    The bounds of the ranges are sampled, so ``df`` is read twice and should be a written table.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select(*(columns or df.columns)).write.mode("overwrite").parquet(out)
+
+
+def file_bounds(spark: SparkSession, path: str, order: Sequence[str]) -> DataFrame:
+    """Rows, first and last place in the order of each file of a table."""
+    place = F.struct(*order)
+    named = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    return named.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("place").alias("first"), F.max("place").alias("last"))
+
+
 def write_trades(trades: DataFrame, out: str) -> None:
-    """Merged trades with the fixed schema, clustered by time for range pruning."""
+    """Merged trades with the fixed schema, in order of symbol and time over all files."""
     columns = [F.col(f.name).cast(f.dataType) for f in TRADE_SCHEMA]
     extra = [c for c in ("symbol",) if c in trades.columns]
-    typed = trades.select(*extra, *columns)
-    typed.repartitionByRange("time").sortWithinPartitions("time").write.mode("overwrite").parquet(out)
+    # rows of one time keep the order of their files and lines, where those are known
+    order = [*extra, "time", *[c for c in ("rank", "position") if c in trades.columns]]
+    write_sorted(trades.withColumns({f.name: c for f, c in zip(TRADE_SCHEMA, columns)}), out, order, [*extra, *TRADE_SCHEMA.names])
 
 
 def write_table(df: DataFrame, out: str) -> None:
@@ -95,17 +112,28 @@ def write_table(df: DataFrame, out: str) -> None:
 
 
 def write_by_date(df: DataFrame, out: str) -> None:
-    """Partitioned by symbol and UTC day; each day's rows meet in one task, one file per day."""
+    """Partitioned by symbol and UTC day; each day's rows meet in one task, one file per day.
+
+    Days that ``df`` holds replace those of the table, its other days stay.
+    """
     dated = df.withColumn("date", date_text("open_time").cast("date"))
     (
         dated.repartition("symbol", "date")
         .sortWithinPartitions("symbol", "date", "open_time")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("symbol", "date")
         .parquet(out)
     )
 
 
+def read_by_date(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``write_by_date`` wrote, without the day; symbols that look like numbers stay texts."""
+    fields = [f for f in spark.read.parquet(path).schema if f.name not in ("symbol", "date")]
+    schema = T.StructType([*fields, T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType())])
+    return spark.read.schema(schema).parquet(path).select("symbol", *[f.name for f in fields])
+
+
 def write_csv(df: DataFrame, out: str) -> None:
     df.write.mode("overwrite").csv(out, header=True)
 
