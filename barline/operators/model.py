@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import as_double, finite, open_time_ms
@@ -97,14 +102,14 @@ def temporal_split(
     return before.unionByName(first.select(df.columns)), rest.select(df.columns).unionByName(after)
 
 
-def fit_logistic(train: DataFrame, features: Sequence[str], max_iter: int = 2000) -> PipelineModel:
+def fit_logistic(train: DataFrame, features: Sequence[str], max_iter: int = 100, tol: float = 1e-10) -> PipelineModel:
     """Scale by population statistics, then an L2 logistic regression with unit C.
 
-    The penalty of a sum of losses with C = 1 is that of the mean loss over 1 / n.
+    Newton steps on the sum of losses plus half the squared length of the weights, the constant left
+    out.  Each step is one pass that sums gradient and Hessian, (features + 2)^2 numbers, over tasks.
     """
     clean = clean_features(train, features)
     stats = clean.agg(
-        F.count(F.lit(1)).alias("n"),
         F.count_distinct("y_true").alias("classes"),
         *[F.avg(c).alias(f"mean_{c}") for c in features],
         *[F.stddev_pop(c).alias(f"std_{c}") for c in features],
@@ -117,22 +122,63 @@ def fit_logistic(train: DataFrame, features: Sequence[str], max_iter: int = 2000
         for c, s in zip(features, scaled)
     )
     scaler = SQLTransformer(statement=f"SELECT *, {terms} FROM __THIS__")
-    assembler = VectorAssembler(inputCols=scaled, outputCol="_features")
-    # the optimiser passes over these rows again and again, and survives lost executors
-    rows = written(assembler.transform(scaler.transform(clean)).select("_features", "y_true"), "train")
-    logistic = LogisticRegression(
-        featuresCol="_features",
-        labelCol="y_true",
-        predictionCol="_prediction",
-        rawPredictionCol="_raw",
-        probabilityCol="_probability",
-        regParam=1.0 / stats.n,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=1e-10,
+    # every step passes over these rows again, and they survive lost executors
+    rows = written(scaler.transform(clean).select(F.array(*scaled).alias("x"), F.col("y_true").cast("double").alias("y")), "train")
+    weights = _newton(rows, len(features), max_iter, tol)
+    logistic = _logistic_model(train.sparkSession, weights)
+    return PipelineModel(stages=[scaler, VectorAssembler(inputCols=scaled, outputCol="_features"), logistic])
+
+
+def _derivatives(rows: DataFrame, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sum of losses, gradient and Hessian over all rows; the constant comes first."""
+    n = len(weights)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + n + n * n)
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y").to_numpy()
+            x = np.column_stack([np.ones(len(y)), x.flatten().to_numpy().reshape(len(y), n - 1)])
+            z = x @ weights
+            p = 1 / (1 + np.exp(-z))
+            total[0] += (np.logaddexp(0, z) - y * z).sum()
+            total[1 : n + 1] += x.T @ (p - y)
+            total[n + 1 :] += ((x * (p * (1 - p))[:, None]).T @ x).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["place", "value"])
+
+    found = rows.mapInArrow(sums, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    total = np.zeros(1 + n + n * n)
+    for r in found.collect():
+        total[r.place] = r.value
+    # the penalty, which leaves the constant alone
+    own = np.append(0.0, weights[1:])
+    return total[0] + own @ own / 2, total[1 : n + 1] + own, total[n + 1 :].reshape(n, n) + np.diag(np.append(0.0, np.ones(n - 1)))
+
+
+def _newton(rows: DataFrame, features: int, max_iter: int, tol: float) -> np.ndarray:
+    weights = np.zeros(features + 1)
+    loss, gradient, hessian = _derivatives(rows, weights)
+    for _ in range(max_iter):
+        step = np.linalg.solve(hessian, gradient)
+        if np.abs(step).max() < tol:
+            break
+        after = _derivatives(rows, weights - step)
+        while after[0] > loss + tol * abs(loss) and np.abs(step).max() > tol:  # too far: half the way
+            step = step / 2
+            after = _derivatives(rows, weights - step)
+        weights = weights - step
+        loss, gradient, hessian = after
+    return weights
+
+
+def _logistic_model(spark: SparkSession, weights: np.ndarray) -> LogisticRegressionModel:
+    """Spark's own model of the given weights, so that it scores, saves and loads like any other."""
+    found = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"logistic_{uuid.uuid4().hex[:12]}", _py2java(spark.sparkContext, Vectors.dense(weights[1:])), float(weights[0])
     )
-    return PipelineModel(stages=[scaler, assembler, logistic.fit(rows)])
+    model = LogisticRegressionModel(found)
+    model._resetUid(found.uid())
+    model.setFeaturesCol("_features").setPredictionCol("_prediction")
+    return model.setRawPredictionCol("_raw").setProbabilityCol("_probability")
 
 
 def predict(

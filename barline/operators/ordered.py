@@ -67,9 +67,7 @@ def chunked_by_rows(
     exchange are sampled: while the plan is built, this runs jobs.
     """
     rows = written(df, name)
-    ranges = min(math.ceil(rows.count() / rows_per_chunk), MOST_RANGES)
-    if ranges <= 1:
-        return rows.withColumn("_chunk", F.lit(0))
+    ranges = min(max(1, math.ceil(rows.count() / rows_per_chunk)), MOST_RANGES)
     dealt = rows.repartitionByRange(ranges, *order).withColumn("_chunk", F.spark_partition_id())
     return written(dealt, name)
 

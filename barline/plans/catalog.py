@@ -257,6 +257,36 @@ def normalised_kline_lines(spark, folder):
     )
 
 
+# --- the experiment job over wide files --------------------------------------------------------
+
+
+def _oracle_report(part: int) -> str:
+    return f"""
+SELECT '{("oracle_train", "oracle_test")[part]}' AS name, * FROM (
+  WITH vector_rows AS (SELECT vec_id AS row_id, label % 3 + 1 AS class FROM embeddings WHERE vec_id % 2 = {part}),
+  {oracle.pnl_table("class - 2", "vector_rows")},
+  whole AS (SELECT {oracle.summary()}, min(drawdown) AS max_drawdown FROM pnl_table)
+  SELECT {rounded(["total_pnl", "mean_pnl", "std_pnl", "sharpe_per_step", "max_drawdown", "win_rate_exposed", "avg_trade_return"])}, num_trades
+  FROM whole)"""
+
+
+@query(f"{_oracle_report(0)} UNION ALL {_oracle_report(1)}")
+def experiment_oracle_report(spark, folder):
+    """Two wide CSV files written from the vectors, the experiment job over them, and its report read back."""
+    place = f"{shared_dir(spark)}/experiment-{uuid.uuid4().hex}"
+    vectors = table(spark, folder, "embeddings")
+    features = [F.get("embedding", F.lit(int(c) % inputs.EMBEDDING_WIDTH)).cast("double").alias(c) for c in tables.WIDE_FEATURES]
+    labels = [(F.col("label") % 3 + 1).alias(c) for c in tables.WIDE_LABELS]
+    for k, part in enumerate(("train", "test")):
+        rows = vectors.where(F.col("vec_id") % 2 == k).select(F.col("vec_id").alias("Unnamed: 0"), *features, *labels)
+        tables.write_csv(rows, f"{place}/{part}")
+    jobs.run_experiment(spark, f"{place}/train", f"{place}/test", f"{place}/out", jobs.ExperimentConfig(strategy="oracle"))
+    report = spark.read.json(f"{place}/out/report.json", multiLine=True)
+    metrics = ["total_pnl", "mean_pnl", "std_pnl", "sharpe_per_step", "max_drawdown", "win_rate_exposed", "avg_trade_return", "num_trades"]
+    rows = [report.select(F.lit(n).alias("name"), *[F.col(f"{n}.{m}").alias(m) for m in metrics]) for n in ("oracle_train", "oracle_test")]
+    return rows[0].unionByName(rows[1])
+
+
 # --- raw files, written from the given tables and merged again ------------------------------
 
 
@@ -1010,7 +1040,54 @@ def last_predictions(spark, folder):
     return model.last_predictions(scored, 0.5, 1000)
 
 
-@query(digits=3)
+def _fitted(names: Sequence[str], steps: int = 12) -> str:
+    """A fit on any number of features: Newton steps, each from one Gram matrix, solved by elimination."""
+    k = len(names)
+    values = ", ".join(f"CASE WHEN isfinite({c}) THEN {c} ELSE 0 END" for c in names)
+    parts = [f"""
+WITH RECURSIVE {oracle.features(HOUR)}, {oracle.drawdowns("features", (24,), (0.5,))},
+numbered AS (
+  SELECT symbol, open_time, CAST({_LABEL} AS INTEGER) AS y, [{values}] AS v,
+         row_number() OVER (ORDER BY open_time, symbol) AS n, count(*) OVER () AS total
+  FROM labelled WHERE {_LABEL} IS NOT NULL),
+halves AS (SELECT *, n <= greatest(least(CAST(floor(total * CAST(0.7 AS DOUBLE)) AS BIGINT), total - 1), 1) AS is_train FROM numbered),
+scale AS (
+  SELECT i, avg(v[i]) AS m, CASE WHEN stddev_pop(v[i]) = 0 THEN 1 ELSE stddev_pop(v[i]) END AS s
+  FROM halves, range(1, {k + 1}) AS u(i) WHERE is_train GROUP BY i),
+scales AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM scale),
+scaled AS MATERIALIZED (
+  SELECT symbol, open_time, y, is_train, list_prepend(CAST(1 AS DOUBLE), [(v[i] - m[i]) / s[i] FOR i IN range(1, {k + 1})]) AS x
+  FROM halves, scales),
+w0 AS (SELECT [CAST(0 AS DOUBLE) FOR i IN range({k + 1})] AS w)"""]
+    for t in range(1, steps + 1):
+        parts.append(f"""
+p{t} AS MATERIALIZED (SELECT y, x, w, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM scaled, w{t - 1} WHERE is_train),
+g{t} AS (
+  SELECT r, c, CASE WHEN c <= {k + 1} THEN sum(p * (1 - p) * x[r] * x[least(c, {k + 1})]) ELSE sum((p - y) * x[r]) + CASE WHEN r > 1 THEN any_value(w[r]) ELSE 0 END END
+               + CASE WHEN r = c AND r > 1 THEN 1 ELSE 0 END AS v
+  FROM p{t}, range(1, {k + 2}) AS a(r), range(1, {k + 3}) AS b(c) GROUP BY r, c),
+lines{t} AS (SELECT r, list(v ORDER BY c) AS line FROM g{t} GROUP BY r),
+solve{t} AS (
+  SELECT CAST(1 AS BIGINT) AS m, list(line ORDER BY r) AS a FROM lines{t}
+  UNION ALL
+  SELECT m + 1, [[CASE WHEN r = m THEN a[m][c] / a[m][m] ELSE a[r][c] - a[r][m] * a[m][c] / a[m][m] END FOR c IN range(1, {k + 3})] FOR r IN range(1, {k + 2})]
+  FROM solve{t} WHERE m <= {k + 1}),
+w{t} AS MATERIALIZED (SELECT [w[i] - a[i][{k + 2}] FOR i IN range(1, {k + 2})] AS w FROM solve{t}, w{t - 1} WHERE m = {k + 2})""")
+    parts.append(f"""
+coefs AS (SELECT [{", ".join(repr(c) for c in names)}][i] AS feature, w[i + 1] AS coef FROM w{steps}, range(1, {k + 1}) AS u(i)),
+scored AS (SELECT symbol, open_time, is_train, y AS y_true, 1 / (1 + exp(-list_dot_product(x, w))) AS y_prob FROM scaled, w{steps})""")
+    return ",".join(parts)
+
+
+_FULL = _fitted(SCALE_FREE_FEATURES)
+
+
+@query(
+    f"""{_FULL}
+SELECT feature, round(coef, 3) + 0.0 AS coef, round(abs(coef), 3) + 0.0 AS abs_coef,
+       CAST(row_number() OVER (ORDER BY abs(coef) DESC) AS INTEGER) AS rank FROM coefs""",
+    digits=3,
+)
 def hazard_coefficients(spark, folder):
     """Train on the first 70 % of labelled hours; coefficients by absolute value."""
     train, _ = model.temporal_split(_labelled(spark, folder), 0.7)
@@ -1018,7 +1095,7 @@ def hazard_coefficients(spark, folder):
     return model.coefficient_ranking(model.fit_logistic(train, names), names, spark)
 
 
-@query(digits=3)
+@query(f"{_FULL} SELECT symbol, open_time, y_true, round(y_prob, 3) + 0.0 AS y_prob FROM scored WHERE NOT is_train", digits=3)
 def hazard_out_of_sample(spark, folder):
     """Train on the first 70 % of labelled hours and score the rest."""
     train, test = model.temporal_split(_labelled(spark, folder), 0.7)
@@ -1026,13 +1103,64 @@ def hazard_out_of_sample(spark, folder):
     return model.predict(model.fit_logistic(train, names), test, names)
 
 
-@query(digits=3)
+_RANKED_SCORES = """
+per_score AS (SELECT y_prob AS s, count(*) FILTER (y_true = 1) AS pos, count(*) FILTER (y_true = 0) AS neg FROM tested GROUP BY ALL),
+ranked_scores AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp FROM per_score),
+ranks AS (SELECT sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS roc_auc, sum(pos * tp / (tp + fp)) / sum(pos) AS pr_auc FROM ranked_scores)"""
+
+
+@query(
+    f"""{_FULL}, tested AS (SELECT * FROM scored WHERE NOT is_train), {_RANKED_SCORES},
+cells AS (
+  SELECT count(*) AS n_rows, avg(y_true) AS base_rate, count(*) FILTER (y_true = 0 AND y_prob < 0.5) AS tn,
+         count(*) FILTER (y_true = 0 AND y_prob >= 0.5) AS fp, count(*) FILTER (y_true = 1 AND y_prob < 0.5) AS fn,
+         count(*) FILTER (y_true = 1 AND y_prob >= 0.5) AS tp
+  FROM tested)
+SELECT n_rows, round(base_rate, 3) + 0.0 AS base_rate, tn, fp, fn, tp,
+       round(coalesce(tp / nullif(tp + fp, 0), 0), 3) + 0.0 AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 3) + 0.0 AS recall,
+       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 3) + 0.0 AS f1,
+       round(roc_auc, 3) + 0.0 AS roc_auc, round(pr_auc, 3) + 0.0 AS pr_auc
+FROM cells, ranks""",
+    digits=3,
+)
 def hazard_test_metrics(spark, folder):
     """Rank and threshold metrics of the out-of-sample scores."""
     scored = written(hazard_out_of_sample(spark, folder), "scored")
     ranks = evaluate.rank_metrics(scored)
-    return evaluate.threshold_metrics(scored, 0.5).withColumns(
-        {c: ranks.select(c).scalar() for c in ranks.columns}
+    row = ranks.select(F.struct(*ranks.columns)).scalar()
+    return evaluate.threshold_metrics(scored, 0.5).withColumn("_ranks", row).select("*", "_ranks.*").drop("_ranks")
+
+
+def _trained(spark: SparkSession, folder: str, ratio: float) -> tuple[str, dict]:
+    """The labelled hours as a table, and what the training job says of them."""
+    place = f"{shared_dir(spark)}/hazard-{uuid.uuid4().hex}"
+    tables.write_table(_modelling(spark, folder), f"{place}/hours")
+    config = jobs.TrainConfig(f"{place}/hours", _LABEL, f"{place}/models", "ALL", ratio, feature_set="scalefree")
+    return place, jobs.train_hazard_logistic(spark, config)
+
+
+@query(f"{_FULL} SELECT symbol, open_time, y_true, round(y_prob, 3) + 0.0 AS y_prob FROM scored", digits=3)
+def hazard_saved_scores(spark, folder):
+    """A model trained, saved with its manifest, loaded by the scoring job, and its scores read from CSV."""
+    place, done = _trained(spark, folder, 0.7)
+    config = jobs.InferConfig(f"{place}/hours", _LABEL, done["label_dir"], f"{place}/scores", feature_set="scalefree")
+    jobs.infer_hazard(spark, config)
+    return spark.read.csv(f"{place}/scores/oos_probs", header=True, schema="symbol string, open_time bigint, y_true int, y_prob double")
+
+
+@query(
+    f"""{_FULL}
+SELECT count(*) AS n_rows_total_labeled, count(*) FILTER (is_train) AS n_rows_train, count(*) FILTER (NOT is_train) AS n_rows_test,
+       count(DISTINCT y_true) AS classes, round(avg(y_true) FILTER (NOT is_train), 3) + 0.0 AS base_rate_test FROM scored""",
+    digits=3,
+)
+def hazard_run_counts(spark, folder):
+    """Counts of the training job, read back from its metrics file."""
+    place, done = _trained(spark, folder, 0.7)
+    metrics = spark.read.json(f"{done['run_dir']}/metrics.json", multiLine=True)
+    labels = spark.read.parquet(f"{place}/hours").select(F.count_distinct(_LABEL).alias("classes"))
+    return metrics.select(
+        "n_rows_total_labeled", "n_rows_train", "n_rows_test", labels.scalar().alias("classes"), "base_rate_test"
     )
 
 
