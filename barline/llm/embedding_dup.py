@@ -1,8 +1,10 @@
 """Near-duplicate vectors by dual traversal of cover trees.
 
 Vectors of one label are cut into cells of bounded size around centres, again and again while
-a cell is too large.  Pairs of cells whose covering balls come near enough meet in one task
-each, which builds the cover trees of both and walks them together.
+a cell is too large.  That makes a tree of nodes with covering balls.  Pairs of nodes are walked
+down level by level, and those whose balls lie too far apart are left with all below them.  Pairs
+of cells that remain meet in one task each, which builds the cover trees of both and walks them
+together.
 """
 
 from __future__ import annotations
@@ -33,26 +35,32 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _unit(rows: DataFrame) -> DataFrame:
-    """x: the bytes of the vector divided by its length."""
+    """rows with embedding replaced by x, the bytes of the vector divided by its length."""
+    rest = [f for f in rows.schema.fields if f.name != "embedding"]
 
     def scale(batch: pa.RecordBatch) -> pa.RecordBatch:
         xs = []
         for value in batch.column("embedding").to_pylist():
             x = np.array(value, np.float64)
             x = x / np.abs(x).max()
-            xs.append((x / np.sqrt(x @ x)).tobytes())
-        return pa.record_batch([batch.column(c) for c in ("id", "copies", "node", "kind")] + [pa.array(xs, pa.binary())], ["id", "copies", "node", "kind", "x"])
+            xs.append((x / np.sqrt(x @ x) + 0.0).tobytes())  # adding 0 leaves one kind of zero
+        return pa.record_batch([*(batch.column(f.name) for f in rest), pa.array(xs, pa.binary())], [*(f.name for f in rest), "x"])
 
-    return map_batches(rows, scale, "id long, copies long, node long, kind long, x binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return map_batches(rows, scale, f"{schema}, x binary")
 
 
-def _cells(rows: DataFrame, p: Cover, scratch: Scratch) -> DataFrame:
-    """rows with the cell of each in node; no cell has more than cell_rows rows."""
-    rows = scratch.write(rows)
+def _cells(rows: DataFrame, p: Cover, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """rows with the cell of each in node, and the edges (node, parent) of every round of cuts.
+
+    A cell has cell_rows rows at most.  What doesn't come apart around centres, a child with over
+    three quarters of its parent, is dealt into cells by its ids.
+    """
+    rows, edges = scratch.write(rows), []
     while True:
         large = scratch.write(rows.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > p.cell_rows))
         if large.isEmpty():
-            return rows
+            return rows, edges
         some = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "id"), "id"))
         picked = rows.select("node", "id", "x").withColumn("k", some).where(F.col("k") <= p.centres)
         wanted = F.least(F.lit(p.centres), F.ceil(2 * F.col("m") / p.cell_rows))
@@ -63,9 +71,17 @@ def _cells(rows: DataFrame, p: Cover, scratch: Scratch) -> DataFrame:
             return pa.record_batch([batch.column(c) for c in ("id", "copies", "node", "kind", "x")] + [pa.array(child, pa.int64())], ["id", "copies", "node", "kind", "x", "child"])
 
         cut = map_batches(rows.join(centres, "node").select("id", "copies", "node", "kind", "x", "centres"), nearest, "id long, copies long, node long, kind long, x binary, child long")
-        cut = cut.select("id", "copies", F.xxhash64("node", "child").alias("node"), "kind", "x")
-        after = scratch.write(rows.join(large, "node", "left_anti").select(cut.columns).unionByName(cut))
-        scratch.drop(rows)
+        cut = scratch.write(cut)
+        sizes = cut.groupBy("node", "child").agg(F.count("*").alias("own")).join(large, "node")
+        deals = F.when(4 * F.col("own") > 3 * F.col("m"), F.ceil(2 * F.col("own") / p.cell_rows)).otherwise(1)
+        sizes = scratch.write(sizes.select("node", "child", deals.alias("deals")))
+        dealt = cut.join(sizes, ["node", "child"]).withColumnRenamed("node", "parent")
+        dealt = dealt.withColumn("node", F.xxhash64("parent", "child", F.pmod(F.xxhash64("id", "parent"), F.col("deals"))))
+        dealt = scratch.write(dealt.select("id", "copies", "node", "kind", "x", "parent"))
+        edges.append(scratch.write(dealt.select("node", "parent").distinct()))
+        after = scratch.write(rows.join(large, "node", "left_anti").select(rows.columns).unionByName(dealt.drop("parent")))
+        for old in (rows, cut, sizes, dealt, large):
+            scratch.drop(old)
         rows = after
 
 
@@ -83,13 +99,47 @@ def _balls(cells: DataFrame) -> DataFrame:
     return cells.groupBy("node").applyInArrow(ball, "node long, kind long, radius double, centre array<double>")
 
 
-def _meeting(balls: DataFrame, reach: float) -> DataFrame:
-    """Pairs of cells of one kind whose balls come within reach, each cell with itself too."""
-    a = balls.select("kind", F.col("node").alias("a"), F.col("radius").alias("ra"), F.col("centre").alias("ca"))
-    b = balls.select("kind", F.col("node").alias("b"), F.col("radius").alias("rb"), F.col("centre").alias("cb"))
+def _tree_balls(leaves: DataFrame, edges: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """Balls of all nodes: those of a parent cover the balls of its children."""
+
+    def cover(part: pa.Table) -> pa.Table:
+        centres = np.array(part.column("centre").to_pylist())
+        mean = centres.mean(0)
+        length = np.sqrt(mean @ mean)
+        centre = mean / length if length > 1e-9 else centres[0]
+        radius = float((np.sqrt(np.maximum(2 - 2 * (centres @ centre), 0)) + part.column("radius").to_numpy()).max())
+        return pa.table({"node": part.column("parent")[:1], "kind": part.column("kind")[:1], "radius": pa.array([radius]), "centre": pa.array(centre[None].tolist(), pa.list_(pa.float64()))})
+
+    balls = scratch.write(leaves)
+    for level in reversed(edges):
+        parents = balls.join(level, "node").groupBy("parent").applyInArrow(cover, "node long, kind long, radius double, centre array<double>")
+        whole = scratch.write(balls.unionByName(parents))
+        scratch.drop(balls)
+        balls = whole
+    return balls
+
+
+def _meeting(balls: DataFrame, edges: list[DataFrame], reach: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of cells of one kind whose balls come within reach, each cell with itself too.
+
+    Starts from the roots, each with itself, and opens both nodes of a pair in every round; a node
+    that is no parent stays.  Only children of pairs within reach are paired.
+    """
     inner = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     away = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * inner))
-    return a.join(b, "kind").where((F.col("a") <= F.col("b")) & (away <= F.col("ra") + F.col("rb") + reach + SLACK)).select("a", "b")
+    pairs = scratch.write(balls.select(F.col("kind").alias("a"), F.col("kind").alias("b")).distinct())
+    for level in edges:
+        opened = pairs
+        for side in "ab":
+            below = level.select(F.col("parent").alias(side), F.col("node").alias("_node"))
+            opened = opened.join(below, side, "left").withColumn(side, F.coalesce("_node", side)).drop("_node")
+        opened = opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for side in "ab":
+            opened = opened.join(balls.select(F.col("node").alias(side), F.col("radius").alias(f"r{side}"), F.col("centre").alias(f"c{side}")), side)
+        near = scratch.write(opened.where((F.col("a") == F.col("b")) | (away <= F.col("ra") + F.col("rb") + reach + SLACK)).select("a", "b"))
+        scratch.drop(pairs)
+        pairs = near
+    return pairs
 
 
 def near_vectors(spark: SparkSession, embeddings: DataFrame, p: Cover = Cover()) -> DataFrame:
@@ -97,22 +147,23 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, p: Cover = Cover())
 
     Only vectors of one label and one number of components are compared.  Null vectors or labels,
     empty or zero vectors, null or non-finite components and null ids link with nothing: 0 links,
-    their own component (null for a null id), kept.  Equal vectors are compared once and count
-    with their number.  Rows that share an id count each and share their component.
+    their own component (null for a null id), kept.  Vectors of exactly one direction are compared
+    once and count with their number.  Rows that share an id count each and share their component.
     """
     scratch = Scratch(spark)
     vectors = embeddings.select("vec_id", "embedding", "label")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(usable, F.lit(False))
-    key = F.when(usable, F.struct("label", "embedding"))
-    classes = vectors.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    classes = scratch.write(classes)
-    kind = F.xxhash64("label", F.size("embedding"))
-    unit = _unit(classes.select("id", "copies", kind.alias("node"), kind.alias("kind"), "embedding"))
-    cells = _cells(unit, p, scratch)
+    # vectors of one direction are one class; its key is a digest, so that vectors move once
+    directed = _unit(vectors.where(usable).select("vec_id", "label", "embedding"))
+    key = F.struct("label", F.md5("x").alias("direction"))
+    classes = directed.groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    kind = F.xxhash64("label", F.octet_length("x"))
+    classes = scratch.write(classes.select("id", "copies", kind.alias("node"), kind.alias("kind"), "x", key.alias("key")))
+    cells, edges = _cells(classes.drop("key"), p, scratch)
     reach = float(np.sqrt(2 - 2 * p.similarity))
-    pairs = scratch.write(_meeting(_balls(cells), reach))
+    pairs = _meeting(_tree_balls(_balls(cells), edges, scratch), edges, reach, scratch)
     sides = pairs.select("a", "b", F.col("a").alias("node")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("node")))
 
     def walk(part: pa.Table) -> pa.Table:
@@ -132,11 +183,13 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, p: Cover = Cover())
     groups = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), scratch)
     named = classes.join(counts, "id", "left").join(groups, "id", "left")
     named = named.select(
-        F.struct("label", "embedding").alias("key"),
+        "key",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
     )
-    rows = vectors.select("vec_id", key.alias("key")).join(named, "key", "left")
+    linked = directed.select("vec_id", key.alias("key")).join(named, "key").drop("key")
+    alone = vectors.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rows = linked.unionByName(alone)
     component = F.coalesce("component_id", "vec_id")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,19 @@ class Scratch:
         self.paths[id(table)] = path
         return table
 
+    def write_result(self, build: Callable[[Scratch], DataFrame]) -> DataFrame:
+        """The table that build(scratch) makes; what it wrote on the way is removed again."""
+        own = Scratch(self.spark)
+        result = self.write(build(own))
+        for path in list(own.paths.values()):
+            own._delete(path)
+        return result
+
     def drop(self, table: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
+        self._delete(self.paths.pop(id(table)))
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
