@@ -12,17 +12,17 @@ from .graph import Scratch, components
 
 def linked(
     bands: DataFrame,
-    confirm: Callable[[DataFrame], DataFrame],
+    confirm: Callable[[DataFrame, Scratch], DataFrame],
     percent: int,
     scratch: Scratch,
     likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
-    inside: Callable[[DataFrame], DataFrame] | None = None,
+    inside: Callable[[DataFrame, Scratch], DataFrame] | None = None,
     family_votes: int = 3,
 ) -> DataFrame:
     """id and component of the linked ids of bands(key, id, n); n is the size of the id's set.
 
-    confirm(pairs(u, v, n)) returns the pairs (u, v) that are alike.  likely(pairs) may leave out
-    pairs that can't be.  inside(rows(family, id, n)) returns links (u, v) that connect all like
+    confirm(pairs(u, v, n), scratch) returns the pairs (u, v) that are alike.  likely(pairs) may leave out
+    pairs that can't be.  inside(rows(family, id, n), scratch) returns links (u, v) that connect all like
     ids of each family, without making its pairs rows.
 
     First every id is paired with the smallest id of one of its bands, the one it shares most
@@ -39,7 +39,7 @@ def linked(
     votes = members.where("id <> first").groupBy("id", "first").agg(F.count("*").alias("votes"), F.max("n").alias("n"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", F.col("first").alias("u"), "n")).alias("best"))
     pairs = scratch.write(best.select("best.u", F.col("id").alias("v"), "best.n", "best.votes"))
-    links = scratch.write(confirm(pairs.select("u", "v", "n")))
+    links = scratch.write_result(lambda own: confirm(pairs.select("u", "v", "n"), own))
 
     found = components(links, scratch)
     ids = members.select("id", "n").distinct().join(found, "id", "left")
@@ -54,7 +54,8 @@ def linked(
         several = ids.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
         rows = scratch.write(ids.join(several.select("family"), "family").select("family", "id", "n"))
         if not rows.isEmpty():
-            links = scratch.write(links.unionByName(inside(rows)))
+            links = scratch.write_result(lambda own, links=links: links.unionByName(inside(rows, own)))
+        scratch.drop(rows)
 
     placed = scratch.write(members.select("key", "id", "n").join(ids.select("id", "family"), "id"))
     scratch.drop(members)
@@ -71,6 +72,8 @@ def linked(
         .distinct()
     )
     more = scratch.write(more.join(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    for read in (placed, rows, ids, pairs):
+        scratch.drop(read)
     if not more.isEmpty():
-        links = scratch.write(links.unionByName(confirm(likely(more))))
+        links = scratch.write_result(lambda own: links.unionByName(confirm(likely(more), own)))
     return components(links, scratch)

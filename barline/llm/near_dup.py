@@ -1,9 +1,11 @@
 """Near-duplicate documents by HyperMinHash sketches, banding and exact confirmation.
 
 1. A document's word shingles are hashed; each falls into one of many buckets, and a bucket
-   keeps its smallest value as a leading-zero count and some mantissa bits in 16 bits.
+   keeps its smallest value as a leading-zero count and some mantissa bits in 16 bits.  For its
+   bands, an empty bucket borrows the register of the first used one in an order of its own, so
+   every register agrees with the probability of the similarity, in sets of any size.
 2. Documents of equal sets are one class from here on, named by its smallest id.
-3. Bands of registers meet by a join.  In a bucket of a band every class is paired with the
+3. Bands of five registers meet by a join.  In a bucket of a band every class is paired with the
    smallest one only; each class takes the partner it shares most bands with.  These pairs
    are confirmed on the full sets and give first components.
 4. Classes that share several bands with their partner form families.  A family of several
@@ -47,7 +49,8 @@ class Near:
     mantissa: int = 10
     broadcast_ids: int = 500_000  # ids of 8 bytes that may be broadcast; more are joined by a shuffle
     task_shingles: int = 400_000  # shingles compared with one document in one task
-    block_shingles: int = 200_000  # shingles of a block of a family
+    block_shingles: int = 200_000  # shingles of a block of a family, each document counting as document_cost more
+    document_cost: int = 100
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +96,32 @@ def registers(rows: np.ndarray, hashes: np.ndarray, count: int, p: Near) -> np.n
     return packed.reshape(count, size)
 
 
+def densified(packed: np.ndarray, probes: int = 16) -> np.ndarray:
+    """Registers in which an empty bucket holds that of the first used one in its own random order.
+
+    Rows without any register stay empty.  The first probes are made for all rows at once; rows
+    with few used buckets then look for the least rank among these.
+    """
+    size = packed.shape[1]
+    order = np.argsort(mixed(np.arange(1, size * size + 1, dtype=np.uint64)).reshape(size, size), axis=1)
+    out = packed.copy()
+    for k in range(min(probes, size)):
+        row, at = np.nonzero(out == EMPTY)
+        out[row, at] = packed[row, order[at, k]]
+    rank = np.argsort(order, axis=1)
+    for row in np.flatnonzero((out == EMPTY).any(1) & (packed != EMPTY).any(1)):
+        used, left = np.flatnonzero(packed[row] != EMPTY), np.flatnonzero(out[row] == EMPTY)
+        out[row, left] = packed[row, used[rank[left][:, used].argmin(1)]]
+    return out
+
+
 def band_keys(packed: np.ndarray, p: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of every band that has a register in use."""
-    parts = packed.reshape(len(packed), p.bands, p.registers)
-    used = (parts != EMPTY).any(2)
+    """Row and key of every band of the rows that have a register in use."""
+    parts = densified(packed).reshape(len(packed), p.bands, p.registers)
+    used = np.repeat((packed != EMPTY).any(1), p.bands)
     keys = joined_hash(*(parts[:, :, k].ravel().astype(np.uint64) for k in range(p.registers)))
     keys = joined_hash(keys, np.tile(np.arange(p.bands, dtype=np.uint64), len(packed)))
-    at = np.flatnonzero(used.ravel())
+    at = np.flatnonzero(used)
     return at // p.bands, keys[at].view(np.int64)
 
 
@@ -188,7 +210,7 @@ def family_links(docs: DataFrame, rows: DataFrame, p: Near, scratch: Scratch) ->
     A family is dealt into blocks of about block_shingles; every two blocks meet in one task,
     which returns at most one link for each document.
     """
-    loads = rows.groupBy("family").agg(F.ceil(F.sum("n") / p.block_shingles).alias("blocks"))
+    loads = rows.groupBy("family").agg(F.ceil(F.sum(F.col("n") + p.document_cost) / p.block_shingles).alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     other = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
@@ -298,11 +320,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Near = Near()) -> D
 
     found = linked(
         _bands(classes, p),
-        lambda pairs: confirmed(docs, pairs, p, scratch),
+        lambda pairs, own: confirmed(docs, pairs, p, own),
         p.percent,
         scratch,
         lambda pairs: _estimated(pairs, classes, p),
-        lambda rows: family_links(docs, rows, p, scratch),
+        lambda rows, own: family_links(docs, rows, p, own),
     )
     return _answer(drawn, classes, found)
 
