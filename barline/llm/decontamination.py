@@ -186,5 +186,7 @@ def aligned(words: np.ndarray, item: np.ndarray, shift: int, p: Overlap) -> tupl
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Overlap = Overlap()) -> DataFrame:
     """docs without the documents that overlap with a test item, all columns kept."""
-    found = Scratch(spark).write(overlaps(spark, docs, benchmark, p).select(F.col("key").alias("_key")).distinct())
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(found, "_key", "left_anti").select(*docs.columns)
+    found = Scratch(spark).write(overlaps(spark, docs, benchmark, p).select("key").distinct())
+    # the documents travel as one struct, so that none of their names meets the key
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct("*").alias("doc"))
+    return keyed.join(found, "key", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -108,9 +108,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, parameters: Ftrl = Ftrl())
     rows = map_batches(texts, features, "doc_id long, label int, learner long, bins array<int>, values array<double>")
 
     def learn(part: pa.Table) -> pa.Table:
-        rows = list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "label", "bins", "values"))))
-        rows.sort(key=lambda r: (r[0] * 2654435761 % (1 << 32), r))  # mixed, and the same in every run
-        weights = train_ftrl([(y, np.array(b, np.int64), np.array(v)) for _, y, b, v in rows], p)
+        ids, marks = (part.column(c).to_pylist() for c in ("doc_id", "label"))
+        bins, values = (part.column(c).combine_chunks() for c in ("bins", "values"))
+        cuts = bins.offsets.to_numpy()
+        cuts, bins, values = cuts - cuts[0], bins.flatten().to_numpy(), values.flatten().to_numpy()
+        rows = [(i, y, bins[a:b], values[a:b]) for i, y, a, b in zip(ids, marks, cuts, cuts[1:])]  # views of the columns
+        # mixed, and the same in every run
+        rows.sort(key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+        weights = train_ftrl([r[1:] for r in rows], p)
         at = np.append(np.flatnonzero(weights), len(weights))  # the last row counts the learner
         return pa.table({"bin": pa.array(at, pa.int64()), "weight": np.append(weights, 1.0)[at]})
 
