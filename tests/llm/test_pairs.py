@@ -252,3 +252,47 @@ def test_families_that_are_hardly_linked(spark):
     for p in (near_dup.Near(words=2, block_shingles=2_000), near_dup.Near(words=2, broadcast_ids=0)):
         got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark, docs, p).collect()}
         assert got == want
+
+
+def test_parallel_vectors_end_and_link(spark):
+    """More vectors of one direction than a cell holds, exact multiples and rounded ones."""
+    random_ = np.random.default_rng(3)
+    v = random_.normal(size=8)
+    exact = [(k, [float(k + 1), 0.0, 0.0, 0.0], 1) for k in range(300)]
+    rounded = [(1000 + k, (v * (k + 1)).tolist(), 2) for k in range(300)]
+    other = [(2000 + k, random_.normal(size=8).tolist(), 2) for k in range(60)]
+    table = spark.createDataFrame(exact + rounded + other, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dup.near_vectors(spark, table, embedding_dup.Cover(cell_rows=40, centres=4)).collect()}
+    assert all(got[k] == (299, 0) for k in range(300))
+    x = np.array([r[1] for r in rounded + other], np.float32).astype(float)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    assert [got[r[0]][0] for r in rounded + other] == links.tolist() and got[1299][1] == 1000
+
+
+def test_borrowed_registers_agree_as_often_as_sets_are_alike():
+    p = near_dup.Near()
+    random_ = np.random.default_rng(5)
+    for size, common in ((5, 4), (20, 16), (300, 240), (10, 1)):
+        met, same = 0, []
+        for _ in range(60):
+            both, a, b = (random_.integers(0, 1 << 63, n, dtype=np.uint64) for n in (common, (size - common) // 2, size - common - (size - common) // 2))
+            rows = np.repeat([0, 1], [common + len(a), common + len(b)])
+            packed = near_dup.registers(rows, np.concatenate([both, a, both, b]), 2, p)
+            dense = near_dup.densified(packed)
+            assert (dense != near_dup.EMPTY).all() and (dense[packed != near_dup.EMPTY] == packed[packed != near_dup.EMPTY]).all()
+            same.append((dense[0] == dense[1]).mean())
+            keys = near_dup.band_keys(packed, p)
+            met += len(np.unique(keys[1])) < len(keys[1])
+        assert abs(np.mean(same) - common / size) < 0.05
+        assert met == 60 if common / size >= 0.8 else met <= 6
+
+
+@pytest.mark.parametrize("name", ["key", "_key", "gone", "_gone", "doc", "text2", "line_no"])
+def test_documents_keep_columns_of_any_name(spark, name):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta\nalpha beta gamma delta", "own"), (2, "alpha beta gamma delta", "own"), (None, None, None)], f"doc_id long, text string, `{name}` string")
+    out = lines.without_repeated_lines(spark, docs).collect()
+    assert sorted((r.doc_id or 0, r.text, r[name]) for r in out if r.doc_id) == [(1, "alpha beta gamma delta", "own"), (2, "", "own")]
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen")], "item_id long, text string")
+    kept = decontamination.decontaminated(spark, docs, items)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
