@@ -33,6 +33,7 @@ class Model:
     learners: int = 0  # tasks that learn side by side, at most; 0 takes those that read the table
     learner_tokens: int = 1_000_000  # of a learner at least, so that small partitions are learned from together
     block_tokens: int = 1_500_000  # tokens whose words are kept together in one task
+    tokens_per_shared_leaf: int = 500  # so that the chances kept for words never seen, one count a leaf, stay small
 
     def rounds_of(self, documents: int) -> int:
         """One more for every sixteen times as many documents, from a million on."""
@@ -102,21 +103,27 @@ class Trained:
 
 
 def start_model(counts: DataFrame, total: int, m: Model) -> Trained:
-    """Frequent words and the end of a text with leaves of their own, the others dealt over the other
-    leaves by hash, and weights from their counts."""
+    """Frequent words and the end of a text with leaves of their own, the others dealt by hash over
+    shared leaves, and weights from their counts.
+
+    Each shared leaf holds one count more, for a word never seen, as the base holds one for all of
+    them.  There are so few shared leaves that these counts weigh little; leaves beyond stay unused.
+    """
     shape = m.shape
     if shape is None:
         shape = maxent.shape_of(counts.where(F.col("n") >= m.least_count).count(), total)
     top = counts.where((F.col("n") >= m.least_count) | (F.col("word") == END))
     top = top.orderBy((F.col("word") == END).desc(), F.col("n").desc(), "word").limit(shape.words // 2).toPandas()  # bounded by the leaves
     words, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    size = shape.words - len(words)
+    size = min(shape.words - len(words), max(1, total // m.tokens_per_shared_leaf))
     sums = counts.groupBy(F.pmod("word", F.lit(size)).alias("leaf")).agg(F.sum(F.col("n") + 1).alias("n")).toPandas()  # a row for each leaf
     shared = np.ones(size, np.int64)  # for a word never seen
     shared[sums["leaf"].to_numpy(np.int64)] += sums["n"].to_numpy(np.int64)
     np.subtract.at(shared, words % size, n + 1)
     order = np.argsort(words)
-    return Trained(shape, words[order], order, *maxent.start(np.concatenate([n + 1, shared]).astype(float), shape), shared)
+    leaves = np.zeros(shape.words)
+    leaves[: len(words) + size] = np.concatenate([n + 1, shared])
+    return Trained(shape, words[order], order, *maxent.start(leaves, shape), shared)
 
 
 def train_round(docs: DataFrame, model: Trained, learners: int) -> Trained:
