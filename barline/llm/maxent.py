@@ -132,7 +132,7 @@ def new_squares(by_class: np.ndarray, by_word: np.ndarray) -> tuple[np.ndarray,
     return np.full_like(by_class, 1e-6), np.full_like(by_word, 1e-6)
 
 
-def train(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.ndarray, s: Shape, rate: float = 0.05, batch: int = 4096, squares=None, words: np.ndarray | None = None) -> None:
+def train(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.ndarray, s: Shape, rate: float = 0.2, batch: int = 4096, squares=None, words: np.ndarray | None = None) -> None:
     """One pass of gradient steps over the tokens, changing the weights in place."""
     squares = new_squares(by_class, by_word) if squares is None else squares
     context = contexts(ids if words is None else words, rows)
