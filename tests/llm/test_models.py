@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from barline.llm import language, lm_score, maxent, pieces, quality, secret_net, secret_scan, toxicity
 from barline.llm.tables import row_blocks, text_bytes
@@ -227,6 +228,21 @@ def test_language_model_scores(spark):
     assert lm_score.lm_scores(spark, table.limit(0), model).collect() == []
 
 
+def test_language_model_starts_at_its_base_and_beats_it_on_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train = docs.where(lm_score.fold_of(F.col("doc_id"), 7) != 2)
+    counts = lm_score.word_counts(train)
+    total = counts.agg(F.sum("n")).first()[0]
+    start = lm_score.start_model(counts, total, lm_score.Model())
+    used = len(start.words) + len(start.shared)
+    ids = np.arange(start.shape.words)
+    chances = np.exp(maxent.log_chances(start.by_class, start.by_word, ids, ids, start.shape))
+    assert abs(chances.sum() - 1) < 1e-3 and chances[used:].sum() < 1e-4
+    assert len(start.shared) * 500 <= total
+    held = lm_score.lm_scores(spark, docs).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert held[1] > 0.985 * held[0]
+
+
 def _pair_gain(trained, chances, pairs):
     """How much likelier, in nats, the second word of each pair is after its first than after that of another pair."""
     hashes = lambda *w: lm_score.document_tokens(*text_bytes(pa.array([" ".join(w)])))[1][:2]
