@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,18 +128,22 @@ def start_model(counts: DataFrame, total: int, m: Model) -> Trained:
 
 def train_round(docs: DataFrame, model: Trained, learners: int) -> Trained:
     """Every task passes over its documents from the same weights; the changes of each row of
-    weights are averaged over the tasks that changed it, so a context met in one task counts whole."""
+    weights are averaged over the tasks that changed it, so a context met in one task counts whole.
+    The model travels once, and is removed from the executors when the round ends."""
     s, block = model.shape, 1024
+    widths = model.by_class.shape[1], model.by_word.shape[1]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches):
-        by_class, by_word = model.by_class.copy(), model.by_word.copy()
+        old = shared.value
+        by_class, by_word = old.by_class.copy(), old.by_word.copy()
         squares = maxent.new_squares(by_class, by_word)
         for batch in batches:
             for _, _, rows, words in _tokens(batch):
-                maxent.train(by_class, by_word, model.ids_of(words), rows, s, squares=squares, words=words)
-        for table, (new, old) in enumerate(((by_class, model.by_class), (by_word, model.by_word))):
+                maxent.train(by_class, by_word, old.ids_of(words), rows, s, squares=squares, words=words)
+        for table, (new, start) in enumerate(((by_class, old.by_class), (by_word, old.by_word))):
             for first in range(0, len(new), block):
-                change = new[first : first + block] - old[first : first + block]
+                change = new[first : first + block] - start[first : first + block]
                 at = np.flatnonzero(change.any(1))
                 if len(at):  # changes travel as half floats
                     parts = [pa.array([x]) for x in (table, first, at.astype(np.int16).tobytes(), change[at].astype(np.float16).tobytes())]
@@ -147,7 +151,7 @@ def train_round(docs: DataFrame, model: Trained, learners: int) -> Trained:
 
     def average(part: pa.Table) -> pa.Table:
         table, first = part.column("t")[0].as_py(), part.column("first")[0].as_py()
-        width = (model.by_class, model.by_word)[table].shape[1]
+        width = widths[table]
         total, n = np.zeros((block, width)), np.zeros(block)
         for at, change in zip(part.column("at").to_pylist(), part.column("change").to_pylist()):
             at = np.frombuffer(at, np.int16)
@@ -159,7 +163,9 @@ def train_round(docs: DataFrame, model: Trained, learners: int) -> Trained:
     changes = docs.select("text").coalesce(learners).mapInArrow(learn, "t long, first long, at binary, change binary")
     changes = changes.groupBy("t", "first").applyInArrow(average, "t long, first long, change binary")
     tables = model.by_class.copy(), model.by_word.copy()
-    for t, first, change in changes.toPandas().itertuples(index=False):  # the size of the weights at most
+    means = changes.toPandas()  # the size of the weights at most
+    shared.destroy()
+    for t, first, change in means.itertuples(index=False):
         own = tables[t][first : first + block]
         own += np.frombuffer(change, np.float32).reshape(block, -1)[: len(own)]
     return replace(model, by_class=tables[0], by_word=tables[1])
@@ -176,11 +182,12 @@ def train_model(train: DataFrame, counts: DataFrame, total: int, m: Model) -> Tr
     return model
 
 
-def _drafts(docs: DataFrame, model: Trained, m: Model) -> DataFrame:
+def _drafts(docs: DataFrame, trained: Broadcast, m: Model) -> DataFrame:
     """Rows of two kinds.  A document: its tokens, the model's part of its score, and the places of its
     distinct words in its block with their numbers.  A block: its distinct words in order."""
 
     def draft(batches):
+        model = trained.value
         codec, held, size, number = pa.Codec("zstd", 1), [], 0, 0
         task = TaskContext.get().partitionId()
 
@@ -247,7 +254,9 @@ def lm_scores(spark: SparkSession, docs: DataFrame, m: Model = Model()) -> DataF
     model = train_model(train, counts, total, m)
     base_of = total + distinct + 1
 
-    drafts = scratch.write(_drafts(docs, model, m))
+    trained = spark.sparkContext.broadcast(model)
+    drafts = scratch.write(_drafts(docs, trained, m))
+    trained.destroy()
     blocks = drafts.where("words is not null").select("block", F.posexplode("words").alias("at", "word"), "known")
     seen = blocks.select("block", "at", "word").join(counts, "word").select("block", "at", "n")
     texts = drafts.where("words is null").select("block", "doc_id", "kinds", "n_tokens", "chance", "places")
