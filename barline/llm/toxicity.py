@@ -24,7 +24,7 @@ class Field:
     """Parameters of the field; sample_rows bounds the labelled documents it learns from."""
 
     bits: int = 18
-    segment: int = 32  # words of a document that form one chain
+    segment: int = 32  # words worked on at a time; learning takes them as chains, tagging carries messages over them
     rate: float = 0.5
     l2: float = 1e-6
     epochs: int = 6
@@ -66,16 +66,44 @@ def chains(rows: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, int]
     return chain, place, int(chain[-1]) + 1
 
 
-def marginals(emission: np.ndarray, present: np.ndarray, links: np.ndarray):
+def messages(emission: np.ndarray, present: np.ndarray, links: np.ndarray, first: np.ndarray):
+    """What reaches each segment from the words before it and after it in its text.
+
+    first: the first segment of each text; its segments follow.  The paths through a segment are a
+    2 x 2 matrix, so a text of any length needs one product for each segment and direction.
+    """
+    count, size = emission.shape
+    e, t = np.exp(np.clip(emission, -30, 30)), np.exp(links)
+    through = np.zeros((count, 2, 2))
+    through[:, 0, 0], through[:, 1, 1] = 1, e[:, 0]
+    for k in range(1, size):
+        on = np.flatnonzero(present[:, k])
+        step = through[on] @ t
+        step[:, :, 1] *= e[on, k, None]
+        through[on] = step / step.sum((1, 2), keepdims=True)
+    before, after = np.ones((count, 2)), np.ones((count, 2))
+    parts = np.diff(np.append(first, count))
+    for j in range(1, parts.max(initial=0)):
+        own = first[parts > j] + j
+        come = np.einsum("ni,nij->nj", before[own - 1], through[own - 1]) @ t
+        before[own] = come / come.sum(1, keepdims=True)
+        own = (first + parts)[parts > j] - j
+        go = np.einsum("nij,nj->ni", through[own], after[own]) @ t.T
+        after[own - 1] = go / go.sum(1, keepdims=True)
+    return before, after
+
+
+def marginals(emission: np.ndarray, present: np.ndarray, links: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None):
     """Forward-backward over padded chains.
 
     emission: chains x places, score of state 1 over state 0.  links: 2 x 2 transition scores.
+    before, after: messages from the rest of a text of which a chain is a part.
     Returns the probability of state 1 everywhere and the expected transitions of each kind.
     """
     count, size = emission.shape
     e, t = np.exp(np.clip(emission, -30, 30)), np.exp(links)
     forward = np.empty((size, 2, count))
-    state0, state1 = np.ones(count), e[:, 0]
+    state0, state1 = (np.ones(count), e[:, 0]) if before is None else (before[:, 0], before[:, 1] * e[:, 0])
     for k in range(size):
         if k:
             state0, state1 = state0 * t[0, 0] + state1 * t[1, 0], (state0 * t[0, 1] + state1 * t[1, 1]) * e[:, k]
@@ -83,7 +111,7 @@ def marginals(emission: np.ndarray, present: np.ndarray, links: np.ndarray):
         state0, state1 = state0 / total, state1 / total
         forward[k] = state0, state1
     probability, expected = np.zeros((count, size)), np.zeros((2, 2))
-    back0, back1 = np.ones(count), np.ones(count)
+    back0, back1 = (np.ones(count), np.ones(count)) if after is None else (after[:, 0], after[:, 1])
     for k in range(size - 1, -1, -1):
         if k < size - 1:
             on = present[:, k + 1]
@@ -116,14 +144,18 @@ def no_field(p: Field) -> np.ndarray:
 
 
 def document_marginals(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray, p: Field):
-    """Starts, ends and rows of the words, and each word's probability of being toxic."""
+    """Starts, ends and rows of the words, and each word's probability of being toxic given its whole text."""
     starts, ends, rows, _, bins = token_features(raw, offsets, p.bits)
     chain, place, count = chains(rows, p.segment)
     emission, present = np.zeros((count, p.segment)), np.zeros((count, p.segment), bool)
     emission[chain, place] = weights[bins].sum(0) + weights[-5]
     present[chain, place] = True
-    probability = marginals(emission, present, weights[-4:].reshape(2, 2))[0][chain, place] if count else np.zeros(0)
-    return starts, ends, rows, probability
+    if not count:
+        return starts, ends, rows, np.zeros(0)
+    links, heads = weights[-4:].reshape(2, 2), rows[np.flatnonzero(place == 0)]
+    first = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
+    probability = marginals(emission, present, links, *messages(emission, present, links, first))[0]
+    return starts, ends, rows, probability[chain, place]
 
 
 def evidence(rows: np.ndarray, probability: np.ndarray, count: int) -> np.ndarray:
@@ -220,6 +252,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, parameters: Field = Field
 def tag_toxicity(docs: DataFrame, weights: np.ndarray, p: Field = Field(), span_at: float = 0.5) -> DataFrame:
     """doc_id, score and spans of every whole text.
 
+    The chain runs over the whole text, so marginals don't depend on where in it a span stands.
     The score comes from the largest marginal of a word and the number of words found.  spans
     lists the words of a marginal of at least span_at as start:end in code points,
     comma-joined.  Texts without a word, and null, have the lowest score and no span.

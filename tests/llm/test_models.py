@@ -170,6 +170,18 @@ def test_marginals_equal_all_taggings():
     assert np.allclose(pairs, expected)
 
 
+@pytest.mark.parametrize("segment", [1, 8, 32])
+def test_marginals_do_not_depend_on_where_a_text_is_cut(segment):
+    draw = np.random.default_rng(3)
+    texts = [" ".join(draw.choice(["aa", "bbbb", "cc", "ddddd"], n)) for n in (1, 31, 32, 33, 0, 65, 777, 5)]
+    raw, offsets = text_bytes(pa.array(texts))
+    weights = draw.normal(size=(1 << 10) + 5) * 2
+    weights[-4:] = 2, -3, -2, 3  # neighbours like to be equal, so messages reach far
+    whole = toxicity.document_marginals(raw, offsets, weights, toxicity.Field(bits=10, segment=1000))[3]
+    cut = toxicity.document_marginals(raw, offsets, weights, toxicity.Field(bits=10, segment=segment))[3]
+    assert len(cut) == 944 and np.allclose(whole, cut, atol=1e-12)
+
+
 def test_language_vectors_and_held_out(spark):
     texts = ["Ab, çd.", None, "", "1 2"]
     vectors = language.text_vectors(texts, 128)
