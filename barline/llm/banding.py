@@ -63,11 +63,12 @@ def linked(
     several = kinds.groupBy("key").agg(F.max(F.struct("m", "family")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     rows = scratch.write(placed.join(several.select("key", F.col("most.family").alias("major")), "key"))
     few = rows.where("family <> major").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("family").alias("fx"))
-    rest = rows.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("family").alias("fy"))
+    rest = rows.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("family").alias("fy"), (F.col("family") == F.col("major")).alias("in_major"))
+    once = F.col("in_major") | (F.col("x") < F.col("y"))  # two ids outside the largest family would meet twice
     sized = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
     more = (
         few.join(rest, "key")
-        .where((F.col("fx") != F.col("fy")) & sized)
+        .where((F.col("fx") != F.col("fy")) & sized & once)
         .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.greatest("nx", "ny").alias("n"))
         .distinct()
     )
