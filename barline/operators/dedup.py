@@ -26,6 +26,31 @@ def keep_last(
     return keep_first(df, keys, backwards)
 
 
+#: Rows that a task sorts, about, where their number is known.
+ROWS_PER_TASK = 250_000
+
+
+def parts_of(rows: int) -> int:
+    """Tasks among which so many rows are dealt, so that the memory of one doesn't grow with the table."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
+def keep_first_dealt(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str], rows: int) -> DataFrame:
+    """``keep_first`` of about so many rows, in tasks of bounded size.
+
+    Rows are dealt by their place and limited to one for each key and share, then dealt by key; so
+    a key with very many copies costs few rows in its task.  ``order`` tells rows apart.
+    """
+    parts = parts_of(rows)
+    if parts == 1:
+        return keep_first(df, keys, order)
+    made = {f"_key{k}": c for k, c in enumerate(keys) if not isinstance(c, str)}
+    named, own = df.withColumns(made), [c if isinstance(c, str) else f"_key{k}" for k, c in enumerate(keys)]
+    dealt = named.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(16 * parts)))
+    few = keep_first(dealt.repartition(parts, "_share"), [*own, "_share"], order).drop("_share")
+    return keep_first(few.repartition(parts, *own), own, order).drop(*made)
+
+
 # A row per file is well under 1 KB, so this many stay below 100 MB.
 MAX_BROADCAST_FILES = 100_000
 
@@ -40,8 +65,9 @@ def dedup_trades(
     source: str = "source_file",
     order: Sequence[str] = ("position",),
     files: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """First row per trade within each source file.
+    """First row per trade within each source file, in tasks of bounded size where ``rows``, about, is given.
 
     A file with any trade id is keyed by the id (rows without one count as one
     trade), a file without ids by time, price, quantity and side.
@@ -53,6 +79,6 @@ def dedup_trades(
     by_content = F.when(
         ~F.col("_has_ids"), F.struct("time", "price", "qty", "isBuyerMaker")
     )
-    return keep_first(
-        keyed, [source, F.col("trade_id"), by_content], order
-    ).drop("_has_ids")
+    keys = [source, "trade_id", by_content]
+    kept = keep_first(keyed, keys, order) if rows is None else keep_first_dealt(keyed, keys, [source, *order], rows)
+    return kept.drop("_has_ids")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import io
+import shutil
+import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import MINUTE_MS, div, minute_floor, open_time_ms
+from ..operators.dedup import parts_of
 from ..operators.ordered import ROWS_PER_CHUNK
-from ..sources.line_source import file_system
+from ..sources.line_source import BLOCK_BYTES, file_system
 
 HOUR_MS = 60 * MINUTE_MS
 EMBEDDING_WIDTH = 64
@@ -151,24 +157,67 @@ def _candle_file_lines(bars: DataFrame) -> DataFrame:
     return filed.select("path", line.alias("line"), (F.col("open_time") * 2).alias("nth"))
 
 
+#: Tasks that put files together from their parts.
+FILE_TASKS = 32
+
+
 def write_raw_files(spark: SparkSession, folder: str, root: str) -> str:
-    """Raw files of the given events below ``root``, one task for each file; a stand-in for an archive's layout."""
-    lines = _trade_file_lines(trades(spark, folder)).unionByName(_candle_file_lines(candles(spark, folder, HOUR_MS)))
-    spoilt = F.col("path").contains("/error/") & F.col("path").endswith("-21.csv")
+    """Raw files of the given events below ``root``; a stand-in for an archive's layout.
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        path = rows["path"].iloc[0]
-        body = "\n".join(rows.sort_values("nth")["line"]).encode() + (b"\n\xff\n" if rows["spoilt"].iloc[0] else b"\n")
+    Lines are cut into ranges of their order, each written by one task, so that no task holds more of a
+    file than its range; then one task for each file puts its parts together, a block at a time.
+    """
+    traded = trades(spark, folder)
+    lines = _trade_file_lines(traded).unionByName(_candle_file_lines(candles(spark, folder, HOUR_MS)))
+    lines = lines.where("line IS NOT NULL")  # an event without a type belongs to no file
+    order = [F.col("path"), F.col("nth").asc_nulls_last(), F.col("line")]
+    ranges = lines.repartitionByRange(parts_of(traded.count()), *order).sortWithinPartitions(*order).select("path", "line")
+    held = f"{root}/parts-{uuid.uuid4().hex}"
+
+    def write_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One file for each path of a range; a repeated attempt writes files of its own."""
+        task, made, path, out = TaskContext.get(), [], None, None
+        system, target = file_system(held)
+        system.create_dir(target, recursive=True)
+        try:
+            for batch in batches:
+                for own in pc.unique(batch.column("path")).to_pylist():
+                    if own != path:
+                        if out is not None:
+                            out.close()
+                        path = own
+                        name = f"{target}/{task.partitionId()}-{task.taskAttemptId()}-{len(made)}"
+                        out = system.open_output_stream(name)
+                        made.append((path, task.partitionId(), name))
+                    texts = batch.column("line").filter(pc.equal(batch.column("path"), own)).to_pylist()
+                    out.write("".join(f"{text}\n" for text in texts).encode())
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_pydict({"path": [m[0] for m in made], "part": [m[1] for m in made], "file": [m[2] for m in made]}, pa.schema([("path", pa.string()), ("part", pa.int32()), ("file", pa.string())]))
+
+    def join_parts(parts: pd.DataFrame) -> pd.DataFrame:
+        path = parts["path"].iloc[0]
         system, target = file_system(f"{root}/spot/{path}")
         system.create_dir(target.rpartition("/")[0], recursive=True)
+
+        def copy(out) -> None:
+            for name in parts.sort_values("part")["file"]:
+                with system.open_input_stream(name) as part:
+                    shutil.copyfileobj(part, out, BLOCK_BYTES)
+            if "/error/" in path and path.endswith("-21.csv"):
+                out.write(b"\xff\n")
+
         with system.open_output_stream(target) as out:
             if path.endswith(".zip"):
-                held = io.BytesIO()
-                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
-                    archive.writestr("trades.csv", body)
-                body = held.getvalue()
-            out.write(body)
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("trades.csv", "w", force_zip64=True) as member:
+                    copy(member)
+            else:
+                copy(out)
         return pd.DataFrame({"path": [path]})
 
-    lines.withColumn("spoilt", spoilt).groupBy("path").applyInPandas(write, "path string").count()
+    parts = ranges.mapInArrow(write_parts, "path string, part int, file string")
+    parts.repartition(FILE_TASKS, "path").groupBy("path").applyInPandas(join_parts, "path string").count()
+    done = spark._jvm.org.apache.hadoop.fs.Path(held)
+    done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return root

@@ -23,7 +23,7 @@ from ..functions import (
     to_long,
     utc_timestamp,
 )
-from ..operators.dedup import dedup_trades, keep_first, per_file
+from ..operators.dedup import dedup_trades, keep_first_dealt, per_file
 from ..session import written
 from .line_source import scan_lines
 
@@ -374,8 +374,8 @@ class Merged:
     report: DataFrame
 
 
-def _parsed_files(spark: SparkSession, files: Sequence[RawFile], normalize, name: str) -> tuple[DataFrame, DataFrame]:
-    """Typed rows of readable files with symbol and rank, written once, and the files with their errors."""
+def _parsed_files(spark: SparkSession, files: Sequence[RawFile], normalize, name: str) -> tuple[DataFrame, DataFrame, int]:
+    """Typed rows of readable files with symbol and rank, written once, the files with their errors, and the number of rows written."""
     sizes = [(f.path, f.size) for f in files]
     listed = spark.createDataFrame(
         [(f.path, f.symbol, f.grain, f.rank) for f in files], "source_file string, symbol string, grain string, rank int"
@@ -384,7 +384,8 @@ def _parsed_files(spark: SparkSession, files: Sequence[RawFile], normalize, name
     parsed = written(normalize(scan_lines(spark, sizes), len(files), heads), name)
     errors = rejected_files(parsed).groupBy("source_file").agg(F.min("error").alias("error"))
     listed = listed.join(per_file(errors, len(files)), "source_file", "left")
-    return _readable(parsed, len(files)).join(per_file(listed.select("source_file", "symbol", "rank"), len(files)), "source_file"), listed
+    rows = _readable(parsed, len(files)).join(per_file(listed.select("source_file", "symbol", "rank"), len(files)), "source_file")
+    return rows, listed, parsed.count()
 
 
 def _merged(kind: str, parsed: DataFrame, kept: DataFrame, listed: DataFrame, files: int) -> Merged:
@@ -399,16 +400,16 @@ def _merged(kind: str, parsed: DataFrame, kept: DataFrame, listed: DataFrame, fi
 def merge_kline_files(spark: SparkSession, files: Sequence[RawFile]) -> Merged:
     """One candle per symbol and open time: the first one over the symbol's files in order of rank."""
     _check_names([f.path for f in files])
-    parsed, listed = _parsed_files(spark, files, normalize_klines, "parsed_klines")
-    kept = keep_first(parsed, ["symbol", "open_time"], ["rank", "position"])
+    parsed, listed, rows = _parsed_files(spark, files, normalize_klines, "parsed_klines")
+    kept = keep_first_dealt(parsed, ["symbol", "open_time"], ["rank", "position"], rows)
     return _merged("klines", parsed, kept, listed, len(files))
 
 
 def merge_trade_files(spark: SparkSession, files: Sequence[RawFile]) -> Merged:
     """Trades of all files of all symbols, each file without its own repeats."""
     _check_names([f.path for f in files])
-    parsed, listed = _parsed_files(spark, files, normalize_trades, "parsed_trades")
-    kept = dedup_trades(parsed, files=len(files))
+    parsed, listed, rows = _parsed_files(spark, files, normalize_trades, "parsed_trades")
+    kept = dedup_trades(parsed, files=len(files), rows=rows)
     return _merged("trades", parsed, kept, listed, len(files))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import date_text, require_columns
+from ..operators.dedup import parts_of
 
 # Layout of the wide labelled table.
 WIDE_FEATURES = tuple(str(k) for k in range(144))
@@ -86,8 +87,12 @@ def write_sorted(df: DataFrame, out: str, order: Sequence[str], columns: Sequenc
     """One order over all files: each file holds a range of it, sorted, so readers skip by its bounds.
 
     The bounds of the ranges are sampled, so ``df`` is read twice and should be a written table.
+    Beyond the session's number of partitions theirs follows that of the rows, so that no task sorts
+    more of a larger table.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = parts_of(df.count())
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (df.repartitionByRange(parts, *order) if parts > usual else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     ordered.select(*(columns or df.columns)).write.mode("overwrite").parquet(out)
 
 

@@ -14,7 +14,8 @@ from conftest import BASE, MINUTE
 from pyspark.sql import functions as F
 from test_raw_files import _write
 
-from barline.plans import jobs
+from barline.operators import dedup
+from barline.plans import inputs, jobs
 from barline.session import owned_tables, shared_dir, written
 from barline.sources import line_source, raw_files, tables
 
@@ -158,3 +159,32 @@ def test_a_rerun_of_one_day_replaces_that_day_only(spark, tmp_path):
     again = build("2024-10-02", "2024-10-02", "later")
     by_day = again.groupBy((F.col("open_time") >= BASE + day).alias("second")).agg(F.count("*"), F.max("volume")).collect()
     assert {tuple(r) for r in by_day} == {(False, 1440, 1.0), (True, 1440, 5.0)}
+
+
+def _events(spark, folder, rows):
+    """Events of one symbol on one day, and one without a type."""
+    at = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("id") * 1000)
+    kind = F.when(F.col("id") != 7, "purchase")
+    events = spark.range(rows).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit(1).alias("user_id"), kind.alias("event_type"), (F.col("id") % 13).cast("double").alias("value"))
+    events.write.parquet(f"{folder}/events.parquet")
+
+
+def test_raw_files_are_written_in_ranges_of_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedup, "ROWS_PER_TASK", 50)
+    _events(spark, tmp_path, 400)
+    inputs.write_raw_files(spark, str(tmp_path), f"{tmp_path}/raw")
+    path = tmp_path / "raw/spot/daily/trades/purchase/purchase-trades-2024-01-01.csv"
+    wanted = [k for k in range(400) if k != 7 for _ in range(2 if k % 10 == 0 else 1)]
+    assert [int(line.split(",")[2]) for line in path.read_text().splitlines()] == [1_704_067_200_000 + k * 1000 for k in wanted]
+    assert {p.name for p in (tmp_path / "raw").iterdir()} == {"spot"}
+
+
+def test_dealt_rows_keep_the_same_first_ones(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "ROWS_PER_TASK", 100)
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 40).alias("k"), F.struct("id").alias("position"), F.concat(F.lit("a"), F.col("id") % 2).alias("s"))
+    keys = ["s", F.when(F.col("k") < 30, F.col("k"))]
+    dealt = dedup.keep_first_dealt(rows, keys, ["position"], 2000)
+    plain = dedup.keep_first(rows, keys, ["position"])
+    assert dealt.columns == plain.columns
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    assert dealt.rdd.getNumPartitions() == 20  # one of about 100 rows for each task
