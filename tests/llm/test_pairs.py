@@ -110,6 +110,26 @@ def test_line_dedup_of_odd_tables(spark):
     assert sorted(r.text or "" for r in lines.without_repeated_lines(spark, docs).collect()) == ["", "", "", "the same line of text"]
 
 
+def test_bitmaps_leave_out_no_like_pair_and_most_others(spark):
+    draw = random.Random(3)
+    texts = ["", "short", "aé", "z" * 900, "z" * 800, "ab" * 300]
+    for _ in range(12):
+        line = [draw.choice("abcdefgh ") for _ in range(draw.randint(20, 400))]
+        texts.append("".join(line))
+        for changes in (1, 3, 8):
+            for _ in range(changes):
+                line[draw.randrange(len(line))] = draw.choice("xyz")
+            texts.append("".join(line))
+    p = lines.Lines()
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    every = [(i, k) for i in range(len(texts)) for k in range(i)]
+    left = {tuple(r) for r in lines.may_be_alike(spark.createDataFrame(every, "u long, v long"), lines.bitmaps(table, p), p).collect()}
+    sets = [set(brute.line_shingles(text)) for text in texts]
+    like = {(i, k) for i, k in every if 100 * len(sets[i] & sets[k]) >= p.percent * len(sets[i] | sets[k])}
+    assert like <= left and len(like) > 10
+    assert len(left) < len(every) / 10
+
+
 def test_line_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "some line"), (2, "some line")], "doc_id long, text string")
     for df in (lines.line_bands(lines.all_lines(docs).withColumn("id", F.xxhash64("line")), lines.Lines()), lines.line_report(spark, docs)):
