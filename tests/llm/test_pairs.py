@@ -77,6 +77,22 @@ def test_components_of_a_path_a_star_and_nothing(spark):
     assert components(links.limit(0), Scratch(spark)).collect() == []
 
 
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    """So the disk never holds those of all steps; the setting is the session's own again afterwards."""
+
+    def shuffle_files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = manager.getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own, before = spark.conf.get(name), shuffle_files()
+    groups = spark.range(20_000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    written = Scratch(spark).write(groups)
+    assert not shuffle_files() - before
+    assert written.count() == 100 and spark.conf.get(name) == own
+
+
 def test_line_dedup_equals_all_pairs(spark):
     draw = random.Random(1)
     base = ["".join(draw.choice("abcdefgh ") for _ in range(120)) for _ in range(8)]
