@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from barline.llm import language, lm_score, maxent, pieces, quality, secret_net, secret_scan, toxicity
-from barline.llm.tables import row_blocks, text_bytes
+from barline.llm.tables import map_batches, row_blocks, text_bytes
 from barline.llm.words import SIGN_CUT, find_words, hash_words
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -107,6 +107,17 @@ def _prose(draw):
     return " ".join("".join(draw.choice("aeioustr") for _ in range(draw.randint(2, 7))) for _ in range(60))
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    """Spark's own limit would put all of these 32 MB into one batch."""
+    table = spark.range(8000, numPartitions=1).select("id", F.repeat(F.lit("word "), 800).alias("text"))
+
+    def held(batch):
+        return pa.record_batch([pa.array([batch.column("text").buffers()[2].size])], ["bytes"])
+
+    got = [r.bytes for r in map_batches(table, held, "bytes long").collect()]
+    assert max(got) <= 8 << 20 and sum(got) >= 8000 * 4000
+
+
 def test_quality_held_out(spark):
     junk = lambda draw: " ".join(f"{w}!!" for w in _prose(draw).upper().split()) if draw.random() < 0.5 else "Go " * 50
     docs, labels, truth = _labelled(spark, 500, _prose, junk, "quality")
