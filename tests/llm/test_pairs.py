@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.llm import decontamination, embedding_dup, lines, near_dup
+from barline.llm.banding import linked
 from barline.llm.cover_tree import Links, Node, traverse
 from barline.llm.graph import Scratch, components
 
@@ -146,6 +147,52 @@ def test_bitmaps_leave_out_no_like_pair_and_most_others(spark):
     assert len(left) < len(every) / 10
 
 
+def test_lines_rather_alike_are_never_pairs_of_rows(spark, monkeypatch):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    docs = []
+    for family in range(4):
+        base = [word() for _ in range(60)]
+        for k in range(40):  # any two differ in about 12 of 60 words and have a similarity of about 0.5
+            own = [word() if draw.random() < 0.1 else w for w in base]
+            docs.append((100 * family + k, " ".join(own)))
+    pairs, alike = [], lines.alike
+    monkeypatch.setattr(lines, "alike", lambda *args: (pairs.append(args[1].count()), alike(*args))[1])
+    got = {(r.doc_id, int(k)) for r in lines.line_report(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect() for k in r.removed.split(",") if k}
+    assert got == brute.removed_lines(docs)
+    assert sum(pairs) < len(docs)  # more than ten times as many without bounds in the join
+
+
+def test_lines_that_share_a_shingle_or_two_hardly_meet(spark):
+    draw = random.Random(9)
+    rows = [(k, "of and the " + "".join(draw.choice("abcdefghijklmnop ") for _ in range(90))) for k in range(600)]
+    bands = lines.line_bands(spark.createDataFrame(rows, "id long, line string"), lines.Lines())
+    met = bands.alias("a").join(bands.alias("b"), "key").where("a.id < b.id").select("a.id", "b.id").distinct()
+    assert met.count() < len(rows) / 2
+
+
+@pytest.mark.parametrize("at_once", [0, 40, 100_000])
+def test_rounds_of_pairs_connect_what_all_pairs_do(spark, at_once):
+    draw = random.Random(4)
+    at = {k: draw.random() for k in range(300)}
+    bands = [(key, k, 1) for k in at for key in {int(at[k] * 12), 100 + int(at[k] * 7 + 0.4), 200 + int(at[k] * 5 + 0.7)}]
+    values = spark.createDataFrame(list(at.items()), "id long, at double")
+    seen = []
+
+    def confirm(pairs, scratch):
+        seen.append(pairs.count())
+        both = pairs.join(values.toDF("u", "a"), "u").join(values.toDF("v", "b"), "v")
+        return both.where("abs(a - b) < 0.004").select("u", "v")
+
+    found = linked(spark.createDataFrame(bands, "key long, id long, n long"), confirm, 80, Scratch(spark), at_once=at_once)
+    group = {r.id: r.component for r in found.collect()}
+    order = sorted(at, key=at.get)
+    cut = [0, *[k for k in range(1, len(order)) if at[order[k]] - at[order[k - 1]] >= 0.004], len(order)]
+    want = {k: min(order[a:b]) for a, b in zip(cut, cut[1:]) for k in order[a:b]}
+    assert {k: group.get(k, k) for k in at} == want
+    assert len(seen) == 2 if at_once == 100_000 else len(seen) > 2
+
+
 def test_line_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "some line"), (2, "some line")], "doc_id long, text string")
     for df in (lines.line_bands(lines.all_lines(docs).withColumn("id", F.xxhash64("line")), lines.Lines()), lines.line_report(spark, docs)):
