@@ -171,6 +171,14 @@ def test_lines_that_share_a_shingle_or_two_hardly_meet(spark):
     assert met.count() < len(rows) / 2
 
 
+def test_pairs_of_lines_are_dealt_by_number(spark):
+    table = spark.createDataFrame([(k, f"a line of some forty bytes, number {k}, and {k}") for k in range(6)], "id long, line string")
+    pairs = spark.createDataFrame([(i, k) for i in range(6) for k in range(i + 1, 6)], "u long, v long")
+    p, scratch = lines.Lines(task_pairs=2, percent=1), Scratch(spark)
+    found = lines.alike(table, pairs, p, scratch)
+    assert found.rdd.getNumPartitions() == 8 and found.count() == 15
+
+
 @pytest.mark.parametrize("at_once", [0, 40, 100_000])
 def test_rounds_of_pairs_connect_what_all_pairs_do(spark, at_once):
     draw = random.Random(4)
