@@ -391,3 +391,42 @@ def test_limits_keep_recall_and_letters_are_candidates(monkeypatch):
     text = "key QwErTyUiOpAsDfGh short"
     rows = list(secret_scan.scan_rows([text], *text_bytes(pa.array([text])), secret_scan.Scan()))
     assert rows[0][1] == [(4, 20)]
+
+
+def test_network_learns_from_every_window(spark):
+    draw = random.Random(17)
+    words = ["".join(draw.choice("GHJKLMNPQRSTghjklmnpqrst") for _ in range(14)) for _ in range(3100)]
+    keys = [f"password={word}" for word in words[:60]]
+    docs = spark.createDataFrame(list(enumerate(words + keys)), "doc_id long, text string")
+    window = F.udf(lambda t: (np.frombuffer(t.encode(), np.uint8).astype(np.int16) + 256).tobytes(), "binary")
+    last = docs.where(F.col("doc_id") < len(words)).orderBy(F.xxhash64(window("text")).desc()).first().doc_id
+    whole, less = secret_scan.train_scan(docs), secret_scan.train_scan(docs.where(F.col("doc_id") != last))
+    assert abs(whole.tables - less.tables).max() > 0
+    # many learners: all rows count, and where they lie doesn't matter
+    p = secret_scan.Scan(learner_windows=100, few=10)
+    nets = [secret_scan.train_scan(docs.repartition(n), p) for n in (1, 5)]
+    assert (nets[0].tables == nets[1].tables).all() and (nets[0].limits == nets[1].limits).all()
+    assert nets[0].limits[0] != 0.5
+
+
+def test_network_learns_from_long_windows(spark):
+    draw = random.Random(18)
+    rows = ["".join(draw.choice("0123456789abcdef") for _ in range(1100)) for _ in range(150)] + [f"plain{k}.example.com" for k in range(400)]
+    net = secret_scan.train_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert net.limits[2] != 0.5  # long findings were there to calibrate on
+
+
+def test_gradients_of_parts_equal_those_of_whole_windows():
+    random_ = np.random.default_rng(5)
+    windows = [random_.integers(97, 100, n) for n in (3, 40, 700, 12)]
+    labels, net = np.eye(3)[[0, 1, 2, 0]], secret_net.new_net(16, 3)
+    whole, parts = (secret_net._gradients(net, windows, labels, np.ones(3), n) for n in (1 << 16, 50))
+    assert all(np.allclose(whole[k], parts[k], atol=1e-6) for k in whole)
+    step = 1e-4
+    loss = lambda n: np.log1p(np.exp(np.where(labels > 0, -1, 1) * secret_net.logits(n, windows))).sum() / len(windows)
+    for at in ((2, 97, 3), (0, 98, 7)):
+        net.tables[at] += step
+        more = loss(net)
+        net.tables[at] -= 2 * step
+        assert abs((more - loss(net)) / (2 * step) - whole["tables"][at]) < 1e-3
+        net.tables[at] += step
