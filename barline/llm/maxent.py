@@ -95,9 +95,13 @@ def start(counts: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray]:
     return by_class, by_word
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _summed(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of each token's rows of weights, less its largest value."""
+    x = weights.take(rows[:, 0], 0)
+    for k in range(1, rows.shape[1]):
+        x += weights.take(rows[:, k], 0)
+    x -= x.max(1, keepdims=True)
+    return x
 
 
 def log_chances(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.ndarray, s: Shape, at_once: int = 1 << 15, words: np.ndarray | None = None) -> np.ndarray:
@@ -107,24 +111,48 @@ def log_chances(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows
     for a in range(0, len(ids), at_once):
         own, c = ids[a : a + at_once], context[a : a + at_once]
         at = np.arange(len(own))
-        r = class_rows(c, s)
-        total = _log_softmax(sum(by_class[r[:, k]] for k in range(4)))[at, own // (s.words // s.classes)].astype(float)
-        for node, place in branches(own, s):
-            r = word_rows(c, node, s)
-            total += _log_softmax(sum(by_word[r[:, k]] for k in range(4)))[at, place]
+        total = np.zeros(len(own))
+        steps = [(by_class, class_rows(c, s), own // (s.words // s.classes))]
+        for weights, r, place in (*steps, *((by_word, word_rows(c, node, s), place) for node, place in branches(own, s))):
+            x = _summed(weights, r)
+            picked = x[at, place]
+            total += picked - np.log(np.exp(x, out=x).sum(1))
         out[a : a + at_once] = total
     return out
 
 
+def _sums(x: np.ndarray, first: np.ndarray, long: int = 16) -> np.ndarray:
+    """The sum of the rows of x from each place in first up to the next, added in their order."""
+    sizes = np.diff(first, append=len(x))
+    total = x.take(first, 0)
+    left = np.flatnonzero((sizes > 1) & (sizes <= long))
+    for k in range(1, long):
+        left = left[sizes[left] > k]
+        if not len(left):
+            break
+        total[left] += x.take(first[left] + k, 0)
+    for i in np.flatnonzero(sizes > long):
+        total[i] = x[first[i] : first[i] + sizes[i]].sum(0)
+    return total
+
+
 def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """One AdaGrad step; rows (tokens x features) share each token's gradient."""
-    used, at = np.unique(rows.T.ravel(), return_inverse=True)
-    total = np.empty((len(used), grad.shape[1]), np.float32)
-    for k, one in enumerate(np.ascontiguousarray(grad.T, float) / len(grad)):
-        total[:, k] = np.bincount(at, np.tile(one, rows.shape[1]), len(used))
-    sums = squares[used] + total**2
+    # each row's gradients one after the other, in the order of features and tokens
+    bits = int(rows.size).bit_length()
+    order = np.sort(rows.T.ravel() << bits | np.arange(rows.size))
+    kinds, at = order >> bits, order & (1 << bits) - 1
+    first = np.flatnonzero(np.diff(kinds, prepend=-1))
+    used, share = kinds[first], grad.astype(float) / len(grad)
+    total = _sums(share.take(at % len(grad), 0), first).astype(np.float32)
+    sums = squares.take(used, 0)
+    sums += total * total
     squares[used] = sums
-    weights[used] -= rate * total / np.sqrt(sums)
+    total *= np.float32(rate)
+    total /= np.sqrt(sums, out=sums)
+    new = weights.take(used, 0)
+    new -= total
+    weights[used] = new
 
 
 def new_squares(by_class: np.ndarray, by_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +166,9 @@ def train(by_class: np.ndarray, by_word: np.ndarray, ids: np.ndarray, rows: np.n
     context = contexts(ids if words is None else words, rows)
 
     def step(weights, sums, r, place):
-        x = np.exp(_log_softmax(sum(weights[r[:, k]] for k in range(4))))
+        x = _summed(weights, r)
+        x -= np.log(np.exp(x).sum(1, keepdims=True))
+        np.exp(x, out=x)
         x[np.arange(len(x)), place] -= 1
         _descend(weights, sums, r, x, rate)
 

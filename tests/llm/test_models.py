@@ -430,3 +430,11 @@ def test_gradients_of_parts_equal_those_of_whole_windows():
         net.tables[at] -= 2 * step
         assert abs((more - loss(net)) / (2 * step) - whole["tables"][at]) < 1e-3
         net.tables[at] += step
+
+
+def test_gradients_of_a_row_are_added_in_their_order():
+    random_ = np.random.default_rng(8)
+    kinds = np.sort(np.concatenate([np.arange(300), random_.integers(0, 200, 700), np.full(500, 7)]))
+    x, first = random_.normal(size=(len(kinds), 32)), np.flatnonzero(np.diff(kinds, prepend=-1))
+    want = np.stack([np.bincount(kinds, column) for column in x.T], 1)
+    assert (maxent._sums(x, first) == want).all()
